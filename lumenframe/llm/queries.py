@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, token_store, word_bpe
+from . import mixing, quality, token_counts, token_store, word_bpe
 from .common import read
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(read(spark, sf_dir, "documents"), quality.trusted_labels(read(spark, sf_dir, "labels")))
+    return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of documents, with its suffix sums: one row for each length."""
     lengths = token_counts.encoded_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -33,7 +38,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
