@@ -8,8 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_counts, token_store, word_bpe
-from .common import read
+from . import langid, mixing, quality, token_counts, token_store, word_bpe
+from .common import read, text_crc_mod
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = text_crc_mod("doc_id", 4) == 2
+    out = langid.identify(docs, learn_from=~held_out)
+    return out.select(F.col("key").alias("doc_id"), (text_crc_mod("key", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
