@@ -13,9 +13,44 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Up to here NFC changes nothing and all versions of Unicode agree on letters, digits and lower case.
+LATIN_END = "\u024f"
+
 _own_folder: list[str] = []
 
 
+class Generations(dict):
+    """Results of a function, kept for the keys in use: when limit keys are held, they become the old ones, and only those used again stay."""
+
+    #: Longer keys are worked out each time, so that the memory in use has a bound.
+    LONGEST = 64
+
+    def __init__(self, function, limit: int) -> None:
+        super().__init__()
+        self.function, self.limit, self.old = function, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(key) <= self.LONGEST:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself if printable in Latin-1, else the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests, local mode)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

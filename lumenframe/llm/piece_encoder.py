@@ -1,62 +1,104 @@
-"""Byte-level BPE ids of whole texts through the tokenizers library, with a cache of space-led pieces.
+"""Byte-level BPE ids of whole texts through the tokenizers library, with caches of pieces and words.
 
 Byte-level pre-tokenisation always starts a new token at a space between two
 non-space characters, and nothing right of such a space depends on what is left of
-it.  A text therefore encodes as the concatenation of its pieces, each encoded
-alone, and most pieces of a corpus occur again and again.  Texts with other white
-space next to a space are cut at fewer places; the result is the same.
+it.  A text therefore encodes as the concatenation of its space-led pieces, each
+encoded alone, and most pieces of a corpus occur again and again.  Texts with other
+white space next to a space are cut at fewer places; the result is the same.
+
+A piece that is new is cut into words by the vocabulary's own pattern, and new words
+go to the library's model.  Pieces with added tokens, or with characters on which
+versions of Unicode may differ, go through the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from array import array
 
-#: Pieces kept per Python worker; beyond it the cache starts anew, which changes nothing but time.
-CACHE_PIECES = 400_000
-#: Longer pieces are encoded each time, so that the cache's memory stays bounded.
-CACHE_PIECE_CHARS = 64
+import regex
+
+from .common import LATIN_END, Generations, byte_symbols
+
+#: Pieces and words that a Python worker keeps in each of two generations.
+CACHE_PIECES, CACHE_WORDS = 350_000, 20_000
 
-_BESIDE_SPACE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The split that byte-level pre-tokenisation makes (a fixed value of such vocabularies).
+_PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _shared: dict[str, PieceEncoder] = {}
 
 
+class _SpaceBeside(Exception):
+    """A piece is empty, or begins or ends with white space: its text is to be cut at fewer places."""
+
+
 class PieceEncoder:
     def __init__(self, vocabulary_path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(vocabulary_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"]
+        if spec["normalizer"] is not None or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
+            raise ValueError("not a byte-level vocabulary of the kind whose pieces can be encoded alone")
         self.tokenizer = Tokenizer.from_file(vocabulary_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}  # ids of a space and the key
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        # Letters, or letters and one mark, are one word or two, unless an added token can stand in them.
+        self.marks = ".,;:!?" if all(re.search(r"[^\w.,;:!?]", token) for token in self.added) else None
+        self.tokenize = self.tokenizer.model.tokenize
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.space = self.symbols[32]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Generations(lambda word: self._word(word.encode("utf-8").decode("latin-1").translate(self.symbols)), CACHE_WORDS)
+        self.pieces = Generations(self._piece, CACHE_PIECES)
 
     @classmethod
     def shared(cls, vocabulary_path: str) -> PieceEncoder:
-        """One per Python worker, so that tasks of the same worker share its cache."""
+        """One per Python worker, so that tasks of the same worker share its caches."""
         if vocabulary_path not in _shared:
             _shared[vocabulary_path] = cls(vocabulary_path)
         return _shared[vocabulary_path]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(pieces), 4096):
-            out += [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False)]
-        return out
+    def _word(self, shown: str) -> bytes:
+        """Ids of a word that is written in byte symbols."""
+        packed = self.packed
+        return b"".join([packed[x.id] for x in self.tokenize(shown)])
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of a stretch of text."""
+        if any(token in text for token in self.added) or not (text.isascii() or max(text) <= LATIN_END):
+            return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join(map(self.words.__getitem__, _PATTERN.findall(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and the piece."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _SpaceBeside
+        if self.marks:
+            if piece.isalpha():
+                if piece.isascii():
+                    return self._word(self.space + piece)
+                if max(piece) <= LATIN_END:
+                    return self._word(self.space + piece.encode("utf-8").decode("latin-1").translate(self.symbols))
+            elif piece[-1:] in self.marks and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= LATIN_END):
+                return self.pieces[piece[:-1]] + self.words[piece[-1]]
+        return self._alone(f" {piece}")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers; a null text counts as empty."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache, cut, new = self.cache, [], set()
+        out = []
         for text in texts:
-            first, *rest = _CUT.split(text or "") if _BESIDE_SPACE.search(text or "") else (text or "").split(" ")
-            new |= set(rest).difference(cache)
-            cut.append((first, rest))
-        names = list(new)
-        cache.update(zip(names, self._ids([f" {p}" for p in names]), strict=True))
-        ids = [first + b"".join(map(cache.__getitem__, rest)) for first, (_, rest) in zip(self._ids([f for f, _ in cut]), cut, strict=True)]
-        for p in names:
-            if len(p) > CACHE_PIECE_CHARS:
-                del cache[p]
-        return ids
+            first, *rest = (text or "").split(" ")
+            try:
+                ids = b"".join(map(self.pieces.__getitem__, rest))
+            except _SpaceBeside:
+                first, *rest = _CUT.split(text)
+                last = [rest.pop()] if rest else []
+                ids = b"".join([*map(self.pieces.__getitem__, rest), *(self._alone(f" {x}") for x in last)])
+            out.append(self._alone(first) + ids)
+            self.words.turn()
+            self.pieces.turn()
+        return out

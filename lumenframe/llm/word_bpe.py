@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import LATIN_END, byte_symbols
+
 #: Up to so many symbols, a word is encoded by scanning its ranks.
 SHORT = 48
 #: White-space runs and the words between them whose ids a Python worker keeps; beyond it the cache starts anew.
@@ -28,22 +30,12 @@ CACHE_WORDS = 400_000
 
 NO_RANK = np.int32(2**31 - 1)
 
-#: Up to here NFC changes nothing and all versions of Unicode agree.
-LATIN_END = "\u024f"
-
 #: Unicode's White_Space, which str.split() exceeds by four controls.
 _SPACE = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 _shared: dict[str, WordBPE] = {}
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself if printable in Latin-1, else the next free one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class WordBPE:
     """Reads a tokenizer file whose pipeline is: added tokens, NFC, white space, lower case, a split pattern, bytes, BPE with a word-end suffix, no decoder."""
 
