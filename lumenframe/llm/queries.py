@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, token_counts, token_store, word_bpe
+from . import langid, mixing, quality, simhash, suffix_lm, token_counts, token_store, word_bpe
 from .common import read, text_crc_mod
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = text_crc_mod("doc_id", 4) == 2
@@ -45,7 +50,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing)}
+def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = text_crc_mod("doc_id", 7) == 2
+    out = suffix_lm.score_texts(read(spark, sf_dir, "documents"), learn_from=F.coalesce(~held_out, F.lit(True)))
+    return out.withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
