@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, simhash, suffix_lm, token_counts, token_store, word_bpe
+from . import caps, langid, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
 from .common import read, text_crc_mod
 
 
@@ -24,6 +24,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), (text_crc_mod("key", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = caps.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), quality.trusted_labels(read(spark, sf_dir, "labels")))
     return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,7 +65,7 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
