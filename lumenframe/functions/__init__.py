@@ -1 +1 @@
-
+"""Scalar and text expressions."""
