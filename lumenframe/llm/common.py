@@ -105,6 +105,13 @@ class Scratch:
             return
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into shorter ones, so that a Python worker holds few texts as objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 WINDOW = 20
 LEVELS = 3
@@ -149,7 +149,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         final = level == len(sizes) - 1
 
         def parts(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 keys, hashes_of = batch.column(0), batch.column(1)
                 took, where, one, two = [], [], [], []
                 for k, (text, copy, gone) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4), strict=True)):
@@ -211,7 +211,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     rows, sizes = removals(docs, **options)
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, copy, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4), strict=True):
                 words = words_of(text)
@@ -233,7 +233,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows, sizes = removals(docs, key=key, text=text, **options)
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, touched = [], []
             for value, copy, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4), strict=True):
                 words = words_of(value)
