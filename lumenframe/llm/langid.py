@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled documents of each language that the model is fitted on, at most about so many (a hash of the key picks them).
 DOCUMENTS_PER_LANGUAGE = 400
 #: Spans of a sampled document and words of a span that are used in fitting.
@@ -32,7 +34,7 @@ FEATURES = 1 << 17
 GRAMS = (1, 2, 3, 4)
 EPOCHS = 4
 #: Words whose scores a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -274,9 +276,8 @@ def identify(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text:
         if name not in _caches:
             _caches.clear()
             _caches[name] = _Words(model) if model else None
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = [x for a in range(0, len(texts), 512) for x in predict_texts(model, texts[a : a + 512], _caches[name])]
+        for batch in slices(batches):
+            got = predict_texts(model, batch.column(1).to_pylist(), _caches[name])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
 from .piece_encoder import PieceEncoder
 
 
@@ -19,7 +20,7 @@ def encoded_lengths(docs: DataFrame, vocabulary_path: str, *, key: str = "doc_id
 
     def lengths(batches):
         encoder = PieceEncoder.shared(vocabulary_path)
-        for batch in batches:
+        for batch in slices(batches):
             got = [len(x) // 4 + extra_tokens for x in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=[key, "n_tokens"])
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .piece_encoder import PieceEncoder
 
 MAGIC = b"LFDAC\x01\0\0"
@@ -154,15 +154,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
             system.move(hidden, name)
             keys, ids, held, before, files = [], [], 0, before + held, files + 1
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(names), 256):
-                for name, got in zip(names[a : a + 256], encoder.encode(texts[a : a + 256]), strict=True):
-                    keys.append(name)
-                    ids.append(np.concatenate([np.frombuffer(got, np.uint32), end]))
-                    held += len(ids[-1])
-                    if held >= file_tokens:
-                        flush()
+        for batch in slices(batches, 256):
+            for name, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                keys.append(name)
+                ids.append(np.concatenate([np.frombuffer(got, np.uint32), end]))
+                held += len(ids[-1])
+                if held >= file_tokens:
+                    flush()
         if keys:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64())], names=["part", "n_tokens"])
