@@ -19,9 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import LATIN_END, byte_symbols
+from .common import LATIN_END, byte_symbols, slices
 
 #: Up to so many symbols, a word is encoded by scanning its ranks.
 SHORT = 48
@@ -215,11 +216,25 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, *, key: str = "doc_
 
     def work(batches):
         bpe = WordBPE.shared(vocabulary_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 512):
-                got = bpe.encode(texts[a : a + 512])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(got)), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary()).cast(pa.string())], names=["key", "ids", "decoded"])
+        for batch in slices(batches):
+            got = bpe.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary()).cast(pa.string())], names=["key", "ids", "decoded"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(work, f"key {rows.schema[0].dataType.simpleString()}, ids binary, decoded string")
+
+
+def encoded_documents(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> DataFrame:
+    """The documents with ids and decoded beside their own columns; a column of these names is replaced."""
+    own = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
+    place = [f.name for f in own].index(text)
+
+    def work(batches):
+        bpe = WordBPE.shared(vocabulary_path)
+        for batch in slices(batches):
+            got = bpe.encode(batch.column(place).to_pylist())
+            more = [pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*(f.name for f in own), "ids", "decoded"])
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in own), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return docs.select(*[F.col(f"`{f.name}`") for f in own]).mapInArrow(work, schema)
