@@ -70,7 +70,7 @@ def _joined(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
 def _rank(u: Column, share: Column, preference: Column | None) -> Column:
     """q / (1 + q), in the order of q. Null if nothing is left to sample."""
     odds = share / (F.lit(1.0) - share)
-    q = (u / (F.lit(1.0) - u)) / (odds if preference is None else odds * preference)
+    q = F.try_divide(u / (F.lit(1.0) - u), odds if preference is None else odds * preference)
     return q / (F.lit(1.0) + q)
 
 

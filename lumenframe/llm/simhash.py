@@ -132,4 +132,4 @@ def first_of_groups(docs: DataFrame, *, key: str = "doc_id", **options) -> DataF
     """The documents whose key is their group's smallest, with their own columns; rows without a key stay."""
     found = near_duplicates(docs, key=key, **options)
     gone = found.where("key <> component").select(F.col("key").alias("gone_")).distinct()
-    return docs.join(gone, F.col(key) == F.col("gone_"), "left_anti")
+    return docs.join(gone, docs[key] == gone["gone_"], "left_anti")

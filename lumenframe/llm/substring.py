@@ -247,8 +247,10 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(touched, pa.bool_())], names=["key_", "hash_", "new_", "touched_"])
 
     new = rows.mapInArrow(work, "key_ long, hash_ long, new_ string, touched_ boolean").where("touched_").distinct()
-    out = docs.join(new, F.col(key).cast("long").eqNullSafe(F.col("key_")) & (F.xxhash64(F.col(text)) == F.col("hash_")), "left").where("touched_ IS NULL OR new_ <> ''")
-    changed = {text: F.when(F.col("touched_"), F.col("new_")).otherwise(F.col(text))}
-    if length and length in docs.columns:
-        changed[length] = F.when(F.col("touched_"), F.char_length("new_")).otherwise(F.col(length)).cast(docs.schema[length].dataType)
-    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(F.struct("*").alias("doc"), F.col(key).cast("long").alias("k_"), F.xxhash64(F.col(text)).alias("h_"))
+    out = held.join(new, F.col("k_").eqNullSafe(F.col("key_")) & (F.col("h_") == F.col("hash_")), "left").where("touched_ IS NULL OR new_ <> ''")
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    changed = own | {text: F.when(F.col("touched_"), F.col("new_")).otherwise(own[text])}
+    if length and length in own:
+        changed[length] = F.when(F.col("touched_"), F.char_length("new_")).otherwise(own[length]).cast(docs.schema[length].dataType)
+    return out.select(*[changed[c].alias(c) for c in docs.columns])
