@@ -19,9 +19,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = text_crc_mod("doc_id", 4) == 2
-    out = langid.identify(docs, learn_from=~held_out)
-    return out.select(F.col("key").alias("doc_id"), (text_crc_mod("key", 4) == 2).alias("held_out"), "lang_pred", "score")
+    held_out = lambda key: F.coalesce(text_crc_mod(key, 4) == 2, F.lit(False))
+    out = langid.identify(docs, learn_from=~held_out("doc_id"))
+    return out.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "lang_pred", "score")
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
