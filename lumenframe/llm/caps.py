@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, kept_by_worker
 from .components import Forest, components, link_rows
 
 COSINE = 0.95
@@ -166,6 +166,7 @@ def _links(classes: DataFrame, dimensions: int, scratch: Scratch, cosine: float,
     """(a, b, n): n links of class a where b is null; an edge between classes a and b where it is not."""
 
     def decode(batches):
+        kept_by_worker("caps")
         for batch in batches:
             x = _matrix(batch.column(2), dimensions)
             who, number = code.decode(_units(x))

@@ -17,6 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 LATIN_END = "\u024f"
 
 _own_folder: list[str] = []
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, build=None):
+    """What an operator keeps in a Python worker from task to task. A worker keeps it for one operator at a time, so that memory has room for the next."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build() if build else None
+    return _kept[name]
+
 
 
 class Generations(dict):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept_by_worker, slices
 
 #: Labelled documents of each language that the model is fitted on, at most about so many (a hash of the key picks them).
 DOCUMENTS_PER_LANGUAGE = 400
@@ -38,7 +38,6 @@ CACHE_WORDS = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_caches: dict[str, _Words | None] = {}
 
 
 def chains(text: str | None) -> list[list[str]]:
@@ -273,11 +272,9 @@ def identify(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text:
 
     def predict(batches):
         model = shared.value
-        if name not in _caches:
-            _caches.clear()
-            _caches[name] = _Words(model) if model else None
+        words = kept_by_worker(f"scores {name}", lambda: _Words(model) if model else None)
         for batch in slices(batches):
-            got = predict_texts(model, batch.column(1).to_pylist(), _caches[name])
+            got = predict_texts(model, batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -18,7 +18,7 @@ import re
 
 import regex
 
-from .common import LATIN_END, Generations, byte_symbols
+from .common import LATIN_END, Generations, byte_symbols, kept_by_worker
 
 #: Pieces and words that a Python worker keeps in each of two generations.
 CACHE_PIECES, CACHE_WORDS = 350_000, 20_000
@@ -26,7 +26,6 @@ CACHE_PIECES, CACHE_WORDS = 350_000, 20_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The split that byte-level pre-tokenisation makes (a fixed value of such vocabularies).
 _PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_shared: dict[str, PieceEncoder] = {}
 
 
 class _SpaceBeside(Exception):
@@ -58,9 +57,7 @@ class PieceEncoder:
     @classmethod
     def shared(cls, vocabulary_path: str) -> PieceEncoder:
         """One per Python worker, so that tasks of the same worker share its caches."""
-        if vocabulary_path not in _shared:
-            _shared[vocabulary_path] = cls(vocabulary_path)
-        return _shared[vocabulary_path]
+        return kept_by_worker(f"pieces {vocabulary_path}", lambda: cls(vocabulary_path))
 
     def _word(self, shown: str) -> bytes:
         """Ids of a word that is written in byte symbols."""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, kept_by_worker, slices
 from .components import Forest, components, link_rows
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sh
     """(key, fp) of every whole text, in one pass."""
 
     def work(batches):
+        kept_by_worker("fingerprints")
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], pa.int64())], names=["key", "fp"])
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, kept_by_worker, slices
 
 WINDOW = 20
 LEVELS = 3
@@ -149,6 +149,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         final = level == len(sizes) - 1
 
         def parts(batches):
+            kept_by_worker("windows")
             for batch in slices(batches):
                 keys, hashes_of = batch.column(0), batch.column(1)
                 took, where, one, two = [], [], [], []

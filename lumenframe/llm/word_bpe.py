@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import LATIN_END, byte_symbols, slices
+from .common import LATIN_END, byte_symbols, kept_by_worker, slices
 
 #: Up to so many symbols, a word is encoded by scanning its ranks.
 SHORT = 48
@@ -34,7 +34,6 @@ NO_RANK = np.int32(2**31 - 1)
 #: Unicode's White_Space, which str.split() exceeds by four controls.
 _SPACE = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
-_shared: dict[str, WordBPE] = {}
 
 
 class WordBPE:
@@ -76,9 +75,7 @@ class WordBPE:
     @classmethod
     def shared(cls, path: str) -> WordBPE:
         """One per Python worker, so that tasks of the same worker share its cache."""
-        if path not in _shared:
-            _shared[path] = cls(path)
-        return _shared[path]
+        return kept_by_worker(f"words {path}", lambda: cls(path))
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right.astype(np.int64)
