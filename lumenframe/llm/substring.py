@@ -13,20 +13,22 @@ found once, and a fraction of the short windows is counted instead of all.
 
 What a level finds out goes back to the documents as places to give up (what occurs
 once), so hot sequences are only ever counted, with counts combined before they are
-shuffled, never joined or gathered.  Texts are dealt by document once; later levels
-use the same exchange.  Exact copies of a whole text take part as one text, the first;
+shuffled, never joined or gathered.  Texts are dealt by document once; the last
+pass carries the other columns along.  Exact copies of a whole text take part as one text, the first;
 of the others all words go, which is what their windows would say.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, kept_by_worker, slices
 
@@ -91,21 +93,22 @@ def follow(hashes: np.ndarray, sizes: list[int], given_up: list[np.ndarray]) ->
     return starts, parts
 
 
-def _levels_of(batch: pa.RecordBatch, first: int) -> list[list[np.ndarray]]:
-    """Columns from first on, each an array of places or null, as arrays for each row."""
+def _levels_of(batch: pa.RecordBatch, first: int, count: int | None = None) -> list[list[np.ndarray]]:
+    """Columns from first on (all, or count of them), each an array of places or null, as arrays for each row."""
     none = np.zeros(0, np.int64)
-    columns = [batch.column(k).to_pylist() for k in range(first, batch.num_columns)]
+    columns = [batch.column(k).to_pylist() for k in range(first, batch.num_columns if count is None else first + count)]
     return [[none if x is None else np.array(x, np.int64) for x in row] for row in zip(*columns, strict=True)] if columns else [[] for _ in range(batch.num_rows)]
 
 
-def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, levels: int = LEVELS) -> tuple[DataFrame, list[int]]:
-    """Texts with what to give up: (key, text, copy, gone0, gone1, ..., firsts), and the lengths of the levels.
+def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, levels: int = LEVELS, carry: Sequence[Column] = ()) -> tuple[DataFrame, list[int]]:
+    """Texts with what to give up: (key, hash, text, copy, gone0, gone1, ..., firsts, carried columns), and the lengths of the levels.
 
     Windows of a text are what follow() leaves of it; those not in firsts are to be removed. Of a copy, all are.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     sizes = lengths(window, levels)
-    base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    own = [F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")]
+    base = docs.select(*own)
     # Copies are known by 128 bits of their text and its length.
     named = base.where("text IS NOT NULL").select("key", "hash", F.xxhash64(F.lit(1), "text").alias("hash2"), F.octet_length("text").alias("bytes"))
     groups = scratch.keep(named.groupBy("hash", "hash2", "bytes").agg(F.min("key").alias("first"), F.max(F.col("key").isNull()).alias("unnamed"), F.count(F.lit(1)).alias("copies")), "texts")
@@ -129,16 +132,18 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         unpack = [F.col("place.key").alias("key"), F.col("place.hash").alias("hash"), F.col("place.at").alias("at")]
         on = ["key", "hash"]
     match = ["doc", *on[1:]]
-    texts = base.select(F.coalesce("key", F.lit(0)).alias("doc"), "hash", "key", "text")  # the exchange that all levels share
     copies = copies.select("doc", "hash", "copy")
 
-    def join_up(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    def join_up(tables: list[tuple[str, DataFrame]], carry: Sequence[Column] = ()) -> DataFrame:
+        carried = [f"carried{k}" for k in range(len(carry))]
+        held = docs.select(*own, *[c.alias(n) for c, n in zip(carry, carried, strict=True)]) if carry else base
+        texts = held.select(F.coalesce("key", F.lit(0)).alias("doc"), "hash", "key", "text", *carried)
         out = texts.join(copies, ["doc", "hash"], "left") if len(match) > 1 else texts.join(copies.withColumnRenamed("hash", "hash_c"), "doc", "left")
         if len(match) == 1:
             out = out.withColumn("copy", F.col("copy") & (F.col("hash") == F.col("hash_c"))).drop("hash_c")
         for _, table in tables:
             out = out.join(table, match, "left")
-        return out.select("key", "hash", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *[name for name, _ in tables])
+        return out.select("key", "hash", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *[name for name, _ in tables], *carried)
 
     def back(found: DataFrame, name: str) -> DataFrame:
         """Places, gathered by document: as many as the document's words at most."""
@@ -183,7 +188,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         once = counts if final else counts.where("n = 1")
         gone.append((name, scratch.keep(back(once, name), name)))
         scratch.release()
-    return join_up(gone), sizes
+    return join_up(gone, carry), sizes
 
 
 def _removed_words(words: list[bytes], copy: bool, places: list[np.ndarray], sizes: list[int]) -> np.ndarray:
@@ -231,27 +236,29 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A text that loses no word stays as it is; of another, the kept words are joined by one
     space, and the column named by length, if there is one, is set to its new length.
     """
-    rows, sizes = removals(docs, key=key, text=text, **options)
+    names, types = docs.columns, [f.dataType for f in docs.schema.fields]
+    others = [k for k, c in enumerate(names) if c != text]
+    rows, sizes = removals(docs, key=key, text=text, carry=[F.col(f"`{names[k]}`") for k in others], **options)
+    first = 4 + len(sizes)
 
     def work(batches):
         for batch in slices(batches):
-            texts, touched = [], []
-            for value, copy, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4), strict=True):
+            texts, stays, lengths = [], [], {}
+            for i, (value, copy, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4, len(sizes)), strict=True)):
                 words = words_of(value)
                 removed = _removed_words(words, copy, places, sizes)
                 if removed.any():
-                    texts.append(b" ".join([w for w, x in zip(words, removed.tolist(), strict=True) if not x]).decode("utf-8", "surrogatepass"))
-                    touched.append(True)
-                else:
-                    texts.append(None)
-                    touched.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(touched, pa.bool_())], names=["key_", "hash_", "new_", "touched_"])
-
-    new = rows.mapInArrow(work, "key_ long, hash_ long, new_ string, touched_ boolean").where("touched_").distinct()
-    held = docs.select(F.struct("*").alias("doc"), F.col(key).cast("long").alias("k_"), F.xxhash64(F.col(text)).alias("h_"))
-    out = held.join(new, F.col("k_").eqNullSafe(F.col("key_")) & (F.col("h_") == F.col("hash_")), "left").where("touched_ IS NULL OR new_ <> ''")
-    own = {c: F.col("doc").getField(c) for c in docs.columns}
-    changed = own | {text: F.when(F.col("touched_"), F.col("new_")).otherwise(own[text])}
-    if length and length in own:
-        changed[length] = F.when(F.col("touched_"), F.char_length("new_")).otherwise(own[length]).cast(docs.schema[length].dataType)
-    return out.select(*[changed[c].alias(c) for c in docs.columns])
+                    value = b" ".join([w for w, x in zip(words, removed.tolist(), strict=True) if not x]).decode("utf-8", "surrogatepass")
+                    lengths[i] = len(value)
+                stays.append(i not in lengths or value != "")
+                texts.append(value)
+            columns: list[pa.Array] = [None] * len(names)
+            columns[names.index(text)] = pa.array(texts, pa.string())
+            for at, k in enumerate(others):
+                columns[k] = batch.column(first + at)
+                if names[k] == length and lengths:
+                    columns[k] = pa.array([lengths.get(i, x) for i, x in enumerate(columns[k].to_pylist())], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))]).filter(pa.array(stays, pa.bool_()))
+
+    out = rows.mapInArrow(work, T.StructType([T.StructField(f"c{k}", t) for k, t in enumerate(types)]))
+    return out.toDF(*names)
