@@ -21,7 +21,7 @@ import regex
 from .common import LATIN_END, Generations, byte_symbols, kept_by_worker
 
 #: Pieces and words that a Python worker keeps in each of two generations.
-CACHE_PIECES, CACHE_WORDS = 350_000, 20_000
+CACHE_PIECES, CACHE_WORDS = 400_000, 20_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The split that byte-level pre-tokenisation makes (a fixed value of such vocabularies).
@@ -72,15 +72,17 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a space and the piece."""
+        if self.marks and piece.isascii():
+            if piece.isalpha():
+                return self._word(self.space + piece)
+            if piece[-1:] in self.marks and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.words[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _SpaceBeside
-        if self.marks:
+        if self.marks and max(piece) <= LATIN_END:
             if piece.isalpha():
-                if piece.isascii():
-                    return self._word(self.space + piece)
-                if max(piece) <= LATIN_END:
-                    return self._word(self.space + piece.encode("utf-8").decode("latin-1").translate(self.symbols))
-            elif piece[-1:] in self.marks and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= LATIN_END):
+                return self._word(self.space + piece.encode("utf-8").decode("latin-1").translate(self.symbols))
+            if piece[-1] in self.marks and piece[:-1].isalpha():
                 return self.pieces[piece[:-1]] + self.words[piece[-1]]
         return self._alone(f" {piece}")
 

@@ -117,16 +117,16 @@ class TokenFile:
         where = None
         for k in range(1, len(self.levels)):
             chunks, bitmap, _ = self.levels[k - 1]
-            on = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
-            where = on if where is None else where[on]
-            out[where] |= self.levels[k][0].astype(np.uint32) << np.uint32(8 * k)
+            on = np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)
+            where = on if where is None else (np.flatnonzero(where) if where.dtype == bool else where)[on]
+            out[where] += self.levels[k][0].astype(np.uint32) << np.uint32(8 * k)
         return out
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every whole text, append end_id, and write the ids in ascending key order; returns (part, n_tokens).
 
-    The order is made by a range partitioning of the key, which must be integral; rows of
+    The order is made by ranges of the key, which must be integral, as many as there are shuffle partitions; rows of
     equal key follow in the order of a hash of their text, so a task that runs again
     writes the same bytes.  A file appears under its name only when it is complete.
     Null text: the end id alone.  Null keys come first.  An empty table writes no file.
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
         encoder = PieceEncoder.shared(vocabulary_path)
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
-        end = np.array([end_id], np.uint32)
+        end = end_id.to_bytes(4, "little")
         held = before = files = 0
 
         def flush():
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
         for batch in slices(batches, 256):
             for name, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 keys.append(name)
-                ids.append(np.concatenate([np.frombuffer(got, np.uint32), end]))
+                ids.append(np.frombuffer(got + end, "<u4"))
                 held += len(ids[-1])
                 if held >= file_tokens:
                     flush()
@@ -166,7 +166,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64())], names=["part", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    # The bounds of the ranges come from the keys alone; a sample of whole rows would read the texts once more.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    part = F.size(F.filter(F.lit(sorted(set(bounds or [])) or [0]).cast("array<bigint>"), lambda b: b <= F.col("key")))
+    ordered = rows.repartitionById(parts, F.when(F.col("key").isNull(), 0).otherwise(part)).sortWithinPartitions("key", F.xxhash64("text"))
     return ordered.mapInArrow(write, "part int, n_tokens long")
 
 
