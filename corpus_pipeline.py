@@ -5,8 +5,8 @@ but the last return the columns of documents:
 
 * quality_rules drops what fails the base rules or the likelihood-ratio verdict; the trusted documents are those labelled of
   good quality and not toxic.
-* near_duplicates keeps the document with the smallest id of each group linked by SimHash, with the operator's production
-  parameters (3-word shingles, 2 bits); documents without an id stay.
+* near_duplicates keeps one row of each group linked by a Jaccard similarity of 5-word shingles of 0.8 or more, exactly: that of
+  the smallest id; a row without an id stays only if its group has none.
 * substring_dedup cuts passages of 20 words and more that also start earlier. Texts that lose a word are joined anew by single
   spaces and n_chars follows; a text that loses all its words goes.
 * source_mixing repeats each document as often as the mix takes it, not at all up to three times.
@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import mixing, quality, simhash, substring, word_bpe
+from lumenframe.llm import mixing, quality, similar, substring, word_bpe
 from lumenframe.llm.common import Scratch, read
 
 ORACLE_SQL = None
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_groups(docs)
+    return similar.first_of_groups(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
