@@ -28,7 +28,6 @@ def kept_by_worker(name: str, build=None):
     return _kept[name]
 
 
-
 class Generations(dict):
     """Results of a function, kept for the keys in use: when limit keys are held, they become the old ones, and only those used again stay."""
 
@@ -122,6 +121,14 @@ def slices(batches, rows: int = 512):
             yield batch.slice(a, rows)
 
 
+def integral_key(df: DataFrame, key: str) -> Column:
+    """The key as a long. Keys name components and places, so they must be whole numbers: TypeError otherwise."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"key column {key} is {kind}: whole numbers are needed; number the rows first")
+    return F.col(f"`{key}`").cast("long")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_by_worker, slices
+from .common import Scratch, integral_key, kept_by_worker, slices
 from .components import Forest, components, link_rows
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sh
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], pa.int64())], names=["key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(work, "key long, fp long")
+    return docs.select(integral_key(docs, key).alias("key"), F.col(text).alias("text")).mapInArrow(work, "key long, fp long")
 
 
 def _near_tiles(radius: int) -> list[int]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, kept_by_worker, slices
+from .common import Scratch, integral_key, kept_by_worker, slices
 
 WINDOW = 20
 LEVELS = 3
@@ -100,6 +100,11 @@ def _levels_of(batch: pa.RecordBatch, first: int, count: int | None = None) -> l
     return [[none if x is None else np.array(x, np.int64) for x in row] for row in zip(*columns, strict=True)] if columns else [[] for _ in range(batch.num_rows)]
 
 
+def _doc() -> list[Column]:
+    """What a document is joined on: its key, and whether it has one (no key is not key 0)."""
+    return [F.coalesce("key", F.lit(0)).alias("doc"), F.col("key").isNotNull().alias("named")]
+
+
 def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, levels: int = LEVELS, carry: Sequence[Column] = ()) -> tuple[DataFrame, list[int]]:
     """Texts with what to give up: (key, hash, text, copy, gone0, gone1, ..., firsts, carried columns), and the lengths of the levels.
 
@@ -107,7 +112,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
     """
     scratch = Scratch(docs.sparkSession, "substring")
     sizes = lengths(window, levels)
-    own = [F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")]
+    own = [integral_key(docs, key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")]
     base = docs.select(*own)
     # Copies are known by 128 bits of their text and its length.
     named = base.where("text IS NOT NULL").select("key", "hash", F.xxhash64(F.lit(1), "text").alias("hash2"), F.octet_length("text").alias("bytes"))
@@ -116,11 +121,11 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
     low, high, longest, named_twice = groups.select(first.alias("first"), "bytes").agg(F.min("first"), F.max("first"), F.max("bytes"), F.count(F.lit(1)) - F.count_distinct("first")).first()
     # A copy's key is above the first of its text, so (key, hash) tells copies from firsts.
     copied = groups.where("copies > 1").select(F.col("hash").alias("hash_"), "hash2", "bytes", first.alias("first"))
-    copies = named.join(copied, (F.col("hash") == F.col("hash_")) & (named["hash2"] == copied["hash2"]) & (named["bytes"] == copied["bytes"])).where(~F.col("key").eqNullSafe(F.col("first"))).select(F.coalesce("key", F.lit(0)).alias("doc"), "hash", F.lit(True).alias("copy")).distinct()
+    copies = named.join(copied, (F.col("hash") == F.col("hash_")) & (named["hash2"] == copied["hash2"]) & (named["bytes"] == copied["bytes"])).where(~F.col("key").eqNullSafe(F.col("first"))).select(*_doc(), "hash", F.lit(True).alias("copy")).distinct()
     copies = scratch.keep(copies, "copies")
     bits = int(longest or 1).bit_length()
     low = low or 0
-    packs = not named_twice and (int(high or 0) - low + 2).bit_length() + bits <= 62
+    packs = not named_twice and (int(high or 0) - low + 2).bit_length() + bits <= 62 and copies.groupBy("doc", "named").count().where("count > 1").isEmpty()
 
     # A place is a document and a word; places are in the order of keys, nulls first, then of the texts' hashes, then of words.
     if packs:
@@ -131,15 +136,16 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         place = F.struct("key", "hash", "at")
         unpack = [F.col("place.key").alias("key"), F.col("place.hash").alias("hash"), F.col("place.at").alias("at")]
         on = ["key", "hash"]
-    match = ["doc", *on[1:]]
-    copies = copies.select("doc", "hash", "copy")
+    match = ["doc", "named", *on[1:]]
+    copies = copies.select("doc", "named", "hash", "copy")
 
     def join_up(tables: list[tuple[str, DataFrame]], carry: Sequence[Column] = ()) -> DataFrame:
         carried = [f"carried{k}" for k in range(len(carry))]
         held = docs.select(*own, *[c.alias(n) for c, n in zip(carry, carried, strict=True)]) if carry else base
-        texts = held.select(F.coalesce("key", F.lit(0)).alias("doc"), "hash", "key", "text", *carried)
-        out = texts.join(copies, ["doc", "hash"], "left") if len(match) > 1 else texts.join(copies.withColumnRenamed("hash", "hash_c"), "doc", "left")
-        if len(match) == 1:
+        texts = held.select(*_doc(), "hash", "key", "text", *carried)
+        # All joins have the same columns, so that texts are dealt once.
+        out = texts.join(copies, match, "left") if len(match) > 2 else texts.join(copies.withColumnRenamed("hash", "hash_c"), match, "left")
+        if len(match) == 2:
             out = out.withColumn("copy", F.col("copy") & (F.col("hash") == F.col("hash_c"))).drop("hash_c")
         for _, table in tables:
             out = out.join(table, match, "left")
@@ -147,7 +153,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
 
     def back(found: DataFrame, name: str) -> DataFrame:
         """Places, gathered by document: as many as the document's words at most."""
-        rows = found.select(*unpack).withColumn("doc", F.coalesce("key", F.lit(0)))
+        rows = found.select(*unpack).select("*", *_doc())
         return rows.groupBy(*match).agg(F.collect_list(F.col("at").cast("int")).alias(name))
 
     def emit(level: int):
@@ -234,7 +240,10 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """The documents with repeated passages cut out of their texts; those that lose every word go.
 
     A text that loses no word stays as it is; of another, the kept words are joined by one
-    space, and the column named by length, if there is one, is set to its new length.
+    space, and the column named by length, if there is one, is set to its new length.  Null and empty texts, and those
+    shorter than a window, stay as they are.  Null keys come before all others; rows of equal key stand in the order of
+    a hash of their text, and equal rows are one place, so neither is cut for the other.  Texts of any length are taken whole.
+    An empty table gives none.  Keys must be whole numbers (TypeError).  All other columns are carried along as they are.
     """
     names, types = docs.columns, [f.dataType for f in docs.schema.fields]
     others = [k for k, c in enumerate(names) if c != text]

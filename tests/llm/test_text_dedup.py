@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import components, simhash, substring
 from lumenframe.llm.common import Scratch
 
+from .conftest import frame
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,42 +84,55 @@ def test_first_of_groups_keeps_columns_and_smallest(docs):
     assert 75 in ids and not ids & {76, 77, 80, 81} and None in ids
 
 
+def place_of(key, text):
+    """Null keys first, then keys, then a hash of the text; equal rows are one place."""
+    return key is not None, key or 0, (xxhash.xxh64_intdigest((text or "").encode(), 42) + (1 << 63)) % (1 << 64)
+
+
 def removed(rows, window=20):
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    """{row: [(words, which go)]} by brute force."""
     first, out = {}, {}
-    for k in order:
-        d, w = rows[k][0], words(rows[k][1])
+    for d, t, *_ in sorted(rows, key=lambda r: place_of(r[0], r[1])):
+        w = words(t)
         for i in range(len(w) - window + 1):
-            first.setdefault(tuple(w[i : i + window]), (d is not None, d or 0, i))
+            first.setdefault(tuple(w[i : i + window]), (*place_of(d, t), i))
     for d, t, *_ in rows:
         w = words(t)
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < (d is not None, d or 0, i):
+            if first[tuple(w[i : i + window])] < (*place_of(d, t), i):
                 gone[i : i + window] = [True] * window
         out.setdefault(d, []).append((w, gone))
     return out
 
 
+def digest_rows(found):
+    return Counter((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()) for d, rs in found.items() for w, gone in rs)
+
+
 @pytest.mark.parametrize("levels", [1, 2, 3, 6])
 def test_substring_equals_brute_force(docs, rows, levels):
-    plain = [r for r in rows if r[0] is not None]  # ids are unique but for one repeated row
-    got = {}
-    for r in substring.digests(docs.where("doc_id IS NOT NULL"), levels=levels).collect():
-        got.setdefault(r.key, set()).add((r.n_words, r.n_removed, r.kept_sha256))
-    for d, found in removed(plain).items():
-        w, gone = found[0]
-        kept = [x for x, g in zip(w, gone, strict=True) if not g]
-        assert got[d] == {(len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())}, d
-
-
-def test_substring_with_null_keys_puts_them_first(docs, rows):
-    got = substring.digests(docs).collect()
-    assert len(got) == len(rows)
-    by = {}
-    for r in got:
-        by.setdefault(r.key, []).append(r)
-    assert all(r.n_removed == r.n_words for d in (75, 76) for r in by[d])  # a row without a key holds the text first
+    """All rows: null, repeated and equal keys, nulls and empty texts, copies."""
+    got = substring.digests(docs, levels=levels).collect()
+    assert Counter(tuple(r) for r in got) == digest_rows(removed(rows))
+
+
+def test_substring_key_zero_is_not_a_null_key(spark, rows):
+    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(45))
+    for more in ([(None, a), (0, a)], [(None, a), (0, a), (0, b), (None, b)], [(0, a), (3, a), (0, b), (5, b), (5, a), (None, b)], [(0, a), (0, a), (None, "x"), (1, a)]):
+        every = [(*r, "en", "s") for r in more] + [r for r in rows if r[0] is None or r[0] > 40]
+        got = substring.digests(frame(spark, every).repartition(3)).collect()
+        assert Counter(tuple(r) for r in got) == digest_rows(removed(every)), more
+        kept = Counter(r.doc_id for r in substring.without_repeats(frame(spark, every)).collect())
+        want = Counter(d for d, rs in removed(every).items() for w, gone in rs if not w or not all(gone))
+        assert kept == want
+
+
+def test_keys_must_be_whole_numbers(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (simhash.near_duplicates, substring.digests, substring.without_repeats):
+        with pytest.raises(TypeError, match="doc_id is string"):
+            f(docs)
 
 
 def test_substring_rows_of_equal_key_and_different_text(spark):
