@@ -70,7 +70,8 @@ class WordBPE:
         self.pair_keys, self.pair_ranks = pairs[order][first], order[first].astype(np.int32)
         self.rank_of = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
         self.text_of = [t.encode("utf-8") for t in self.tokens]
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self._all_named = all(self.text_of)
+        self.cache: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> WordBPE:
@@ -158,33 +159,26 @@ class WordBPE:
         """Put the ids of stretches without white space into the cache."""
         split = [self.words(c) for c in chunks]
         names = list({w for ws in split for w in ws})
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        known: dict[bytes, bytes] = {}
         short = sorted((w for w in names if len(w) <= SHORT), key=len)
         for k in range(0, len(short), 8192):
             part = short[k : k + 8192]
-            known.update((w, self._packed(ids)) for w, ids in zip(part, self._short(part), strict=True))
-        known.update((w, self._packed(self._long(w))) for w in names if len(w) > SHORT)
+            known.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(part, self._short(part), strict=True))
+        known.update((w, self._long(w).astype("<u4").tobytes()) for w in names if len(w) > SHORT)
         for c, ws in zip(chunks, split, strict=True):
-            if len(ws) == 1:
-                self.cache[c] = known[ws[0]]
-            else:
-                self.cache[c] = b"".join(known[w][0] for w in ws), b"".join(known[w][1] for w in ws)
-
-    def _packed(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """Ids as little-endian bytes; their tokens, each after a space."""
-        return ids.astype("<u4").tobytes(), b"".join(b" " + self.text_of[i] for i in ids.tolist())
+            self.cache[c] = known[ws[0]] if len(ws) == 1 else b"".join(known[w] for w in ws)
 
     def _chunks(self, text: str) -> list[str]:
         """Stretches without white space. What stands on either side of white space never meets in a word."""
         return [x for x in _SPACE.split(text) if x] if _CONTROLS.search(text) else text.split()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and its decoded text in UTF-8. Null counts as empty."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers. Null counts as empty."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache, cut, new = self.cache, [], set()
         for token, i in self.added.items():
-            cache[token] = self._packed(np.array([i], np.int32))
+            cache[token] = i.to_bytes(4, "little")
         for text in texts:
             text = text or ""
             chunks = self._chunks(text)
@@ -194,43 +188,55 @@ class WordBPE:
             cut.append(chunks)
         names = list(new)
         self._encode_new(names)
-        out = []
-        for chunks in cut:
-            found = list(map(cache.__getitem__, chunks))
-            out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])[1:]))
+        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
         for name in names:
             if len(name) > SHORT:
                 del cache[name]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens of ids joined by spaces: the vocabulary has no decoder. Unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if 0 <= i < len(self.tokens) and self.tokens[i])
+    def decode(self, ids: bytes | np.ndarray | list[int]) -> bytes:
+        """The text of ids, in UTF-8: their tokens joined by spaces, as the vocabulary has no decoder. Unknown ids are left out."""
+        ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids, np.int64)
+        try:
+            return b" ".join(map(self.text_of.__getitem__, ids.tolist())) if self._all_named and (not len(ids) or ids.min() >= 0) else self._decode_some(ids)
+        except IndexError:
+            return self._decode_some(ids)
+
+    def _decode_some(self, ids: np.ndarray) -> bytes:
+        return b" ".join([self.text_of[i] for i in ids.tolist() if 0 <= i < len(self.text_of) and self.text_of[i]])
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids binary, decoded string) of every whole text: one pass, no shuffle. A null text has no ids and decodes to ''."""
+    """(key, ids binary, decoded string) of every whole text: one pass, no shuffle. decoded is made from ids alone.
+
+    A null or empty text has no ids and decodes to ''. A text of any length is encoded whole. Rows of equal or null key
+    are encoded each by its own text; the key may be of any type. An empty table gives none. Other columns are not read.
+    """
 
     def work(batches):
         bpe = WordBPE.shared(vocabulary_path)
         for batch in slices(batches):
             got = bpe.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary()).cast(pa.string())], names=["key", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary()), pa.array(map(bpe.decode, got), pa.binary()).cast(pa.string())], names=["key", "ids", "decoded"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(work, f"key {rows.schema[0].dataType.simpleString()}, ids binary, decoded string")
 
 
 def encoded_documents(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> DataFrame:
-    """The documents with ids and decoded beside their own columns; a column of these names is replaced."""
-    own = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
+    """The documents with ids and decoded beside their own columns; a column of these names, in upper or lower case, is replaced.
+
+    Rows stay as they are, repeated ones and those of null key or text too; a null text has no ids and decodes to ''. A
+    text of any length is encoded whole. An empty table gives none.
+    """
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("ids", "decoded")]
     place = [f.name for f in own].index(text)
 
     def work(batches):
         bpe = WordBPE.shared(vocabulary_path)
         for batch in slices(batches):
             got = bpe.encode(batch.column(place).to_pylist())
-            more = [pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary()).cast(pa.string())]
+            more = [pa.array(got, pa.binary()), pa.array(map(bpe.decode, got), pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*(f.name for f in own), "ids", "decoded"])
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in own), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
