@@ -16,16 +16,21 @@ from .piece_encoder import PieceEncoder
 
 
 def encoded_lengths(docs: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: str = "text", extra_tokens: int = 0) -> DataFrame:
-    """(key, n_tokens) of every whole text, in one pass without a shuffle. A null text has extra_tokens only."""
+    """(key, n_tokens) of every whole text, in one pass without a shuffle; a key called n_tokens is called key.
+
+    A null or empty text has extra_tokens only.  Keys may be of any type, null, or repeated: every row has its own length.
+    An empty table gives none.  Other columns are not read.
+    """
+    name = "key" if key.lower() == "n_tokens" else key
 
     def lengths(batches):
         encoder = PieceEncoder.shared(vocabulary_path)
         for batch in slices(batches):
             got = [len(x) // 4 + extra_tokens for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=[key, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=[name, "n_tokens"])
 
     rows = docs.select(F.col(key), F.col(text))
-    return rows.mapInArrow(lengths, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens long")
+    return rows.mapInArrow(lengths, f"`{name}` {rows.schema[0].dataType.simpleString()}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, *, n_tokens: str = "n_tokens") -> DataFrame:

@@ -20,6 +20,7 @@ A file holds documents in ascending order of their key, nulls first:
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -27,10 +28,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, integral_key, slices
 from .piece_encoder import PieceEncoder
 
 MAGIC = b"LFDAC\x01\0\0"
@@ -126,11 +127,11 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every whole text, append end_id, and write the ids in ascending key order; returns (part, n_tokens).
 
-    The order is made by ranges of the key, which must be integral, as many as there are shuffle partitions; rows of
-    equal key follow in the order of a hash of their text, so a task that runs again
-    writes the same bytes.  A file appears under its name only when it is complete.
-    Null text: the end id alone.  Null keys come first.  An empty table writes no file.
-    The folder's file system must be one that pyarrow opens by URI.
+    The order is made by ranges of the key, which must be a whole number (TypeError), as many as there are shuffle partitions; rows of
+    equal key, or of none, follow in the order of a hash of their text, so a task that runs again
+    writes the same bytes, in the place of those of the lost one.  A file appears under its name only when it is complete.
+    Null and empty texts: the end id alone.  Texts of any length are encoded whole.  Null keys come first.  Equal rows are written each.
+    An empty table writes no file.  Other columns are not read.  The folder's file system must be one that pyarrow opens by URI.
     """
 
     def write(batches):
@@ -151,6 +152,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
             system.create_dir(at, recursive=True)
             with system.open_output_stream(hidden) as out:
                 out.write(pack(keys, ids, before))
+            if system.get_file_info(name).type != fs.FileType.NotFound:
+                system.delete_file(name)  # of a task that was lost after it had written; not every file system moves onto a file
             system.move(hidden, name)
             keys, ids, held, before, files = [], [], 0, before + held, files + 1
 
@@ -165,15 +168,48 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64())], names=["part", "n_tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    # The bounds of the ranges come from the keys alone; a sample of whole rows would read the texts once more.
+    rows = docs.select(integral_key(docs, key).alias("key"), F.col(text).alias("text"))
+    rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
-    part = F.size(F.filter(F.lit(sorted(set(bounds or [])) or [0]).cast("array<bigint>"), lambda b: b <= F.col("key")))
-    ordered = rows.repartitionById(parts, F.when(F.col("key").isNull(), 0).otherwise(part)).sortWithinPartitions("key", F.xxhash64("text"))
+    ordered = rows.repartitionById(parts, _part(_bounds(rows, parts))).sortWithinPartitions("key", "order").select("key", "text")
     return ordered.mapInArrow(write, "part int, n_tokens long")
 
 
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """First places (has a key, key, order) of all ranges but the first.
+
+    They come from the keys alone; a sample of whole rows would read the texts once more.  A key that holds several
+    ranges' share of the rows is cut by the hash of the text, and so are rows without a key.
+    """
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    n, unnamed, cuts = rows.agg(F.count(F.lit(1)), F.count_if(F.col("key").isNull()), F.percentile_approx("key", shares, 20 * parts)).first()
+    without = -(-parts * unnamed // n) if n else 0
+    starts = [(0, 0, (1 << 63) // without * k) for k in range(1, without)] + ([(1, -(1 << 63), 0)] if without else [])
+    named: dict[int, int] = {}
+    left = parts - 1 - without
+    for k in range(left if cuts else 0):
+        at = cuts[int((k + 1) * parts / (left + 1)) - 1]
+        named[at] = named.get(at, 0) + 1
+    for at, held in sorted(named.items()):
+        starts += [(1, at, (1 << 63) // held * k) for k in range(held)]
+    return starts
+
+
+def _part(bounds: list[tuple[int, int, int]]) -> Column:
+    """How many of the bounds a row is not before. They stand in runs, so a row is compared with two roots of their number and not with all."""
+    if not bounds:
+        return F.lit(0)
+    kind = "array<struct<a:int,b:bigint,c:bigint>>"
+    literal = lambda rows: F.from_json(F.lit(json.dumps([{"a": a, "b": b, "c": c} for a, b, c in rows])), kind)  # noqa: E731  folded into one constant
+    run = max(1, int(len(bounds) ** 0.5))
+    place = F.struct(F.col("key").isNotNull().cast("int").alias("a"), F.coalesce("key", F.lit(0).cast("long")).alias("b"), F.col("order").alias("c"))
+    not_before = lambda rows: F.size(F.filter(rows, lambda b: b <= place))
+    before = F.greatest(not_before(literal(bounds[::run])) - 1, F.lit(0)) * run
+    return before + not_before(F.slice(literal(bounds), before + 1, F.lit(run)))
+
+
 def read_token_files(spark: SparkSession, folder: str, part_tokens: dict[int, int]) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document in the files; part_tokens as written says what each partition holds."""
     bases, total = {}, 0
@@ -195,11 +231,15 @@ def read_token_files(spark: SparkSession, folder: str, part_tokens: dict[int, in
     return files.select("path", "content").mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_and_read(docs: DataFrame, vocabulary_path: str, *, end_id: int, folder: str | None = None) -> DataFrame:
-    """Write the files, then read them back: (key, start, n_tokens, ids_crc32)."""
+def store_and_read(docs: DataFrame, vocabulary_path: str, *, end_id: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """Write the files, then read them back: (key, start, n_tokens, ids_crc32).
+
+    Rows and their order are those of write_token_files(): null keys first, equal rows each, null and empty texts as the end id alone.  An
+    empty table gives none.
+    """
     spark = docs.sparkSession
     folder = folder or Scratch(spark, "tokens").path("files")
-    written = write_token_files(docs, folder, vocabulary_path, end_id=end_id)
+    written = write_token_files(docs, folder, vocabulary_path, end_id=end_id, key=key, text=text)
     # One number for each partition, so what comes to the driver is bounded by the number of partitions.
     parts = {r.part: r.n_tokens for r in written.groupBy("part").agg(F.max("n_tokens").alias("n_tokens")).collect()}
     if not sum(parts.values()):

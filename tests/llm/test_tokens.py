@@ -33,9 +33,16 @@ def test_encoders_equal_the_library(texts):
     for ids, want in zip(PieceEncoder.shared(BYTES).encode(texts), BYTE_LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids
     bpe = word_bpe.WordBPE.shared(WORDS)
-    for (ids, decoded), want in zip(bpe.encode(texts), WORD_LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+    for ids, want in zip(bpe.encode(texts), WORD_LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids
-        assert decoded.decode() == WORD_LIBRARY.decode(want.ids, skip_special_tokens=False) == bpe.decode(want.ids)
+        assert bpe.decode(ids).decode() == WORD_LIBRARY.decode(want.ids, skip_special_tokens=False)
+
+
+def test_decoding_is_of_ids_alone():
+    bpe = word_bpe.WordBPE.shared(WORDS)
+    ids = random.Random(2).choices(range(49_408), k=500)
+    assert bpe.decode(ids).decode() == WORD_LIBRARY.decode(ids, skip_special_tokens=False)
+    assert bpe.decode([5, 10**6, -1, 7]) == bpe.decode([5, 7]) and bpe.decode([]) == b""
 
 
 def test_long_words_by_heap_equal_the_scan():
@@ -106,6 +113,25 @@ def test_token_store_reads_back(docs, rows, tmp_path, file_tokens):
     assert len(keys) == len(rows) and keys == sorted(keys, key=lambda k: (k is not None, k or 0))
 
 
+def test_token_store_splits_hot_keys_and_writes_again(spark, tmp_path):
+    rows = [(None, f"none {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"t {i}") for i in range(-150, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/files"
+    parts = [{r.part: r.n_tokens for r in token_store.write_token_files(docs, folder, BYTES, end_id=2).collect()} for _ in range(2)]
+    assert parts[0] == parts[1] and len(parts[0]) == 4 and max(parts[0].values()) < 0.5 * sum(parts[0].values())
+    got = sorted(token_store.read_token_files(spark, folder, parts[0]).collect(), key=lambda r: r.start)
+    assert [r.key for r in got] == sorted([k for k, _ in rows], key=lambda k: (k is not None, k or 0))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 50])
+def test_ranges_are_found_as_by_counting(spark, n):
+    rng = random.Random(n)
+    bounds = sorted((rng.randint(0, 1), rng.randint(-5, 5), rng.randint(0, 1 << 62)) for _ in range(n))
+    rows = [(rng.choice([None, *range(-6, 7)]), rng.randint(0, (1 << 63) - 1)) for _ in range(200)]
+    got = spark.createDataFrame(rows, "key long, order long").select("key", "order", token_store._part(bounds).alias("part")).collect()
+    assert all(r.part == sum(b <= (int(r.key is not None), r.key or 0, r.order) for b in bounds) for r in got)
+
+
 def test_length_histogram_answers(docs, rows, spark):
     lengths = sorted(len(BYTE_LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows)
     histogram = token_counts.length_histogram(token_counts.encoded_lengths(docs, BYTES)).persist()
