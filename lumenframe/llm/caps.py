@@ -23,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_by_worker
+from .common import Scratch, integral_key, kept_by_worker, slices
 from .components import Forest, components, link_rows
 
 COSINE = 0.95
-PARTS = 2
 #: Filters that a random vector passes on average, and the fewest that any vector passes: its best ones, if it reaches the bound in fewer.
-#: Measured against brute force on 10,256 vectors of 64 dimensions: no pair lost of 28,633 at cosine 0.976 and above,
-#: 0.999 of pairs found at exactly 0.95.
-LIST, LEAST = 16, 12
-#: Vectors that share a filter, on average; the number of code words follows from it and the number of vectors, within bounds.
+#: The more directions there are, the more of their best two near vectors need to have one in common: two more for each doubling
+#: beyond FEW_DIRECTIONS. Recall of pairs of 64 dimensions at a cosine of 0.951, measured: 0.999 with two parts of 57 words, 0.999 of 512, 0.998
+#: of 2048, 0.999 of 4096, 0.99 with three parts of 512.
+LIST, LEAST, FEW_DIRECTIONS = 16, 12, 57**2
+#: Vectors that share a filter, on average; the number of directions follows from it and the number of vectors. They are
+#: pairs of code words, or triples where pairs would take more than MOST_WORDS words of a part.
 BUCKET, FEWEST_WORDS, MOST_WORDS = 256, 32, 4096
+#: Inner products with the code words of a part that a task holds at a time.
+HELD = 1 << 20
 SEED = 7
 #: Vectors in a block, about.
 BLOCK = 1024
@@ -53,7 +56,15 @@ class CapCode:
     least: int = 1
 
     @classmethod
-    def build(cls, dimensions: int, *, code_words: int, parts: int = PARTS, average_list: float = LIST, least: int = LEAST, seed: int = SEED) -> CapCode:
+    def for_vectors(cls, vectors: int, dimensions: int, *, average_list: float = LIST, least: int | None = None, seed: int = SEED) -> CapCode:
+        """A code whose size follows from the number of vectors: BUCKET of them share a filter on average, however many there are."""
+        directions = vectors * average_list / BUCKET
+        parts = min(dimensions, 2 if directions <= MOST_WORDS**2 else 3)
+        words = int(max(FEWEST_WORDS, directions ** (1 / parts) + 1))
+        return cls.build(dimensions, code_words=words, parts=parts, average_list=average_list, least=least, seed=seed)
+
+    @classmethod
+    def build(cls, dimensions: int, *, code_words: int, parts: int = 2, average_list: float = LIST, least: int | None = None, seed: int = SEED) -> CapCode:
         """The bound is such that a random vector passes average_list filters on average (measured on random vectors drawn from the seed)."""
         rng = np.random.default_rng(seed)
         parts = min(parts, dimensions)
@@ -65,8 +76,10 @@ class CapCode:
         probe = rng.standard_normal((512, dimensions))
         probe /= np.linalg.norm(probe, axis=1, keepdims=True)
         many = code_words ** len(words)
+        least = least or int(np.ceil(LEAST + 2 * max(0.0, np.log2(many / FEW_DIRECTIONS))))
         # The list's length at a bound is the share of all sums above it, and the sums above any bound come from the largest partial ones.
-        best = cls(rotation, words, 0.0)._best(probe, min(many, 8 * int(average_list) + 64))
+        empty = cls(rotation, words, 0.0)
+        best = np.concatenate([empty._best(probe[k : k + 32], min(many, 8 * int(average_list) + 64)) for k in range(0, len(probe), 32)])
         return cls(rotation, words, float(np.sort(best, axis=None)[::-1][min(best.size - 1, int(512 * min(average_list, many)))]), min(least, many))
 
     def _best(self, turned: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +94,14 @@ class CapCode:
         return sums
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a vector, filter) for every filter that each of the unit vectors passes."""
+        """(index of a vector, filter) for every filter that each of the unit vectors passes; so many vectors at a time that memory has a bound."""
+        step = max(1, HELD // max(len(w) for w in self.words))
+        found = [self._decode(unit[k : k + step]) for k in range(0, len(unit), step)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([who + k * step for k, (who, _) in enumerate(found)]), np.concatenate([number for _, number in found])
+
+    def _decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = unit @ self.rotation
         tops, orders, at = [], [], 0
         for w in self.words:
@@ -115,19 +135,20 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(F.col(column).isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda x: x != 0))
 
 
-def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, code_words: int | None = None, parts: int = PARTS, average_list: float = LIST, least: int = LEAST, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, code_words: int | None = None, parts: int = 2, average_list: float = LIST, least: int | None = None, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component, kept) of every row.
 
     n_links counts the other rows found at a cosine of at least cosine; component is the
     smallest key reachable over such links.  A vector that is null, empty or zero, or that holds null or
     non-finite components, links with nothing, and so does one whose number of dimensions differs.
     A null key is never a component's name; a row that links with no named one has its own key.
-    Rows of equal key are one node in components, and others to each other in n_links.
-    Labels and other columns are not read.
+    Rows of equal key are one node in components, and others to each other in n_links; equal vectors link with each
+    other.  An empty table gives none.  Keys must be whole numbers (TypeError).  Without code_words (and then parts), the code's size follows
+    from the number of vectors.  Labels and other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "caps")
     narrow = vectors.schema[vector].dataType.simpleString() == "array<float>"
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(integral_key(vectors, key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     good = usable(rows, "vector")
     # -0.0 and 0.0 are the same component. A class is known by a hash of its vector, and kept apart by the vector itself.
     classes = good.select("key", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector")).groupBy("vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"))
@@ -135,8 +156,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     counts = {r.size: r.n for r in classes.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
     found = None
     for dimensions in sorted(counts):  # vectors of one length are compared with each other only
-        words = code_words or int(min(MOST_WORDS, max(FEWEST_WORDS, (counts[dimensions] * average_list / BUCKET) ** (1 / min(parts, dimensions)) + 1)))
-        code = CapCode.build(dimensions, code_words=words, parts=parts, average_list=average_list, least=least, seed=seed)
+        options = {"average_list": average_list, "least": least, "seed": seed}
+        code = CapCode.build(dimensions, code_words=code_words, parts=parts, **options) if code_words else CapCode.for_vectors(counts[dimensions], dimensions, **options)
         part = _links(classes.where(F.size("vector") == dimensions), dimensions, scratch, cosine, code, block, np.float32 if narrow else np.float64)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -167,7 +188,7 @@ def _links(classes: DataFrame, dimensions: int, scratch: Scratch, cosine: float,
 
     def decode(batches):
         kept_by_worker("caps")
-        for batch in batches:
+        for batch in slices(batches, 2048):
             x = _matrix(batch.column(2), dimensions)
             who, number = code.decode(_units(x))
             order = np.lexsort((number, who))
