@@ -6,9 +6,9 @@ neighbouring words are tied by learned transitions.  Forward-backward gives each
 a distribution over the languages; a document's is the mean over its words.
 
 Words are maximal runs of letters, lower-cased; the lines of a text are the chains.
-The model is fitted on the driver from a bounded sample of labelled documents, from
-spans of different documents and languages that are strung together, so that changes
-of language are seen in training.  Everything else works on every whole text, in one
+The model is fitted on the driver from a bounded sample of labelled rows: spans of words, cut out in
+the tasks, so that a text of any length sends no more than its spans.  Spans of different documents and languages are
+strung together, so that changes of language are seen in training.  Everything else works on every whole text, in one
 pass and without a shuffle.
 """
 
@@ -27,9 +27,10 @@ from .common import kept_by_worker, slices
 
 #: Labelled documents of each language that the model is fitted on, at most about so many (a hash of the key picks them).
 DOCUMENTS_PER_LANGUAGE = 400
-#: Spans of a sampled document and words of a span that are used in fitting.
+#: Spans of a sampled document, and words of a span, that the sample holds. The lexicon is made from all words of the sample.
 SPANS, SPAN_WORDS = 3, 40
-LEXICON_WORDS = 50_000
+#: Languages that are learned at most, those of the most labelled documents: a label column may be dirty, and the model has a weight for each.
+LANGUAGES = 200
 FEATURES = 1 << 17
 GRAMS = (1, 2, 3, 4)
 EPOCHS = 4
@@ -40,9 +41,17 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
+def letter_runs(line: str) -> list[str]:
+    """Maximal runs of letters. What the pattern finds may hold numerals that are no digits: those part words too."""
+    words = _LETTERS.findall(line)
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def chains(text: str | None) -> list[list[str]]:
     """The words of each line; lines without words are left out."""
-    return [words for line in (text or "").lower().split("\n") if (words := _LETTERS.findall(line))]
+    return [words for line in (text or "").lower().split("\n") if (words := letter_runs(line))]
 
 
 def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,22 +130,18 @@ def forward_backward(emissions: np.ndarray, alive: np.ndarray, transitions: np.n
 
 
 def fit(samples: list[tuple[str, str]], *, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 5) -> Model:
-    """Fit the model to (language, text) samples by stochastic gradient steps on the likelihood."""
+    """Fit the model to (language, span of words) samples by stochastic gradient steps on the likelihood."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in samples})
     n = len(languages)
-    spans: list[tuple[int, list[str]]] = []
-    for lang, text in samples:
-        words = [w for chain in chains(text) for w in chain]
-        at = range(0, len(words), SPAN_WORDS)
-        spans += [(languages.index(lang), words[at[k] : at[k] + SPAN_WORDS]) for k in sorted(rng.choice(len(at), min(SPANS, len(at)), replace=False).tolist())]
+    spans = [(languages.index(lang), words) for lang, text in samples if (words := [w for chain in chains(text) for w in chain])]
     vocabulary: dict[str, int] = {}
     tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for _, words in spans]
     counts = np.zeros((len(vocabulary), n))
     for (lang, _), ids in zip(spans, tokens, strict=True):
         np.add.at(counts, (ids, lang), 1)
     names = list(vocabulary)
-    common = [i for i in np.argsort(-counts.sum(1), kind="stable")[:LEXICON_WORDS].tolist() if counts[i].sum() > 1]
+    common = [i for i in np.argsort(-counts.sum(1), kind="stable").tolist() if counts[i].sum() > 1]
     share = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * n)).astype(np.float32)
     model = Model(languages, np.zeros((FEATURES, n), np.float32), {names[i]: share[i] for i in common}, np.zeros(n, np.float32), np.zeros((n, n), np.float32))
     in_lexicon = np.zeros((len(names), n), np.float32)
@@ -216,8 +221,6 @@ def word_posteriors(model: Model, texts: list[str | None], words: _Words | None
     """For every word of the texts, in order: its text's index, its distribution over the languages, and itself."""
     words = words or _Words(model)
     cut = [(i, chain) for i, text in enumerate(texts) for chain in chains(text)]
-    cut = [(i, c if all(map(str.isalpha, c)) else [w for w in c if w.isalpha()]) for i, c in cut]
-    cut = [(i, c) for i, c in cut if c]
     flat = [w for _, c in cut for w in c]
     if not flat:
         return [], np.zeros((0, len(model.languages)), np.float32), []
@@ -243,29 +246,49 @@ def predict_texts(model: Model | None, texts: list[str | None], words: _Words |
     return [(model.languages[b], float(min(1.0, s[b] / c))) if c else o for b, s, c, o in zip(best.tolist(), sums, counts.tolist(), out, strict=True)]
 
 
-def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCUMENTS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language labelled texts of each language, the ones whose keys hash lowest, in a fixed order."""
-    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
+def spans_of(text: str | None, seed: int, spans: int, span_words: int) -> list[str]:
+    """So many runs of span_words words of a text, from places that the seed picks, in order; all of a shorter text."""
+    words = [w for chain in chains(text) for w in chain]
+    at = range(0, len(words), span_words)
+    picked = sorted(np.random.default_rng(seed % (1 << 63)).choice(len(at), min(spans, len(at)), replace=False).tolist()) if len(at) else []
+    return [" ".join(words[at[k] : at[k] + span_words]) for k in picked]
+
+
+def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCUMENTS_PER_LANGUAGE, languages: int = LANGUAGES, spans: int = SPANS, span_words: int = SPAN_WORDS) -> list[tuple[str, str]]:
+    """(language, span) of about per_language labelled texts of each language, the ones whose keys hash lowest, in a fixed order.
+
+    At most languages * per_language * spans spans of span_words words come to the driver, whatever the table holds.
+    """
+    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    counts = labelled.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang_").limit(languages)
     slots = 1 << 30
-    draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(slots))
-    wanted = F.lit(False)
-    for name, n in counts.items():
-        wanted = wanted | ((F.col("lang") == name) & (draw < min(slots, int(slots * per_language / n) + 1)))
-    rows = labelled.where(wanted).select("lang", "key", "text").collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.key, r.text))]
+    bound = F.least(F.lit(slots), F.floor(F.lit(float(slots) * per_language) / F.col("n")) + 1)
+    wanted = labelled.join(F.broadcast(counts), F.col("lang") == F.col("lang_")).where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(slots)) < bound)  # languages rows
+
+    def cut(batches):
+        for batch in slices(batches):
+            owners, out = [], []
+            for i, (value, seed) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                found = spans_of(value, seed, spans, span_words)
+                owners += [i] * len(found)
+                out += found
+            took = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(3).take(took), pa.array(out, pa.string())], names=["lang", "seed", "span"])
+
+    rows = wanted.select("lang", F.lit(0).alias("unused"), "text", F.xxhash64("key", F.lit(5)).alias("seed")).mapInArrow(cut, "lang string, seed long, span string")
+    return sorted(((r.lang, r.span) for r in rows.collect()), key=lambda r: r)
 
 
-def identify(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCUMENTS_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCUMENTS_PER_LANGUAGE, languages: int = LANGUAGES, spans: int = SPANS, span_words: int = SPAN_WORDS) -> DataFrame:
     """(key, lang_pred, score) of every document; only rows where learn_from holds are learned from.
 
+    The sample that the model is fitted on is bounded by per_language, languages, spans and span_words, see sample().
     A text that is null or has no letter gives 'und' with score 0, and so does every text
-    where nothing can be learned.  Rows of equal key are told each by its own text.  Columns but the
+    where nothing can be learned.  Rows of equal key are told each by its own text; of equally likely languages the first by name is told.
+    An empty table gives none.  A text of any length is read whole.  Columns but the
     three named are not read; key and language play no part in a prediction.
     """
-    texts = [(name, text_) for name, text_ in sample(docs.where(learn_from), key=key, text=text, lang=lang, per_language=per_language) if chains(text_)]
+    texts = sample(docs.where(learn_from), key=key, text=text, lang=lang, per_language=per_language, languages=languages, spans=spans, span_words=span_words)
     model = fit(texts) if texts else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
