@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-Each source gets a target in words.  Every document of it is allocated the whole
-copies that are certain (the integral part of target / size of the source); the rest
-of the target is sampled: documents are ranked by random odds divided by inclusion
+Each source gets a target in words, and each document of it an expected number of copies: in proportion to a preference,
+a whole number made from its size (longer documents weigh more, as the root of their words), no copies beyond
+most, and so that the source's expected words are its target.  The integral part is allocated as certain whole copies.
+What is left, p, is the odds of one more: documents are ranked by random odds divided by inclusion
 odds, q = (u / (1 - u)) / (p / (1 - p)), and the first in that order are taken, so
 many that their words come nearest to what is left of the target.  u is a hash of
 the key and the seed, so reruns agree.
@@ -61,16 +62,45 @@ def source_targets(sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), mo
     return out.select("source", "source_size", target.alias("target"))
 
 
+def length_preference(size: Column) -> Column:
+    """The root of a document's words, rounded down, 1 at least."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(size.cast("double"))).cast("long"))
+
+
+def copy_levels(sized: DataFrame, targets: DataFrame, *, most: int = 3) -> DataFrame:
+    """targets with level: a document of preference w is expected least(most, level * w) times, which adds up to the target.
+
+    Documents count by their preference alone, so a source is a row for each preference that occurs, whatever its
+    size.  From the largest preference down, those that the level takes to most copies are full; the level is what is left of the
+    target over the preference-weighted words of the others.  Sums are of whole numbers, so no order of summation shows.
+    """
+    classes = sized.groupBy(F.col("source").alias("source_c"), "preference").agg(F.sum("size").alias("words"))
+    classes = classes.join(targets.select(F.col("source").alias("source_t"), "target"), F.col("source_c").eqNullSafe(F.col("source_t"))).drop("source_t")
+    by = Window.partitionBy("source_c").orderBy(F.desc("preference"))
+    larger, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    full = F.coalesce(F.sum("words").over(larger), F.lit(0).cast("long"))
+    level = F.try_divide(F.col("target") - F.lit(float(most)) * full.cast("double"), F.sum(F.col("words") * F.col("preference")).over(rest).cast("double"))
+    classes = classes.withColumn("level", level)
+    # The first that is not full has the level of all after it.
+    found = classes.where(F.col("level") * F.col("preference") <= F.lit(float(most))).groupBy("source_c").agg(F.max_by("level", "preference").alias("level"))
+    out = targets.join(found, F.col("source").eqNullSafe(F.col("source_c")), "left").drop("source_c")
+    return out.withColumn("level", F.coalesce("level", F.when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))))
+
+
 def _joined(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     right = sources.withColumnRenamed("source", "source_")
     right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
     return rows.join(right, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
-def _rank(u: Column, share: Column, preference: Column | None) -> Column:
-    """q / (1 + q), in the order of q. Null if nothing is left to sample."""
-    odds = share / (F.lit(1.0) - share)
-    q = F.try_divide(u / (F.lit(1.0) - u), odds if preference is None else odds * preference)
+def _expected(most: int) -> Column:
+    return F.least(F.lit(float(most)), F.col("level") * F.col("preference"))
+
+
+def _rank(u: Column, expected: Column) -> Column:
+    """q / (1 + q), in the order of q. Null if no more than whole copies are expected."""
+    share = expected - F.floor(expected)
+    q = F.try_divide(u / (F.lit(1.0) - u), share / (F.lit(1.0) - share))
     return q / (F.lit(1.0) + q)
 
 
@@ -82,54 +112,69 @@ def _cut(ranked: DataFrame, slot: Column, scratch: Scratch, name: str) -> DataFr
     return scratch.keep(reached.where("upto >= budget").groupBy("source", "budget").agg(F.min(F.struct("slot", "upto", "words")).alias("at")).select("source", "budget", F.col("at.slot").alias("slot"), (F.col("at.upto") - F.col("at.words")).alias("before"), F.col("at.words").alias("words")), name)
 
 
-def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", preference: str | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame, int]:
-    """(rows, sources, number of sources): rows (key, source, size, u[, preference]); sources (source, source_size, target, whole, share, cut, with_cut).
+def _sized(docs: DataFrame, key: str, text: str, source: str, preference: Column | None, seed: int, *more: Column) -> DataFrame:
+    size = word_count(f"`{text}`")
+    weight = length_preference(size) if preference is None else F.greatest(F.lit(1).cast("long"), F.coalesce(preference.cast("long"), F.lit(1).cast("long")))
+    return docs.select(*more, F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), size.alias("size"), uniform(f"`{key}`", seed).alias("u"), weight.alias("preference"))
+
 
-    A document takes whole copies, and one more if its rank is below its source's cut, or
-    at it if with_cut.
+def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", preference: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, sources, number of sources): rows (key, source, size, u, preference); sources (source, source_size, target, level, cut, with_cut).
+
+    preference is a whole number for each document (null and less than 1 count as 1), by default length_preference(); its
+    values should be few, as a source has a row for each of them.  A document takes the whole copies expected, and one more if its
+    rank is below its source's cut, or at it if with_cut.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    columns = [F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), uniform(key, seed).alias("u")]
-    rows = scratch.keep(docs.select(*columns, *([F.col(preference).cast("double").alias("preference")] if preference else [])), "rows")
-    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    sources = source_targets(rows, weights=weights, most=most, total=total).withColumn("whole", F.floor(ratio))
-    sources = scratch.keep(sources.withColumns({"share": ratio - F.col("whole"), "budget": F.col("target") - F.col("whole") * F.col("source_size").cast("double")}), "sources")
+    rows = scratch.keep(_sized(docs, key, text, source, preference, seed), "rows")
+    sources = scratch.keep(copy_levels(rows, source_targets(rows, weights=weights, most=most, total=total), most=most), "sources")
     n = sources.count()
-    rank = _rank(F.col("u"), F.col("share"), F.col("preference") if preference else None)
-    ranked = _joined(rows, sources.where("budget > 0 AND share > 0").select("source", "share", "budget"), n).select("source", "size", "budget", rank.alias("v"))
-    first = _cut(ranked, F.floor(F.col("v") * SLICES), scratch, "first")
-    low = ranked.drop("budget").withColumn("slice", F.floor(F.col("v") * SLICES))
+    expected = _expected(most)
+    levels = _joined(rows, sources.select("source", "target", "level"), n)
+    certain = levels.groupBy(F.col("source").alias("source_")).agg(F.sum(F.floor(expected) * F.col("size")).alias("certain"))
+    budgets = scratch.keep(sources.join(certain, F.col("source").eqNullSafe(F.col("source_"))).select("source", "level", (F.col("target") - F.col("certain").cast("double")).alias("budget")), "budgets")
+    v = F.floor(F.col("v") * SLICES)
+    ranked = _joined(rows, budgets.where("budget > 0"), n).select("source", "size", "budget", _rank(F.col("u"), expected).alias("v")).where("v IS NOT NULL")
+    first = _cut(ranked, v, scratch, "first")
+    low = ranked.drop("budget").withColumn("slice", v)
     low = _joined(low, first.select("source", "budget", "before", F.col("slot").alias("at")), n).where("slice = at")
     left = low.withColumn("budget", F.col("budget") - F.col("before")).drop("before")
-    second = _cut(left, F.floor((F.col("v") * SLICES - F.col("slice")) * SLICES), scratch, "second")
-    last = _joined(left.drop("budget").withColumn("slice", F.floor((F.col("v") * SLICES - F.col("slice")) * SLICES)), second.select("source", "budget", "before", F.col("slot").alias("at2")), n).where("slice = at2")
+    finer = F.floor((F.col("v") * SLICES - F.col("slice")) * SLICES)
+    second = _cut(left, finer, scratch, "second")
+    last = _joined(left.drop("budget").withColumn("slice", finer), second.select("source", "budget", "before", F.col("slot").alias("at2")), n).where("slice = at2")
     third = _cut(last.withColumn("budget", F.col("budget") - F.col("before")).drop("before"), F.col("v"), scratch, "third")
     nearer = (F.col("before") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("before"))
     cuts = third.select(F.col("source").alias("source_"), F.col("slot").alias("cut"), nearer.alias("with_cut"))
-    out = sources.join(cuts, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_", "budget")
+    out = sources.join(cuts, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     return rows, scratch.keep(out, "cuts"), n
 
 
-def _copies(preference: str | None) -> Column:
-    v = _rank(F.col("u"), F.col("share"), F.col(preference) if preference else None)
+def _copies(most: int) -> Column:
+    expected = _expected(most)
+    v = _rank(F.col("u"), expected)
     sampled = F.coalesce((v < F.col("cut")) | (F.col("with_cut") & (v == F.col("cut"))), F.lit(False))
-    return (F.col("whole") + sampled.cast("long")).cast("long")
+    return (F.floor(expected) + sampled.cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", preference: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, *, most: int = 3, **options) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken) of every document; see plan() for the options.
 
-    Null text has size 0; a null source is a source of its own, the last; rows of equal
-    key are taken together.  An empty table gives none.  Other columns are not read.
+    Null and empty texts have size 0; a null source is a source of its own, the last; rows of equal
+    key and size are taken together, those of null key too.  A source's taken words differ from its target by half of one document's
+    size, at most (that of the document at which the order is cut), or by what all its documents lack.  An empty table gives none.
+    Keys may be of any type.  Other columns are not read.
     """
-    rows, sources, n = plan(docs, key=key, preference=preference, **options)
-    out = _joined(rows, sources, n).withColumn("copies", _copies("preference" if preference else None))
+    rows, sources, n = plan(docs, most=most, **options)
+    out = _joined(rows, sources, n).withColumn("copies", _copies(most))
     return out.select("key", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", seed: int = 17, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with their own columns only."""
-    _, sources, n = plan(docs, key=key, source=source, seed=seed, **options)
-    held = docs.select(F.struct("*").alias("doc"), F.col(source).alias("source"), uniform(key, seed).alias("u"))
-    out = _joined(held, sources, n).withColumn("copies", _copies(None)).where("copies > 0")
+def mixed_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", preference: Column | None = None, most: int = 3, seed: int = 17, **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with their own columns only.
+
+    Nulls, empty texts and repeated rows as in mix(); an empty table gives none.  All columns are carried along as they are.
+    """
+    _, sources, n = plan(docs, key=key, text=text, source=source, preference=preference, most=most, seed=seed, **options)
+    held = _sized(docs, key, text, source, preference, seed, F.struct("*").alias("doc"))
+    out = _joined(held, sources, n).withColumn("copies", _copies(most)).where("copies > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")

@@ -86,23 +86,34 @@ WITH d AS (
   SELECT source, source_size,
          least(cap, coalesce(weight * (SELECT arg_min(level, fills_at) FROM f WHERE level * weight <= cap), cap)) AS target
   FROM f
-), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t
-), p AS (
-  SELECT source, source_size, target, floor(ratio) AS whole, ratio - floor(ratio) AS share, target - floor(ratio) * source_size AS budget FROM r
+), w AS (
+  SELECT *, greatest(1, floor(sqrt(size::DOUBLE))::BIGINT) AS weight FROM d
+), c AS (
+  SELECT w.source, weight, sum(size)::BIGINT AS words, any_value(target) AS target
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source GROUP BY w.source, weight
+), v AS (
+  SELECT source, weight, (target - 3.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / nullif((sum(words * weight) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE, 0) AS level
+  FROM c
+), l AS (
+  SELECT source, arg_max(level, weight) AS level FROM v WHERE level * weight <= 3 GROUP BY source
+), e AS (
+  SELECT w.*, t.source_size, t.target, least(3.0::DOUBLE, coalesce(l.level, CASE WHEN t.target > 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) * weight) AS expected
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON w.source IS NOT DISTINCT FROM l.source
+), b AS (
+  SELECT source, any_value(target) - sum(floor(expected) * size)::DOUBLE AS budget FROM e GROUP BY source
 ), q AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.budget, p.share,
-         (d.u / (1 - d.u)) / (p.share / (1 - p.share)) AS q
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT e.*, budget, (u / (1 - u)) / nullif((expected - floor(expected)) / (1 - (expected - floor(expected))), 0) AS q
+  FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source
 ), g AS (
   SELECT source, q, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY q) AS upto, any_value(budget) AS budget
-  FROM q WHERE budget > 0 AND share > 0 GROUP BY source, q
+  FROM q WHERE budget > 0 AND q IS NOT NULL GROUP BY source, q
 ), x AS (
   SELECT source, min(q) AS at_q, arg_min(upto - words, q) AS before, arg_min(upto, q) AS upto, any_value(budget) AS budget
   FROM g WHERE upto >= budget GROUP BY source
 )
 SELECT q.doc_id, q.size, q.source_size, q.target,
-       (q.size * (q.whole + CASE WHEN x.at_q IS NOT NULL AND (q.q < x.at_q OR (q.q = x.at_q AND x.upto - x.budget < x.budget - x.before)) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (q.size * (floor(expected) + CASE WHEN x.at_q IS NOT NULL AND (q.q < x.at_q OR (q.q = x.at_q AND x.upto - x.budget < x.budget - x.before)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source
 """,
 }

@@ -53,20 +53,37 @@ def test_mixing_targets_and_takes(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mixing_takes_the_nearest_prefix(spark):
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 3 > 0]) for i in range(3000)], "doc_id long, text string, source string")
-    out = mixing.mix(docs, weights=(1, 1), seed=5)
-    by = {s: [r for r in out.where(F.col("source") == s).collect()] for s in "ab"}
-    for rs in by.values():
-        r = rs[0]
-        whole = math.floor(r.target / r.source_size)
-        assert {x.copies for x in rs} <= {whole, whole + 1}
-        assert abs(sum(x.taken for x in rs) - r.target) <= 9 / 2 + 1e-6
+def expectations(sizes, target, preference, most=3):
+    """Expected copies by making the largest preferences full one after the other."""
+    level, full = None, set()
+    for w in sorted(set(preference), reverse=True):
+        rest = sum(s * p for s, p in zip(sizes, preference, strict=True) if p not in full)
+        level = (target - most * sum(s for s, p in zip(sizes, preference, strict=True) if p in full)) / rest if rest else 0.0
+        if level * w <= most:
+            break
+        full.add(w)
+    return [float(most) if p in full else level * p for p in preference]
+
+
+def test_mixing_odds_are_unequal_and_add_up(spark):
+    rows = [(i, "w " * (1 + i % 97), "ab"[i % 3 > 0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.key: r for r in mixing.mix(docs, weights=(1, 1), seed=5).collect()}
+    for name in "ab":
+        keys = [k for k, _, s in rows if s == name]
+        sizes = [out[k]["size"] for k in keys]
+        target = out[keys[0]].target
+        want = expectations(sizes, target, [max(1, math.isqrt(n)) for n in sizes])
+        assert sum(e * n for e, n in zip(want, sizes, strict=True)) == pytest.approx(target)
+        assert all(math.floor(e + 1e-9) <= out[k].copies <= min(3, math.floor(e) + 1) for k, e in zip(keys, want, strict=True))
+        assert abs(sum(out[k].taken for k in keys) - target) <= 97 / 2 + 1e-6
+    longer, shorter = ([out[k].copies for k, *_ in rows if (out[k]["size"] > 48) == x] for x in (True, False))
+    assert np.mean(longer) > 1.3 * np.mean(shorter)
 
 
 def test_mixing_by_preference_takes_more_of_the_preferred(spark):
-    docs = spark.createDataFrame([(i, "w w w", "ab"[i % 2], 8.0 if i % 4 < 2 else 1.0) for i in range(4000)], "doc_id long, text string, source string, p double")
-    out = {r.key: r.copies for r in mixing.mix(docs, weights=(1, 3), preference="p").where("source = 'a'").collect()}
+    docs = spark.createDataFrame([(i, "w w w", "ab"[i % 2], 8 if i % 4 < 2 else 1) for i in range(4000)], "doc_id long, text string, source string, p int")
+    out = {r.key: r.copies for r in mixing.mix(docs, weights=(1, 3), preference=F.col("p")).where("source = 'a'").collect()}
     high, low = (sum(c for k, c in out.items() if (k % 4 < 2) == x) for x in (True, False))
     assert high > 1.5 * low and 3 * (high + low) == pytest.approx(3000, abs=3)
 
@@ -151,6 +168,19 @@ def test_language_of_odd_texts(docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, learn_from=F.lit(False)).collect()} == {"und"}
 
 
+def test_numerals_part_words(spark, rows):
+    assert langid.chains("x² Ⅳa ªb² no_1 Ω²é") == [["x", "a", "ªb", "no", "ω", "é"]]
+    docs = frame(spark, [*rows, (500, "x²", None, None), (501, "²³ Ⅳ 12 _", None, None), (502, "Ⅳa", None, None)])
+    got = {r.key: r.lang_pred for r in langid.identify(docs, learn_from=F.col("doc_id") < 60).collect()}
+    assert got[500] != "und" and got[501] == "und" and got[502] != "und"
+
+
+def test_language_sample_has_a_bound(spark):
+    rows = [(i, "word " * 5000, f"l{i % 30:02d}", "s") for i in range(300)]
+    got = langid.sample(frame(spark, rows), per_language=4, languages=5, spans=2, span_words=10)
+    assert {name for name, _ in got} <= {f"l{i:02d}" for i in range(5)} and len(got) <= 5 * 10 * 2 and all(len(x.split()) <= 10 for _, x in got)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     e, t = rng.random((4, 3)) + 0.1, rng.random((3, 3)) + 0.1
@@ -206,6 +236,20 @@ def test_cap_filters_equal_brute_force(spark, block):
     assert {r.n_links for r in got if r.key == 908} == {1}
 
 
+@pytest.mark.parametrize("vectors", [10_000, 4_000_000, 10**9])
+def test_recall_of_the_default_code(vectors):
+    """Pairs at a cosine of 0.951 share a filter of the code that so many vectors get."""
+    rng, n = np.random.default_rng(1), 400
+    a, b = (rng.standard_normal((n, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    code = caps.CapCode.for_vectors(vectors, 64)
+    assert len(code.words) == (3 if vectors > 10**8 else 2)
+    one, two = (set(zip(*map(np.ndarray.tolist, code.decode(x)), strict=True)) for x in (a, b))
+    assert len({who for who, _ in one & two}) >= 0.97 * n
+
+
 def test_list_decoding_finds_all_exceeding_filters():
     rng = np.random.default_rng(3)
     code = caps.CapCode.build(12, code_words=9, parts=3, average_list=10, least=4)
