@@ -6,38 +6,44 @@ import corpus_pipeline
 from lumenframe.llm import mixing, quality
 
 from .conftest import frame
-from .test_text_dedup import fingerprint, groups, removed
+from .test_models import base
+from .test_similar import alike
+from .test_text_dedup import groups, place_of, removed
 from .test_tokens import WORD_LIBRARY
 
 
 def test_pipeline_equals_brute_force(spark, rows, tmp_path):
     """Each stage by brute force over what the one before it keeps; verdicts and copies come from operators tested elsewhere."""
-    named = [r for k, r in enumerate(rows) if r[0] is not None and r not in rows[:k]]
+    named = rows
     folder = f"file://{tmp_path}"
     frame(spark, named).write.parquet(f"{folder}/documents.parquet")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(70, 0, 0), (71, 1, 1)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = {r.key for r in quality.judge(docs, quality.trusted_labels(labels)).where("kept").collect()}
-    now = [r for r in named if r[0] in kept]
-    prints = {r[0]: fingerprint(r[1]) for r in now}
-    component = groups([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], prints)
-    now = [r for r in now if component[r[0]] == r[0]]
-    texts = {}
-    for d, [(words, gone)] in removed(now).items():
-        text = next(r[1] for r in now if r[0] == d)
-        left = " ".join(w for w, g in zip(words, gone, strict=True) if not g) if any(gone) else text
-        if left or not any(gone):
-            texts[d] = left
-    now = [(d, texts[d], la, s) for d, _, la, s in now if d in texts]
-    copies = {r.key: r.copies for r in mixing.mix(frame(spark, now)).collect()}
-    want = Counter({d: copies[d] for d in texts if copies[d]})
+    kept = {(r.key, r.n_words, r.word_chars, r.n_dup_lines): r.kept for r in quality.judge(docs, quality.trusted_labels(labels)).collect()}
+    now = [r for r in named if kept[(r[0], base(r[1])[0], base(r[1])[1], base(r[1])[3])]]
+    component = groups([(a, b) for a in range(len(now)) for b in range(a) if alike(now[a][1], now[b][1])], range(len(now)))
+    first = {}
+    for k, r in enumerate(now):
+        best = (r[0] is None, r[0] or 0, place_of(*r[:2])[2])
+        if component[k] not in first or best < first[component[k]][0]:
+            first[component[k]] = best, k
+    now = [now[k] for k in sorted(k for _, k in first.values())]
+    left = []
+    for d, t, la, s in now:
+        words, gone = next(x for x in removed(now)[d] if x[0] == (t or "").split())
+        text = " ".join(w for w, g in zip(words, gone, strict=True) if not g) if any(gone) else t
+        if text or not any(gone):
+            left.append((d, text, la, s))
+    copies = {(r.key, r["size"]): r.copies for r in mixing.mix(frame(spark, left)).collect()}
+    want = Counter({(d, t): n for d, t, *_ in left if (n := copies[d, len(t.split())])})
     out = corpus_pipeline.run(spark, folder)
-    got = out.select("doc_id", "text", "n_chars", "n_tokens", "ids").collect()
-    assert Counter(r.doc_id for r in got) == want
+    got = out.select("doc_id", "text", "n_chars", "n_tokens", "ids", "decoded").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want and len(want) > 30
     for r in got:
-        ids = WORD_LIBRARY.encode(texts[r.doc_id], add_special_tokens=False).ids
-        assert r.text == texts[r.doc_id] and r.n_chars == len(r.text) and r.n_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids
+        ids = WORD_LIBRARY.encode(r.text, add_special_tokens=False).ids
+        assert r.n_chars == len(r.text) and r.n_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids
+        assert r.decoded == WORD_LIBRARY.decode(ids, skip_special_tokens=False)
     assert set(docs.columns) < set(out.columns)
 
 

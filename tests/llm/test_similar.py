@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from lumenframe.llm import similar
 
@@ -51,14 +53,42 @@ def test_stage_links_every_pair_of_the_similarity(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values())) and out.columns == docs.columns
 
 
-def test_order_changes_nothing(spark, monkeypatch):
+def test_small_blocks_find_the_same(spark, monkeypatch):
     docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(edited())])
     some = lambda: sorted(tuple(g) for _, g in similar.near_duplicates(docs).toPandas().sort_values("key").groupby("component").key)
     usual = some()
-    monkeypatch.setattr(similar, "COMMON", 10**6)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    monkeypatch.setattr(similar, "HELD", 4096)
+    monkeypatch.setattr(similar, "SENT", 0)
     assert some() == usual
 
 
+def test_radii_lose_next_to_no_pair():
+    """Sets of many sizes at exactly the similarity: their fingerprints are within both radii."""
+    rng, first, radius = np.random.default_rng(7), *similar.radii(0.8)
+    near = []
+    for _ in range(1500):
+        both = 4 * int(rng.integers(3, 60))
+        alone = both // 4
+        cut = int(rng.integers(0, alone + 1))
+        values = rng.integers(0, 1 << 63, both + alone, np.uint64)
+        a, b = (similar.wide_fingerprint(np.unique(x)).view(np.uint64) for x in (values[: both + cut], np.concatenate([values[:both], values[both + cut :]])))
+        bits = np.bitwise_count(a ^ b)
+        near.append(bits[0] <= first and bits.sum() <= radius)
+    assert np.mean(near) >= 0.998
+
+
+def test_common_members_are_counted_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300))) for _ in range(30)]
+    left, right = np.arange(12), np.arange(12, 30)
+    wanted = rng.random((12, 18)) < 0.7
+    want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]) * wanted
+    for held in (1 << 26, 2048):
+        monkeypatch.setattr(similar, "HELD", held)
+        assert (similar.common_members(sets, left, right, wanted) == want).all()
+
+
 def test_stage_decides_by_row(spark):
     rng = random.Random(8)
     a, b, c = (prose(rng, "en", 50) for _ in range(3))

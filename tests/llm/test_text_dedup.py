@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenframe.llm import components, simhash, substring
+from lumenframe.llm import components, simhash, similar, substring
 from lumenframe.llm.common import Scratch
 
 from .conftest import frame
@@ -78,7 +78,7 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 
 
 def test_first_of_groups_keeps_columns_and_smallest(docs):
-    kept = simhash.first_of_groups(docs)
+    kept = similar.first_of_groups(docs)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert 75 in ids and not ids & {76, 77, 80, 81} and None in ids
@@ -161,7 +161,7 @@ def test_windows_of_every_level_agree():
 
 def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.first_of_groups(empty).count() == 0
+    assert similar.first_of_groups(empty).count() == 0
     assert substring.digests(empty).count() == 0
     assert substring.without_repeats(empty).count() == 0
     assert simhash.near_duplicates(empty.withColumn("doc_id", F.col("doc_id"))).columns == ["key", "fp", "component"]
