@@ -17,8 +17,8 @@ def linear_attribution(expressed: DataFrame, selected: DataFrame, weights: DataF
     """
     sizes = selected.groupBy(state).agg(F.count(F.lit(1)).alias("n_cells"))
     base = weights.select(gene).distinct().withColumn("b", F.lit(0.0)) if baseline is None else baseline.select(gene, F.col("baseline").alias("b"))
-    grid = weights.join(base, gene).join(F.broadcast(sizes), state)
-    have = expressed.join(selected.select(cell, state), cell).join(F.broadcast(base), gene).groupBy(state, gene).agg(F.sum(F.col(value) - F.col("b")).alias("s"), F.sum(F.abs(F.col(value) - F.col("b"))).alias("a"), F.count(F.lit(1)).alias("nz"))
+    grid = weights.join(base, gene).join(sizes, state)
+    have = expressed.join(selected.select(cell, state), cell).join(base, gene).groupBy(state, gene).agg(F.sum(F.col(value) - F.col("b")).alias("s"), F.sum(F.abs(F.col(value) - F.col("b"))).alias("a"), F.count(F.lit(1)).alias("nz"))
     at = grid.join(have, [state, gene], "left").na.fill(0, ["s", "a", "nz"])
     zeros = F.col("n_cells") - F.col("nz")
     return at.select(state, gene, ((F.col("s") - zeros * F.col("b")) * F.col("weight") / F.col("n_cells")).alias("mean_attr"), ((F.col("a") + zeros * F.abs("b")) * F.abs("weight") / F.col("n_cells")).alias("mean_abs_attr"), "n_cells")

@@ -11,44 +11,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: The most points that are sent to every task.
 MOST_POINTS = 50_000
+#: Points that a task compares with all others at a time.
+BLOCK = 128
 
 
-def _sample(points: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = points.select(key, vector).limit(MOST_POINTS + 1).toArrow()
+def _sample(points: DataFrame, key: str, vector: str, *labels: str) -> tuple[np.ndarray, ...]:
+    """Keys in order, vectors, and numbers of the labels' values, of a sample of bounded size."""
+    rows = points.select(key, vector, *labels).limit(MOST_POINTS + 1).toArrow()
     if rows.num_rows > MOST_POINTS:
         raise ValueError(f"more than {MOST_POINTS} points: take a sample first")
     order = np.argsort(rows[key].to_numpy(), kind="stable")
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    return rows[key].to_numpy()[order], np.array(rows[vector].to_pylist(), float)[order]
+        return np.zeros(0, np.int64), np.zeros((0, 0)), *(np.zeros(0, np.int64) for _ in labels)
+    codes = [np.unique(np.array(rows[c].to_pylist(), str), return_inverse=True)[1][order] for c in labels]
+    return rows[key].to_numpy()[order], np.array(rows[vector].to_pylist(), float)[order], *codes
+
+
+def _squared(q: np.ndarray, x: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return np.maximum((q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ x.T, 0.0)
 
 
-def nearest(points: DataFrame, k: int, *, key: str = "id", vector: str = "z") -> DataFrame:
-    """(key, neighbour, rank, distance) of the k nearest other points, self left out by key; of equals the smaller key first."""
-    ids, x = _sample(points, key, vector)
-    shared = points.sparkSession.sparkContext.broadcast((ids, x))
+def nearest(points: DataFrame, k: int, *, key: str = "id", vector: str = "z", within: str | None = None) -> DataFrame:
+    """(key, neighbour, rank, distance) of the k nearest other points (of the same value of within, if it is named), self left out by key; of equals the smaller key first."""
+    ids, x, *of = _sample(points, key, vector, *([within] if within else []))
+    shared = points.sparkSession.sparkContext.broadcast((ids, x, of[0] if within else np.zeros(len(ids), np.int64)))
 
     def work(batches):
-        ids, x = shared.value
+        ids, x, of = shared.value
         squares = (x * x).sum(1)
         for batch in batches:
-            own, at = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a in range(0, len(own), 256):
-                q = np.array(at[a : a + 256], float)
-                rough = squares[None, :] - 2 * q @ x.T
-                rough[ids[None, :] == own[a : a + 256, None]] = np.inf
+            own, at = batch.column(0).to_numpy(), batch.column(1)
+            for a in range(0, len(own), BLOCK):
+                q, mine = np.array(at[a : a + BLOCK].to_pylist(), float), own[a : a + BLOCK]
+                label = of[np.minimum(np.searchsorted(ids, mine), len(ids) - 1)]
+                rough = _squared(q, x, squares)
+                rough[(ids[None, :] == mine[:, None]) | (of[None, :] != label[:, None])] = np.inf
                 n = min(k, len(ids) - 1)
                 if n < 1:
                     continue
                 # Candidates by the fast form, with room for its rounding; their order by exact differences.
                 cut = np.partition(rough, n - 1, axis=1)[:, n - 1]
+                who, near, rank, far = [], [], [], []
                 for r in range(len(q)):
-                    near = np.flatnonzero(rough[r] <= cut[r] + 1e-6 * (1 + abs(cut[r])))
-                    d = np.sqrt(((x[near] - q[r]) ** 2).sum(1))
-                    first = np.lexsort((ids[near], d))[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own[a + r])), pa.array(ids[near][first]), pa.array(np.arange(1, n + 1)), pa.array(d[first])], names=[key, "neighbour", "rank", "distance"])
+                    some = np.flatnonzero((rough[r] <= cut[r] + 1e-6 * (1 + abs(cut[r]))) & np.isfinite(rough[r]))
+                    d = np.sqrt(((x[some] - q[r]) ** 2).sum(1))
+                    first = np.lexsort((ids[some], d))[:n]
+                    who.append(np.full(len(first), mine[r]))
+                    near.append(ids[some][first])
+                    rank.append(np.arange(1, len(first) + 1))
+                    far.append(d[first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (who, near, rank, far)], names=[key, "neighbour", "rank", "distance"])
 
     return points.select(F.col(key).cast("long"), vector).mapInArrow(work, f"{key} long, neighbour long, rank long, distance double")
 
@@ -70,24 +86,12 @@ def label_accuracy(points: DataFrame, k: int, label: str, *, key: str = "id", ve
 
 def within_label_batch_accuracy(points: DataFrame, k: int, label: str, batch: str, *, key: str = "id", vector: str = "z") -> DataFrame:
     """One row: votes on the batch among the points of a label, averaged by size over labels with more than k + 1 points and two batches."""
-
-    def one(table: pa.Table) -> pa.Table:
-        ids, z = table[key].to_numpy(), np.array(table[vector].to_pylist(), float)
-        batches = np.array(table[batch].to_pylist())
-        if len(ids) <= k + 1 or len(set(batches)) < 2:
-            return pa.table({"n": pa.array([], pa.int64()), "hits": pa.array([], pa.int64())})
-        order = np.argsort(ids)
-        z, batches = z[order], batches[order]
-        hits = 0
-        for i in range(len(z)):
-            d = np.sqrt(((z - z[i]) ** 2).sum(1))
-            d[i] = np.inf
-            near = np.argsort(d, kind="stable")[: min(k, len(z) - 1)]
-            names, n = np.unique(batches[near], return_counts=True)
-            hits += names[n.argmax()] == batches[i]
-        return pa.table({"n": [len(z)], "hits": [int(hits)]})
-
-    return points.select(key, vector, label, batch).groupBy(label).applyInArrow(one, "n long, hits long").agg((F.sum("hits") / F.sum("n")).alias("knn_batch_accuracy"))
+    near = nearest(points, k, key=key, vector=vector, within=label)
+    theirs = points.select(F.col(key).alias("neighbour"), F.col(batch).alias("their"))
+    votes = near.join(theirs, "neighbour").groupBy(key).agg(F.mode("their", True).alias("vote"))
+    counted = points.groupBy(F.col(label).alias("l_")).agg(F.count(F.lit(1)).alias("n_"), F.count_distinct(batch).alias("b_")).where((F.col("n_") > k + 1) & (F.col("b_") >= 2))
+    rows = points.select(key, F.col(label).alias("l_"), batch).join(counted, "l_").join(votes, key)
+    return rows.agg(F.avg((F.col("vote") == F.col(batch)).cast("double")).alias("knn_batch_accuracy"))
 
 
 def mixing_score(accuracy: Column, baseline: Column) -> Column:
@@ -97,32 +101,38 @@ def mixing_score(accuracy: Column, baseline: Column) -> Column:
     return F.when(accuracy.isNotNull() & baseline.isNotNull(), mixed)
 
 
-def silhouettes(points: DataFrame, label: str, *, key: str = "id", vector: str = "z") -> DataFrame:
-    """(key, label, s): silhouette of each point, Euclidean; 0 for a label of one point. Sums of distances to each label are made block by block."""
-    ids, x = _sample(points, key, vector)
-    names = dict(points.select(key, label).toArrow().to_pandas().itertuples(index=False, name=None))
-    labels = sorted(set(names.values()))
-    of = np.array([labels.index(names[i]) for i in ids.tolist()], int)
-    shared = points.sparkSession.sparkContext.broadcast((ids, x, of))
+def silhouettes(points: DataFrame, label: str, *, key: str = "id", vector: str = "z", within: str | None = None) -> DataFrame:
+    """(key, label, s): silhouette of each point, Euclidean, among the points of the same value of within if it is named; 0 for a label of one
+    point, or where there is no other label. Sums of distances to each label are made block by block."""
+    ids, x, of, *inside = _sample(points, key, vector, label, *([within] if within else []))
+    shared = points.sparkSession.sparkContext.broadcast((ids, x, of, inside[0] if within else np.zeros(len(ids), np.int64)))
 
     def work(batches):
-        ids, x, of = shared.value
-        sizes = np.bincount(of, minlength=len(labels))
-        member = np.zeros((len(ids), len(labels)))
-        member[np.arange(len(ids)), of] = 1
+        ids, x, of, inside = shared.value
+        squares = (x * x).sum(1)
+        # A group is a label within a value of within; points are compared with the groups of their own value.
+        groups, code = np.unique(np.stack([inside, of]), axis=1, return_inverse=True) if len(ids) else (np.zeros((2, 0), np.int64), of)
+        sizes = np.bincount(code, minlength=groups.shape[1])
+        member = np.zeros((len(ids), groups.shape[1]))
+        member[np.arange(len(ids)), code] = 1
         for batch in batches:
-            own, at, mine = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = []
-            for i, z, name in zip(own, at, mine, strict=True):
-                sums = np.sqrt(((x - np.array(z, float)) ** 2).sum(1)) @ member
-                c = labels.index(name)
-                if sizes[c] < 2 or len(labels) < 2:
-                    out.append(0.0)
-                    continue
-                a = sums[c] / (sizes[c] - 1)
-                b = np.delete(sums / sizes, c).min()
-                out.append(float((b - a) / max(a, b)) if max(a, b) > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64())], names=[key, label, "s"])
+            own, at = batch.column(0).to_numpy(), batch.column(1)
+            for a in range(0, len(own), BLOCK):
+                q = np.array(at[a : a + BLOCK].to_pylist(), float)
+                me = np.searchsorted(ids, own[a : a + BLOCK])
+                d = np.sqrt(_squared(q, x, squares))
+                d[np.arange(len(me)), me] = 0.0
+                sums, c = d @ member, code[me]
+                rows = np.arange(len(me))
+                alone = sizes[c] < 2
+                mean = sums / sizes
+                mean[(groups[0][None, :] != inside[me][:, None])] = np.inf
+                mine = sums[rows, c] / np.maximum(sizes[c] - 1, 1)
+                mean[rows, c] = np.inf
+                other = mean.min(1)
+                top = np.maximum(mine, other)
+                s = np.where(alone | ~np.isfinite(other) | (top <= 0), 0.0, (other - mine) / np.where(np.isfinite(top) & (top > 0), top, 1.0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, BLOCK), batch.column(2).slice(a, BLOCK), pa.array(s)], names=[key, label, "s"])
 
     return points.select(F.col(key).cast("long"), vector, label).mapInArrow(work, f"{key} long, {label} {points.schema[label].dataType.simpleString()}, s double")
 
@@ -135,46 +145,26 @@ def label_asw(points: DataFrame, label: str, *, key: str = "id", vector: str = "
 
 def batch_asw(points: DataFrame, label: str, batch: str, *, key: str = "id", vector: str = "z", fewest: int = 10) -> DataFrame:
     """One row: 1 - |mean silhouette of batches| within each label, averaged by size; batches of one point and labels below fewest are left out."""
-
-    def one(table: pa.Table) -> pa.Table:
-        none = pa.table({"n": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, names = np.array(table[vector].to_pylist(), float), np.array(table[batch].to_pylist())
-        if len(x) < max(fewest, 3):
-            return none
-        order = np.argsort(table[key].to_numpy())
-        x, names = x[order], names[order]
-        values, counts = np.unique(names, return_counts=True)
-        keep = np.isin(names, values[counts >= 2])
-        x, names = x[keep], names[keep]
-        values, codes = np.unique(names, return_inverse=True)
-        if len(x) < fewest or len(values) < 2:
-            return none
-        sizes, member = np.bincount(codes), np.eye(len(values))[codes]
-        s = np.zeros(len(x))
-        for i in range(len(x)):
-            sums = np.sqrt(((x - x[i]) ** 2).sum(1)) @ member
-            a = sums[codes[i]] / (sizes[codes[i]] - 1)
-            b = np.delete(sums / sizes, codes[i]).min()
-            s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0
-        return pa.table({"n": [len(x)], "score": [1 - abs(float(s.mean()))]})
-
-    return points.select(key, vector, label, batch).groupBy(label).applyInArrow(one, "n long, score double").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("batch_asw"))
+    l, b = F.col(label).alias("l_"), F.col(batch).alias("b_")  # noqa: E741
+    enough = points.groupBy(l).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= max(fewest, 3)).select("l_")
+    pairs = points.groupBy(l, b).agg(F.count(F.lit(1)).alias("n_")).where("n_ >= 2").join(enough, "l_", "left_semi")
+    left = pairs.groupBy("l_").agg(F.sum("n_").alias("n_"), F.count(F.lit(1)).alias("k_")).where((F.col("n_") >= fewest) & (F.col("k_") >= 2)).select("l_")
+    kept = points.withColumns({"l_": F.col(label), "b_": F.col(batch)}).join(pairs.join(left, "l_", "left_semi").select("l_", "b_"), ["l_", "b_"], "left_semi")
+    s = silhouettes(kept, batch, key=key, vector=vector, within=label).select(F.col(key).alias("k_"), "s")
+    by = kept.join(s, F.col(key) == F.col("k_")).groupBy("l_").agg((1 - F.abs(F.avg("s"))).alias("score"), F.count(F.lit(1)).alias("n_"))
+    return by.agg((F.sum(F.col("n_") * F.col("score")) / F.sum("n_")).alias("batch_asw"))
 
 
 def graph_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (a, b), component being the smallest node reachable. Each round is checkpointed."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
+    """(node, component) of edges (a, b), component being the smallest node reachable. Each round is written in the shared folder."""
+    scratch = Scratch(edges.sparkSession, "graph")
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "component", F.least("component", "near").alias("least"))
         up = least.select(F.col("node").alias("least"), F.col("least").alias("far"))
-        now = least.join(up, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("now"), "component").checkpoint()
+        now = scratch.keep(least.join(up, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("now"), "component"), "labels")
         changed = not now.where("now <> component").isEmpty()
         labels = now.select("node", F.col("now").alias("component"))
         if not changed:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import sampling
 
 
@@ -32,14 +33,27 @@ def at_least(df: DataFrame, group: str, fewest: int) -> DataFrame:
     return df.join(sizes, F.col(group) == F.col("g_"), "left_semi")
 
 
-def qc_balance(cells: DataFrame, counts: DataFrame, *, label: str, batch: str, key: str = "cell_id", protected: Column, high: float, min_class: int, caps: Mapping[str, int], major: str, ratio: float, min_batch: int, seed: int = 0) -> DataFrame:
-    """Library bounds for all; then, but for protected rows: class floor, caps, cut of the major class, batch floor."""
-    sized = library_range(library_sizes(cells, counts, cell=key), high=high).withColumn("protected_", F.coalesce(protected, F.lit(False)))
-    free = at_least(sized.where("NOT protected_"), label, min_class)
-    free = sampling.cap_classes(free, label, key, caps, seed)
-    free = sampling.major_ratio(free, label, key, major, ratio, seed)
-    free = at_least(free, batch, min_batch)
-    return free.unionByName(sized.where("protected_")).drop("protected_")
+def qc_balance(sized: DataFrame, *, label: str, batch: str, key: str = "cell_id", protected: Column, low: float = 0.0, high: float, min_class: int, caps: Mapping[str, int], major: str, ratio: float, min_batch: int, seed: int = 0) -> DataFrame:
+    """Library bounds for all (sized has library, see library_sizes); then, but for protected rows: class floor, caps, cut of the major class, batch floor.
+
+    The bounded rows are written once, so what sized is made from is read once.  Floors and caps follow from one count of each
+    label, and all cuts of a label take its first rows in one order, so each label has one limit and rows are ranked once.
+    """
+    scratch = Scratch(sized.sparkSession, "qc-balance")
+    rows = library_range(sized, low=low, high=high).withColumn("protected_", F.coalesce(protected, F.lit(False)))
+    rows = scratch.keep(rows, "bounded")
+    free = rows.where("NOT protected_")
+    # A row for each label from here to the join.
+    sizes = free.groupBy(F.col(label).alias("label_")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_class)
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]) if caps else F.lit(None).cast("map<string,int>")
+    sizes = sizes.withColumn("limit", F.least("n", F.coalesce(F.try_element_at(cap, F.col("label_")), F.col("n"))))
+    target = F.floor(F.lit(ratio) * F.sum(F.when(F.col("label_") != major, F.col("limit")).otherwise(0)).over(Window.partitionBy(F.lit(1))))
+    cut = (F.col("label_") == major) & (target > 0) & (F.col("limit") > target)
+    limits = sizes.select("label_", F.when(cut, target).otherwise(F.col("limit")).alias("limit_"))
+    ranked = sampling.hash_ranked(free, [label], key, seed, "n_")
+    kept = ranked.join(limits, (F.col(label) == F.col("label_")) & (F.col("n_") <= F.col("limit_"))).drop("n_", "label_", "limit_")
+    kept = at_least(scratch.keep(kept, "kept"), batch, min_batch)
+    return kept.unionByName(rows.where("protected_")).drop("protected_")
 
 
 def known_only(query: DataFrame, train: DataFrame, column: str) -> DataFrame:

@@ -136,8 +136,8 @@ def major_ratio(spark, d):
 {_capped('free')}, {_major('capped')}, batch AS (SELECT * FROM halved WHERE dataset_id IN (SELECT dataset_id FROM halved GROUP BY 1 HAVING count(*) >= 100))
 SELECT cell_id, label, dataset_id FROM batch UNION ALL SELECT cell_id, label, dataset_id FROM lib WHERE nation = 3""")
 def qc_balance(spark, d):
-    cells = qc.library_range(qc.library_sizes(obs(spark, d), counts(spark, d)), low=1.0, high=250.0).drop("library")
-    out = qc.qc_balance(cells, counts(spark, d), label="label", batch="dataset_id", protected=F.col("nation") == 3, high=250.0, min_class=700, caps=CAPS, major="Transitional Cytotoxic", ratio=0.25, min_batch=100)
+    sized = qc.library_sizes(obs(spark, d), counts(spark, d))
+    out = qc.qc_balance(sized, label="label", batch="dataset_id", protected=F.col("nation") == 3, low=1.0, high=250.0, min_class=700, caps=CAPS, major="Transitional Cytotoxic", ratio=0.25, min_batch=100)
     return out.select("cell_id", "label", "dataset_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import classify, cluster, distance, neighbors
+from ..operators import classify, cluster, distance, neighbors, recode, sampling
 from .registry import query
 from .standins import CENTRES, PREDICTED, PROBA, latent, points, predicted, probabilities
 
@@ -70,13 +70,12 @@ def by_dataset_true_rows(spark, d):
     return rounded(classify.true_rows_only(guessed(spark, d), "label", "pred", "dataset"), "accuracy_recall", "f1_true_rows_only")
 
 
-@query(f"""WITH {GUESSED}, x AS (SELECT * FROM guessed WHERE vec_id % 2 = 0 AND label <> 'L9'), y AS (SELECT * FROM guessed WHERE vec_id % 2 = 1 AND label <> 'L8'),
+@query(f"""WITH {GUESSED}, x AS (SELECT * FROM predicted WHERE label <> 'L9'), y AS (SELECT * FROM guessed WHERE label <> 'L8'),
 a AS (SELECT label AS class, avg((label = pred)::INT) AS v FROM x GROUP BY 1), b AS (SELECT label AS class, avg((label = pred)::INT) AS v FROM y GROUP BY 1)
 SELECT class, round(a.v, 9) AS accuracy_recall_zeroshot, round(b.v, 9) AS accuracy_recall_adapted, round(b.v - a.v, 9) AS accuracy_recall_delta FROM a FULL JOIN b USING (class)""")
 def full_outer_delta(spark, d):
-    g = guessed(spark, d)
-    a = classify.true_rows_only(g.where("vec_id % 2 = 0 AND label <> 'L9'"), "label", "pred")
-    b = classify.true_rows_only(g.where("vec_id % 2 = 1 AND label <> 'L8'"), "label", "pred")
+    a = classify.true_rows_only(predicted(spark, d).where("label <> 'L9'"), "label", "pred")
+    b = classify.true_rows_only(guessed(spark, d).where("label <> 'L8'"), "label", "pred")
     return rounded(classify.compared(a, b, "class", ["accuracy_recall"], ("zeroshot", "adapted")), "accuracy_recall_zeroshot", "accuracy_recall_adapted", "accuracy_recall_delta")
 
 
@@ -131,16 +130,16 @@ def novelty_evidence(spark, d):
     return rounded(distance.novelty_evidence(distances(spark, d), labels(spark, d), distance_quantile=0.8, isolation_quantile=0.9), "isolation_percentile")
 
 
-def few(spark, d):
-    """Points of three labels, so that metrics have something to tell."""
-    return points(spark, d).where("id < 400").withColumn("label", (F.col("id") % 3).cast("string"))
+def sampled_points(spark, d):
+    """Points of three labels and two batches: all, or a proportional sample where there are more than the metrics are defined on."""
+    k = F.col("id")
+    p = points(spark, d).withColumns({"label": (k % 3).cast("string"), "batch": F.concat(F.lit("b"), (k % 7 % 2).cast("string"))})
+    return sampling.proportional_sample(p, "label", "id", neighbors.MOST_POINTS)
 
 
-FEW = "few AS (SELECT vec_id AS id, embedding::DOUBLE[] AS z, (vec_id % 3)::VARCHAR AS label, 'b' || (vec_id % 7 % 2) AS batch FROM embeddings WHERE vec_id < 400), dd AS (SELECT a.id, b.id AS nid, a.label, b.label AS nl, a.batch, b.batch AS nb, list_distance(a.z, b.z) AS d FROM few a JOIN few b ON a.id <> b.id)"
-
-
-def few_points(spark, d):
-    return few(spark, d).withColumn("batch", F.concat(F.lit("b"), (F.col("id") % 7 % 2).cast("string")))
+FEW = """every AS (SELECT vec_id AS id, embedding::DOUBLE[] AS z, (vec_id % 3)::VARCHAR AS label, 'b' || (vec_id % 7 % 2) AS batch FROM embeddings), sizes AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS t FROM every GROUP BY 1),
+ranked_points AS (SELECT every.*, row_number() OVER (PARTITION BY every.label ORDER BY md5(id || '|0'), id) AS r, c, t FROM every JOIN sizes USING (label)), taken AS (SELECT * FROM ranked_points WHERE t <= 50000 OR r <= least(c, greatest(1, round_even(c / t::DOUBLE * 50000, 0)))),
+few AS (SELECT id, z, label, batch FROM (SELECT *, row_number() OVER (ORDER BY md5(id || '|0t'), id) AS q FROM taken) WHERE q <= 50000), dd AS (SELECT a.id, b.id AS nid, a.label, b.label AS nl, a.batch, b.batch AS nb, list_distance(a.z, b.z) AS d FROM few a JOIN few b ON a.id <> b.id)"""
 
 
 KNN = f"WITH {FEW}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS r FROM dd) WHERE r <= 10)"
@@ -148,7 +147,7 @@ KNN = f"WITH {FEW}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 @query(f"{KNN}, v AS (SELECT id, label, nl, count(*) AS c FROM nn GROUP BY 1, 2, 3), w AS (SELECT id, label, arg_min(nl, (-c, nl)) AS vote FROM v GROUP BY 1, 2) SELECT round(avg((vote = label)::INT), 9) AS knn_label_accuracy FROM w")
 def knn_label_acc(spark, d):
-    return rounded(neighbors.label_accuracy(few_points(spark, d), 10, "label"), "knn_label_accuracy")
+    return rounded(neighbors.label_accuracy(sampled_points(spark, d), 10, "label"), "knn_label_accuracy")
 
 
 BATCHED = f"WITH {FEW}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS r FROM dd WHERE label = nl) WHERE r <= 10), v AS (SELECT id, batch, nb, count(*) AS c FROM nn GROUP BY 1, 2, 3), w AS (SELECT id, batch, arg_min(nb, (-c, nb)) AS vote FROM v GROUP BY 1, 2), acc AS (SELECT sum((vote = batch)::INT) / count(*)::DOUBLE AS a FROM w)"
@@ -156,34 +155,34 @@ BATCHED = f"WITH {FEW}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 
 @query(f"{BATCHED} SELECT round(a, 9) AS knn_batch_accuracy FROM acc")
 def knn_batch_acc(spark, d):
-    return rounded(neighbors.within_label_batch_accuracy(few_points(spark, d), 10, "label", "batch"), "knn_batch_accuracy")
+    return rounded(neighbors.within_label_batch_accuracy(sampled_points(spark, d), 10, "label", "batch"), "knn_batch_accuracy")
 
 
 @query(f"{BATCHED}, c AS (SELECT label, batch, count(*) AS n FROM few GROUP BY 1, 2), m AS (SELECT label, max(n) AS most, sum(n) AS t FROM c GROUP BY 1), b AS (SELECT sum(most) / sum(t)::DOUBLE AS base FROM m) SELECT round(least(1, greatest(0, 1 - greatest(0, a - base) / (1 - base))), 8) AS knn_mixing FROM acc, b")
 def knn_mixing(spark, d):
-    p = few_points(spark, d)
+    p = sampled_points(spark, d)
     a, b = neighbors.within_label_batch_accuracy(p, 10, "label", "batch"), classify.majority_baseline(p, "label", "batch")
     return a.join(F.broadcast(b)).select(F.round(neighbors.mixing_score(F.col("knn_batch_accuracy"), F.col("baseline")), 8).alias("knn_mixing"))
 
 
 @query(f"WITH {FEW}, m AS (SELECT id, label, nl, avg(d) AS d FROM dd GROUP BY 1, 2, 3), s AS (SELECT id, min(d) FILTER (label = nl) AS a, min(d) FILTER (label <> nl) AS b FROM m GROUP BY 1) SELECT round((avg((b - a) / greatest(a, b)) + 1) / 2, 6) AS label_asw FROM s")
 def label_asw(spark, d):
-    return rounded(neighbors.label_asw(few_points(spark, d), "label"), "label_asw", digits=6)
+    return rounded(neighbors.label_asw(sampled_points(spark, d), "label"), "label_asw", digits=6)
 
 
 @query(f"WITH {FEW}, m AS (SELECT id, label, batch, nb, avg(d) AS d FROM dd WHERE label = nl GROUP BY 1, 2, 3, 4), s AS (SELECT id, label, min(d) FILTER (batch = nb) AS a, min(d) FILTER (batch <> nb) AS b FROM m GROUP BY 1, 2), l AS (SELECT label, 1 - abs(avg((b - a) / greatest(a, b))) AS v, count(*) AS n FROM s GROUP BY 1) SELECT round(sum(v * n) / sum(n), 6) AS batch_asw FROM l")
 def batch_asw(spark, d):
-    return rounded(neighbors.batch_asw(few_points(spark, d), "label", "batch"), "batch_asw", digits=6)
+    return rounded(neighbors.batch_asw(sampled_points(spark, d), "label", "batch"), "batch_asw", digits=6)
 
 
 @query()
 def graph_connectivity(spark, d):
-    return neighbors.graph_connectivity(few_points(spark, d), 5, "label")
+    return neighbors.graph_connectivity(sampled_points(spark, d), 5, "label")
 
 
 @query()
 def community_detection(spark, d):
-    near = neighbors.nearest(few_points(spark, d), 10)
+    near = neighbors.nearest(sampled_points(spark, d), 10)
     edges = near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.lit(1.0).alias("weight"))
     return cluster.communities(edges, [0.2, 0.3, 0.4])
 
@@ -195,5 +194,8 @@ def pca_latent(spark, d):
 
 @query()
 def logistic_classifier(spark, d):
-    p = points(spark, d)
-    return cluster.logistic_labels(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), label="batch", vector="z")
+    """Learned from the training part of a stratified split, with class weights; all rows are told."""
+    p = points(spark, d).withColumn("label", F.col("label").cast("string"))
+    train = sampling.stratified_split(p, "label", "id", F.lit(False)).where("split = 'Train'")
+    weights = recode.class_summary(train, "label").select("label", "weight")
+    return cluster.logistic_labels(train.join(weights, "label"), p, label="label", vector="z", weight="weight")

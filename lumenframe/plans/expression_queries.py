@@ -66,18 +66,75 @@ def wilcoxon_z(spark, d):
     return z_scores(spark, d).select("label", "gene", F.round("z", 5).alias("z"))
 
 
-@query()
+def _adjusted_sql(src, by):
+    """Adjusted p values of rows src (by, gene, z), by the complementary error function's series and continued fraction."""
+    x = "(abs(z) / sqrt(2::DOUBLE))"
+    inner = f"list_reduce([1.0::DOUBLE] || range(60, 0, -1)::DOUBLE[], lambda a, k: 1 + a * 2 * {x} * {x} / (2 * k + 1))"
+    outer = f"list_reduce([0.0::DOUBLE] || range(60, 0, -1)::DOUBLE[], lambda a, k: (k / 2) / ({x} + a))"
+    return f"""pv AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN {x} < 3 THEN 1 - 2 / sqrt(pi()) * {x} * exp(-{x} * {x}) * {inner} ELSE exp(-{x} * {x}) / sqrt(pi()) / ({x} + {outer}) END AS p FROM {src}),
+qv AS (SELECT *, p * count(p) OVER (PARTITION BY {by}) / count(p) OVER (PARTITION BY {by} ORDER BY p RANGE UNBOUNDED PRECEDING) AS q FROM pv),
+table_ AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0::DOUBLE, min(q) OVER (PARTITION BY {by} ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS p_adj FROM qv)"""
+
+
+#: Ranks, fold changes and shares of each label, and their adjusted p values.
+MARKERS = f"""{ZSQL}, {SIZES.replace('cluster', 'label').replace('sizes AS', 'lsizes AS')}, {SUMS.replace('cluster', 'label').replace('sums AS', 'lsums AS')},
+lg AS (SELECT gene, sum(s) AS sa, sum(nz) AS nza FROM lsums GROUP BY 1), lt AS (SELECT sum(n) AS t FROM lsizes),
+lf AS (SELECT label, gene, coalesce(s, 0) AS s, coalesce(nz, 0) AS nz, sa, nza, n, t FROM lg CROSS JOIN lsizes CROSS JOIN lt LEFT JOIN lsums USING (label, gene)),
+full_ AS (SELECT label, lf.gene, z, log2((exp(s / n) - 1 + 1e-9) / (exp((sa - s) / (t - n)) - 1 + 1e-9)) AS logfc, nz / n::DOUBLE AS pct_group, (nza - nz) / (t - n)::DOUBLE AS pct_rest FROM lf JOIN z ON z.grp = lf.label AND z.gene = lf.gene),
+fz AS (SELECT * REPLACE (round(z, 5) AS z, round(logfc, 5) AS logfc) FROM full_),
+{_adjusted_sql('fz', 'label')}"""
+
+
+def marker_table_rows(spark, d):
+    """The marker table of each label; scores are rounded, so that ties and p values do not hang on the last digit."""
+    scores = markers.marker_scores(expressed(spark, d), obs(spark, d), "label")
+    return markers.with_p_values(scores.withColumns({"z": F.round("z", 5), "logfc": F.round("logfc", 5)}), "label")
+
+
+SHOWN = "z, round(p, 9) AS p, round(p_adj, 9) AS p_adj, logfc, round(pct_group, 6) AS pct_group, round(pct_rest, 6) AS pct_rest"
+
+
+def shown(df):
+    return df.withColumns({"p": F.round("p", 9), "p_adj": F.round("p_adj", 9), "pct_group": F.round("pct_group", 6), "pct_rest": F.round("pct_rest", 6)})
+
+
+@query(f"{MARKERS} SELECT label, gene, {SHOWN} FROM table_")
+def marker_table(spark, d):
+    return shown(marker_table_rows(spark, d)).select("label", "gene", "z", "p", "p_adj", "logfc", "pct_group", "pct_rest")
+
+
+@query(f"{MARKERS} SELECT label, gene, round(p, 9) AS p, round(p_adj, 9) AS p_adj FROM table_")
 def marker_p_values(spark, d):
-    """p values by the complementary error function, then adjusted within each label: no SQL engine here has that function."""
-    return markers.with_p_values(z_scores(spark, d), "label")
+    z = z_scores(spark, d).withColumn("z", F.round("z", 5))
+    return markers.with_p_values(z, "label").select("label", "gene", F.round("p", 9).alias("p"), F.round("p_adj", 9).alias("p_adj"))
+
+
+@query(f"{MARKERS} SELECT label, gene, z, logfc FROM table_ WHERE round(p_adj, 9) < 0.9 AND logfc > 0")
+def significant_up(spark, d):
+    """Of these random stand-ins no adjusted p value is small, so the bound is loose."""
+    return markers.significant_up(shown(marker_table_rows(spark, d)), most=0.9).select("label", "gene", "z", "logfc")
 
 
-@query("""WITH g AS (SELECT o_orderstatus AS grp, o_orderkey AS id, round((o_orderkey * 7919 % 1000) / 1000.0::DOUBLE, 3) AS p FROM orders WHERE o_orderkey % 50 = 0),
+@query(f"{MARKERS}, placed AS (SELECT label, gene, z, logfc, row_number() OVER (PARTITION BY label ORDER BY z DESC NULLS LAST, gene) AS rank FROM table_ WHERE logfc > 0) SELECT * FROM placed WHERE rank <= 10")
+def top_up_markers(spark, d):
+    top = markers.top_markers(marker_table_rows(spark, d), "label", 10, [F.desc_nulls_last("z"), F.col("gene")], only_up="logfc")
+    return top.select("label", "gene", "z", "logfc", "rank")
+
+
+@query(f"{MARKERS}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY z DESC NULLS LAST, gene) AS rank FROM table_) SELECT label, string_agg(gene || ':' || round(pct_group, 4), ';' ORDER BY rank) AS records, count(*) AS n FROM placed WHERE rank <= 6 GROUP BY 1")
+def marker_records(spark, d):
+    top = markers.top_markers(marker_table_rows(spark, d), "label", 6, [F.desc_nulls_last("z"), F.col("gene")])
+    out = markers.records(top, "label", k=6)
+    text = F.transform("records", lambda r: F.concat(r["gene"], F.lit(":"), F.round(r["pct_group"], 4).cast("string")))
+    return out.select("label", F.array_join(text, ";").alias("records"), F.size("names").cast("long").alias("n"))
+
+
+@query("""WITH g AS (SELECT o_orderstatus AS grp, o_orderkey AS id, round((o_orderkey * 7919 % 1000) / 1000.0::DOUBLE, 3) AS p FROM orders),
 q AS (SELECT *, p * count(p) OVER (PARTITION BY grp) / count(p) OVER (PARTITION BY grp ORDER BY p RANGE UNBOUNDED PRECEDING) AS q FROM g)
 SELECT grp, id, p, round(least(1.0::DOUBLE, min(q) OVER (PARTITION BY grp ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_adj FROM q""")
 def bh_adjust(spark, d):
     k = F.col("o_orderkey")
-    g = spark.read.parquet(f"{d}/orders.parquet").where(k % 50 == 0).select(F.col("o_orderstatus").alias("grp"), k.alias("id"), F.round((k * 7919 % 1000) / F.lit(1000.0), 3).alias("p"))
+    g = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderstatus").alias("grp"), k.alias("id"), F.round((k * 7919 % 1000) / F.lit(1000.0), 3).alias("p"))
     return markers.adjusted(g, "p", "grp").withColumn("p_adj", F.round("p_adj", 9))
 
 
@@ -91,17 +148,41 @@ PAIRS = [("0", "1"), ("2", "10"), ("1", "7")]
 PAIR_CELLS = "pairs AS (SELECT * FROM (VALUES ('0_vs_1', '0', '1'), ('2_vs_10', '2', '10'), ('1_vs_7', '1', '7')) t(pair, a, b)), pc AS (SELECT cell_id, cluster, pair FROM obs JOIN pairs ON cluster = a OR cluster = b)"
 
 
-@query(f"WITH {OBS}, {EXPRESSED}, {PAIR_CELLS}, {_rank_sql('cluster', 'pc', by='pair, ')} SELECT pair, grp AS cluster, gene, rank, z FROM (SELECT pair, grp, gene, round(z, 5) AS z, row_number() OVER (PARTITION BY pair, grp ORDER BY round(z, 5) DESC, gene) AS rank FROM z WHERE z > 0) WHERE rank <= 5")
-def pair_markers(spark, d):
+PAIR_TABLE = f"""WITH {OBS}, {EXPRESSED}, {PAIR_CELLS}, {_rank_sql('cluster', 'pc', by='pair, ')},
+ps AS (SELECT pair, cluster, count(*) AS n FROM pc GROUP BY 1, 2), pt AS (SELECT pair, sum(n) AS t FROM ps GROUP BY 1), pm AS (SELECT pair, cluster, gene, sum(x) AS s, count(*) AS nz FROM expressed JOIN pc USING (cell_id) GROUP BY 1, 2, 3),
+pg AS (SELECT pair, gene, sum(s) AS sa, sum(nz) AS nza FROM pm GROUP BY 1, 2), pf AS (SELECT pair, cluster, gene, coalesce(s, 0) AS s, coalesce(nz, 0) AS nz, sa, nza, n, t FROM pg JOIN ps USING (pair) JOIN pt USING (pair) LEFT JOIN pm USING (pair, cluster, gene)),
+pz AS (SELECT pf.pair, cluster, pf.gene, round(z, 5) AS z, round(log2((exp(s / n) - 1 + 1e-9) / (exp((sa - s) / (t - n)) - 1 + 1e-9)), 5) AS logfc, nz / n::DOUBLE AS pct_group, (nza - nz) / (t - n)::DOUBLE AS pct_rest FROM pf JOIN z ON z.pair = pf.pair AND z.grp = cluster AND z.gene = pf.gene),
+{_adjusted_sql('pz', 'pair, cluster')}"""
+
+
+def pair_table(spark, d, done=None):
     pairs = spark.createDataFrame([(f"{a}_vs_{b}", a, b) for a, b in PAIRS], "pair string, a string, b string")
-    z = markers.pair_markers(expressed(spark, d), obs(spark, d), "cluster", pairs).where("z > 0").withColumn("z", F.round("z", 5))
-    z = z.withColumn("which", F.concat_ws("|", "pair", "cluster"))
-    return markers.top_markers(z, "which", 5, [F.desc("z"), F.col("gene")]).select("pair", "cluster", "gene", "rank", "z")
+    out = markers.pair_markers(expressed(spark, d), obs(spark, d), "cluster", pairs, done=done).drop("p", "p_adj")
+    return markers.with_p_values(out.withColumns({"z": F.round("z", 5), "logfc": F.round("logfc", 5)}), "pair", "cluster")
+
+
+@query(f"{PAIR_TABLE} SELECT pair, cluster, gene, rank, z, logfc FROM (SELECT *, row_number() OVER (PARTITION BY pair, cluster ORDER BY z DESC NULLS LAST, gene) AS rank FROM table_ WHERE logfc > 0) WHERE rank <= 100")
+def pair_markers(spark, d):
+    top = markers.top_markers(pair_table(spark, d), ["pair", "cluster"], 100, [F.desc_nulls_last("z"), F.col("gene")], only_up="logfc")
+    return top.select("pair", "cluster", "gene", "rank", "z", "logfc")
+
+
+@query(f"{PAIR_TABLE} SELECT pair, cluster, gene, {SHOWN} FROM table_ WHERE pair <> '1_vs_7'")
+def pair_table_of_new_pairs(spark, d):
+    """The whole table of the pairs whose results are not there yet."""
+    out = pair_table(spark, d, done=spark.createDataFrame([("1_vs_7",)], "pair string"))
+    return shown(out).select("pair", "cluster", "gene", "z", "p", "p_adj", "logfc", "pct_group", "pct_rest")
+
+
+@query(f"WITH {OBS}, s AS (SELECT cluster, count(*) AS n FROM obs GROUP BY 1) SELECT pair, a, b, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM (VALUES ('0_vs_1', '0', '1'), ('2_vs_10', '2', '10'), ('1_vs_7', '1', '7'), ('3_vs_none', '3', 'none')) t(pair, a, b) LEFT JOIN s x ON x.cluster = a LEFT JOIN s y ON y.cluster = b")
+def pair_metadata(spark, d):
+    pairs = spark.createDataFrame([*((f"{a}_vs_{b}", a, b) for a, b in PAIRS), ("3_vs_none", "3", "none")], "pair string, a string, b string")
+    return markers.pair_metadata(obs(spark, d), "cluster", pairs)
 
 
 WEIGHT = "((ascii(p_name) * 31 + length(p_name) * 17 + length(label) * 7) % 100)::DOUBLE / 50 - 1"
 ATTR = f"""WITH {OBS}, {EXPRESSED}, states AS (SELECT DISTINCT label FROM obs WHERE label <> 'Unknown'), weights AS (SELECT DISTINCT label AS state, p_name AS gene, {WEIGHT} AS weight FROM part, states),
-sel AS (SELECT cell_id, label AS state FROM obs WHERE label <> 'Unknown' AND cell_id % 3 = 0), nsel AS (SELECT state, count(*) AS n_cells FROM sel GROUP BY 1),
+sel AS (SELECT cell_id, label AS state FROM obs WHERE label <> 'Unknown'), nsel AS (SELECT state, count(*) AS n_cells FROM sel GROUP BY 1),
 base AS (SELECT gene, sum(x) / (SELECT count(*) FROM obs)::DOUBLE AS b FROM expressed GROUP BY 1), have AS (SELECT state, gene, sum(x - b) AS s, sum(abs(x - b)) AS a, count(*) AS nz FROM expressed JOIN sel USING (cell_id) JOIN base USING (gene) GROUP BY 1, 2),
 attr AS (SELECT state, gene, (coalesce(s, 0) - (n_cells - coalesce(nz, 0)) * b) * weight / n_cells AS mean_attr, (coalesce(a, 0) + (n_cells - coalesce(nz, 0)) * abs(b)) * abs(weight) / n_cells AS mean_abs_attr, n_cells FROM weights JOIN base USING (gene) JOIN nsel USING (state) LEFT JOIN have USING (state, gene)),
 rounded AS (SELECT state, gene, round(mean_attr, 6) AS mean_attr, round(mean_abs_attr, 6) AS mean_abs_attr, n_cells FROM attr), ranked AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY mean_abs_attr DESC, gene) AS rank FROM rounded)"""
@@ -117,7 +198,7 @@ def attributed(spark, d):
     x = expressed(spark, d)
     n = o.agg(F.count(F.lit(1)).alias("n"))
     base = x.groupBy("gene").agg(F.sum("x").alias("s")).join(F.broadcast(n)).select("gene", (F.col("s") / F.col("n")).alias("baseline"))
-    selected = o.where("label <> 'Unknown' AND cell_id % 3 = 0").select("cell_id", F.col("label").alias("state"))
+    selected = o.where("label <> 'Unknown'").select("cell_id", F.col("label").alias("state"))
     attr = attribution.linear_attribution(x, selected, weights, base)
     return attribution.ranked(attr.withColumns({c: F.round(c, 6) for c in ("mean_attr", "mean_abs_attr")}))
 

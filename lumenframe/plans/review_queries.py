@@ -19,13 +19,13 @@ ALL_GENES = [g for gs in vocabulary.PROGRAMS.values() for g in gs]
 
 #: Genes of groups, made from the vocabulary by a rule on part keys; every fifth is in lower case.
 HELD = f"""held AS (SELECT DISTINCT (p_partkey % 7)::VARCHAR AS cluster, CASE WHEN p_partkey % 5 = 0 THEN lower(g) ELSE g END AS gene, p_partkey % 11 AS place
-  FROM (SELECT p_partkey, {_list(ALL_GENES)}[(p_partkey * 31 % {len(ALL_GENES)} + 1)::INT] AS g FROM part WHERE p_partkey <= 150))"""
+  FROM (SELECT p_partkey, {_list(ALL_GENES)}[(p_partkey * 31 % {len(ALL_GENES)} + 1)::INT] AS g FROM part))"""
 
 
 def held(spark, d):
     k = F.col("p_partkey")
     g = F.get(F.lit(ALL_GENES), (k * 31 % len(ALL_GENES)).cast("int"))
-    part = spark.read.parquet(f"{d}/part.parquet").where(k <= 150)
+    part = spark.read.parquet(f"{d}/part.parquet")
     return part.select((k % 7).cast("string").alias("cluster"), F.when(k % 5 == 0, F.lower(g)).otherwise(g).alias("gene"), (k % 11).alias("place")).distinct()
 
 
@@ -110,7 +110,7 @@ KINDS = [
     "no object here",
     '{"cluster_id": "77", "candidate_label": "", "evidence_summary": ["nothing"], "recommended_pairwise_comparisons": ["3 vs 12", "all"]}',
 ]
-DECISIONS = f"""dec AS (SELECT p_partkey AS cluster, {_list(KINDS)}[(p_partkey % 6 + 1)::INT] AS decision FROM part WHERE p_partkey <= 60),
+DECISIONS = f"""dec AS (SELECT p_partkey AS cluster, {_list(KINDS)}[(p_partkey % 6 + 1)::INT] AS decision FROM part),
 m AS (SELECT cluster, try_cast(nullif(regexp_extract(decision, '(?s)\\{{.*\\}}', 0), '') AS JSON) AS j FROM dec),
 sc AS (SELECT cluster, {', '.join(f"CASE WHEN try_cast(j->>'{s}' AS DOUBLE) IS NULL THEN 0 ELSE greatest(0, least(5, round_even(try_cast(j->>'{s}' AS DOUBLE), 0)))::INT END AS {s}" for s in review.SCORES)},
  trim(coalesce(j->>'candidate_label', '')) AS said, trim(coalesce(j->>'suggested_new_label', '')) AS sug, trim(coalesce(j->>'new_label_reason', '')) AS why,
@@ -125,7 +125,7 @@ norm AS (SELECT cluster, cluster_id, CASE WHEN un THEN coalesce(alt[1], ment, 'M
 
 def decisions(spark, d):
     k = F.col("p_partkey")
-    rows = spark.read.parquet(f"{d}/part.parquet").where(k <= 60).select(k.alias("cluster"), F.get(F.lit(KINDS), (k % 6).cast("int")).alias("decision"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(k.alias("cluster"), F.get(F.lit(KINDS), (k % 6).cast("int")).alias("decision"))
     return review.normalised(rows)
 
 
@@ -164,20 +164,20 @@ def review_reason_counts(spark, d):
     return review.reason_counts(r, "r")
 
 
-@query("""WITH q AS (SELECT 0 AS queue, o_orderkey AS place, o_orderkey % 25 AS a, o_custkey % 25 AS b FROM orders WHERE o_orderkey < 200 UNION ALL SELECT 1, p_partkey, p_size % 25, p_partkey % 25 FROM part WHERE p_partkey < 100),
+@query("""WITH q AS (SELECT 0 AS queue, o_orderkey AS place, o_orderkey % 25 AS a, o_custkey % 25 AS b FROM orders UNION ALL SELECT 1, p_partkey, p_size % 25, p_partkey % 25 FROM part),
 n AS (SELECT least(a, b)::INT AS cluster_a, greatest(a, b)::INT AS cluster_b, min((queue, place)) AS met FROM q WHERE a <> b GROUP BY 1, 2) SELECT cluster_a, cluster_b, place FROM (SELECT cluster_a, cluster_b, row_number() OVER (ORDER BY met) AS place FROM n) WHERE place <= 60""")
 def queue_merge(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 200").select((F.col("o_orderkey") % 25).alias("a"), (F.col("o_custkey") % 25).alias("b"), F.col("o_orderkey").alias("place"))
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 100").select((F.col("p_size") % 25).alias("a"), (F.col("p_partkey") % 25).alias("b"), F.col("p_partkey").alias("place"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 25).alias("a"), (F.col("o_custkey") % 25).alias("b"), F.col("o_orderkey").alias("place"))
+    p = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_size") % 25).alias("a"), (F.col("p_partkey") % 25).alias("b"), F.col("p_partkey").alias("place"))
     return review.merged_queue([x.where("a <> b") for x in (o, p)], 60)
 
 
-LABELLED = f"lab AS (SELECT p_partkey AS cluster, {KNOWN}[(p_size % 15 + 1)::INT] AS label, {KNOWN}[(p_partkey % 15 + 1)::INT] AS original FROM part WHERE p_partkey <= 60)"
+LABELLED = f"lab AS (SELECT p_partkey AS cluster, {KNOWN}[(p_size % 15 + 1)::INT] AS label, {KNOWN}[(p_partkey % 15 + 1)::INT] AS original FROM part)"
 
 
 def labelled(spark, d):
     known = F.lit(vocabulary.REFINED_LABELS)
-    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 60").select(F.col("p_partkey").alias("cluster"), F.get(known, F.col("p_size") % 15).alias("label"), F.get(known, (F.col("p_partkey") % 15).cast("int")).alias("original"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("cluster"), F.get(known, F.col("p_size") % 15).alias("label"), F.get(known, (F.col("p_partkey") % 15).cast("int")).alias("original"))
 
 
 @query(f"WITH {LABELLED} SELECT label, count(DISTINCT cluster) AS n_clusters, count(DISTINCT original) AS n_originals, bool_or(label = original) AS kept, bool_or(label <> original) AS refined, count(DISTINCT cluster) >= 2 AND (count(DISTINCT original) >= 2 OR count(DISTINCT cluster) >= 3) AS merged FROM lab GROUP BY 1")

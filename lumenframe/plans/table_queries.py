@@ -115,10 +115,10 @@ def key_sets(spark, d):
     return count(a.intersect(b), "both").unionByName(count(a.subtract(b), "first only")).unionByName(count(a.union(b).distinct(), "either"))
 
 
-@query(f"""WITH {OBS}, p AS (SELECT DISTINCT least(a.cluster::INT, b.cluster::INT) AS a, greatest(a.cluster::INT, b.cluster::INT) AS b FROM (SELECT DISTINCT cluster FROM obs WHERE nation < 3) a, (SELECT DISTINCT cluster FROM obs WHERE nation < 3) b WHERE a.cluster <> b.cluster)
+@query(f"""WITH {OBS}, p AS (SELECT DISTINCT least(a.cluster::INT, b.cluster::INT) AS a, greatest(a.cluster::INT, b.cluster::INT) AS b FROM (SELECT DISTINCT cluster FROM obs) a, (SELECT DISTINCT cluster FROM obs) b WHERE a.cluster <> b.cluster)
 SELECT 'leiden_0_4_' || a || '_vs_' || b AS pair FROM p""")
 def pair_names(spark, d):
-    a = obs(spark, d).where("nation < 3").select(F.col("cluster").cast("int").alias("a")).distinct()
+    a = obs(spark, d).select(F.col("cluster").cast("int").alias("a")).distinct()
     pairs = a.join(F.broadcast(a.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))  # a few groups
     return pairs.select(F.concat(F.lit("leiden_0_4_"), F.col("a").cast("string"), F.lit("_vs_"), F.col("b").cast("string")).alias("pair"))
 
