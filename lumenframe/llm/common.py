@@ -1,22 +1,18 @@
-"""Shared by the operators: the scratch folder, written intermediate tables, word expressions."""
+"""Shared by the operators: written intermediate tables, slices of batches, word expressions."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, scratch_root  # noqa: F401  the operators' too
+
 #: Words are maximal runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Up to here NFC changes nothing and all versions of Unicode agree on letters, digits and lower case.
 LATIN_END = "\u024f"
 
-_own_folder: list[str] = []
 _kept: dict[str, object] = {}
 
 
@@ -60,60 +56,6 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests, local mode)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="lumenframe-"))
-    return _own_folder[0]
-
-
-class Scratch:
-    """Written tables of one run, in the shared folder. Losing an executor loses none of them."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._count = 0
-        atexit.register(self._delete, self.root)
-
-    def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.root}/{self._count}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return a DataFrame that reads what was written."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables that no later plan reads."""
-        for df in tables:
-            self._delete(df._scratch_path)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        if context._jsc is None:
-            return
-        try:
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  at interpreter exit the JVM may be gone
-            return
-
-
 def slices(batches, rows: int = 512):
     """Arrow batches cut into shorter ones, so that a Python worker holds few texts as objects at a time."""
     for batch in batches:

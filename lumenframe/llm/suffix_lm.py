@@ -1,27 +1,26 @@
 """Scores of whole texts under a probabilistic suffix tree of words.
 
-The tree's states are contexts of up to max_depth preceding words.  A context is a
-candidate if its share of the training tokens reaches context_share, so a depth has at
-most 1 / context_share of them; it is kept if a divergence test finds that the words
-after it are told better by it than by its suffix (a leave-one-out log-likelihood ratio
-above divergence), and then its suffixes are kept too.  Next-word distributions
-are smoothed by interpolated absolute discounting, from each context to its suffix,
-down to the add-one distribution of single words at the root.  A token is scored in
-the longest kept state.
-
-Frequent words, those with a share of symbol_share or more (at most 1 / symbol_share
-words, so they can be sent to every task), are symbols of their own; all others share one
-symbol and divide its probability as at the root.  Counts cover every training
-document; those of other words, and those of word pairs, stay distributed and meet the
-texts in joins.  What is hot in those joins is frequent, and so is sent instead.
-
-Words are told apart by 62 bits of their XXH64.
+The tree's states are contexts of preceding words, of any length.  A context is tried if it occurs often enough (twice, by
+default), if the context without its first word was kept, and if the one without its last word was tried; it is kept if a divergence
+test finds that the words after it are told better by it than by the context without its first word (a leave-one-out
+log-likelihood ratio of divergence or more).  Growth ends where no context passes the test.  Next-word distributions are
+smoothed from each context to the shorter one, p = (n + m p') / (N + m), down to the add-one distribution of single words;
+m = N ** heaps, as the number of words that follow a context grows by Heaps' law.  A token is scored in the longest kept
+state.
+
+Texts are dealt once into chunks of about CHUNK_TOKENS tokens: numbers of words, and the chunk's distinct words.  All else is
+asked: a chunk counts its own sequences and sends each distinct one, with its count, to the sequence's bucket, which
+answers the sum over all chunks.  So counts stay distributed; nothing is cut off and nothing that grows with the corpus
+is sent to every task.  Frequent sequences are sent once for each chunk that has them, however often it does.  What
+only one chunk has is told by its parts: a sequence whose beginning or end no other chunk has needs no question.
+Divergence is summed the same way.  Each depth takes two rounds of questions, over those positions that are still in the tree.
+
+Words and sequences are told apart by 64 bits.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, kept_by_worker, slices
 
-SYMBOL_SHARE = 1e-6
-CONTEXT_SHARE = 1e-4
-MAX_DEPTH = 2
-DISCOUNT = 0.75
+#: Occurrences in the training texts that make a context worth trying.
+FEWEST = 2
 #: Log-likelihood gain, in nats, that a context must bring over its suffix.
 DIVERGENCE = 10.0
-#: Counts of words that a task holds before it sums them up, and passes them on if half as many are left.
-HELD = 1_000_000
-#: Pairs that a task holds before it passes their counts on.
-HELD_PAIRS = 1_000_000
+#: Exponent of a context's count that gives the weight of its suffix.
+HEAPS = 0.7
+#: Tokens of a chunk, about (a text is never cut), and distinct sequences of a bucket.
+CHUNK_TOKENS, BUCKET_KEYS = 1 << 19, 1 << 21
 
-END = -1
-_BIT, _MASK = 1 << 62, (1 << 62) - 1
+END = np.uint64(0)
+_FACTORS = np.random.default_rng(10).integers(0, 2**63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -60,315 +57,342 @@ def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    return (np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words)) & np.uint64(_MASK) | np.uint64(_BIT)).astype(np.int64)
+    return np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words)), np.uint64(1))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest width that holds them, which goes first."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 @dataclass
-class Tree:
-    """What every task is sent; its size has bounds that the shares set."""
-
-    total: int  # training tokens
-    distinct: int
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of the frequent words, sorted
-    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their numbers, from the most frequent
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by number
-    contexts: int = 0  # so many of the most frequent words are contexts of depth 1
-    links: list[np.ndarray] = field(default_factory=list)  # by depth from 2: sorted node * contexts + earlier word
-    link_nodes: list[np.ndarray] = field(default_factory=list)
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # by node
-    log_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by node: log10 of what a context leaves to its suffix
-    hot_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted node * symbols + symbol
-    hot_gains: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    @property
-    def symbols(self) -> int:
-        """Frequent words, and one symbol for all others."""
-        return len(self.counts) + 1
-
-    @property
-    def end(self) -> int:
-        return int(self.codes[np.searchsorted(self.hashes, END)]) if len(self.hashes) else -1
-
-    def root(self, counts):
-        return (counts + 1) / (self.total + self.distinct + 1)
-
-    @property
-    def root_of_others(self) -> float:
-        return max(1.0 - float(self.root(self.counts).sum()), 1e-300)
-
-    def nodes(self, ids: np.ndarray, depth: int) -> np.ndarray:
-        """For each token the node of the depth words before it, or -1. Texts follow each other, each closed by its end."""
-        context = np.where((ids < self.contexts) & (ids != self.end), ids, -1)
-        out = np.full(len(ids), -1, np.int64)
-        out[1:] = context[:-1]
-        for d in range(2, depth + 1):
-            links, nodes = self.links[d - 2], self.link_nodes[d - 2]
-            now = np.full(len(ids), -1, np.int64)
-            if len(ids) > d and len(links):
-                earlier = context[: len(ids) - d]
-                key = np.where((out[d:] >= 0) & (earlier >= 0), out[d:] * self.contexts + earlier, -1)
-                at = np.minimum(np.searchsorted(links, key), len(links) - 1)
-                now[d:] = np.where(links[at] == key, nodes[at], -1)
-            out = now
-        return out
-
-
-class Codes:
-    """Numbers of words: of a frequent one its rank, of any other its hash."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.hashes, self.codes, self.end = tree.hashes, tree.codes, tree.end
-        # Frequent words that have been met, and their numbers.
-        self.names, self.numbers = pa.array([], pa.binary()), np.zeros(0, np.int64)
-
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words of the texts, each text closed by its end, and the lengths of the texts, ends included."""
-        words, sizes = words_in(texts)
-        place = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy()
-        numbers = self.numbers[place] if len(self.numbers) else np.zeros(len(place), np.int64)
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            met = words.take(pa.array(missing)).dictionary_encode()
-            hashes = word_hashes(met.dictionary)
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            frequent = self.hashes[at] == hashes
-            found = np.where(frequent, self.codes[at], hashes)
-            numbers[missing] = found[met.indices.to_numpy()]
-            self.names = pa.concat_arrays([self.names, met.dictionary.filter(pa.array(frequent))])
-            self.numbers = np.concatenate([self.numbers, found[frequent]])
-        sizes = sizes + 1
-        out = np.full(int(sizes.sum()), self.end, np.int64)
-        inner = np.ones(len(out), bool)
-        inner[np.cumsum(sizes) - 1] = False
-        out[inner] = numbers
-        return out, sizes
-
-    @classmethod
-    def shared(cls, tree: Tree) -> Codes:
-        """One per Python worker, for all its tasks with the tree."""
-        return kept_by_worker(f"codes {tree.name}", lambda: cls(tree))
-
-
-def _count_rows(keys, counts):
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(key, n): hash and count of each word of column text, and of the ends under END."""
-
-    def count(batches):
-        kept_by_worker("no codes")
-        keys, counts, size, ends = [], [], 0, 0
-
-        def summed():
-            names, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return names, np.bincount(at, np.concatenate(counts)).astype(np.int64)
-
-        for batch in slices(batches, 2048):
-            words, _ = words_in(batch.column(0))
-            kinds = words.value_counts()
-            keys.append(word_hashes(kinds.field(0)))
-            counts.append(kinds.field(1).to_numpy())
-            size += len(kinds)
-            ends += batch.num_rows
-            if size > HELD:
-                names, n = summed()
-                keys, counts, size = [names], [n], len(names)
-                if size > HELD // 2:
-                    yield _count_rows(names, n)
-                    keys, counts, size = [], [], 0
-        if size:
-            yield _count_rows(*summed())
-        if ends:
-            yield _count_rows([END], [ends])
-
-    return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def count_after(texts: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """(key, n): how often each symbol follows each node of a depth; key is node * symbols + symbol."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
-
-    def count(batches):
-        tree = shared.value
-        codes, held, size = Codes.shared(tree), [], 0
-
-        def rows():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return _count_rows(keys, n)
+class Settings:
+    fewest: int
+    divergence: float
+    heaps: float
+    tokens: int = 0  # of the training texts
+    distinct: int = 0
 
-        for batch in slices(batches):
-            ids, _ = codes.of(batch.column(0))
-            nodes = tree.nodes(ids, depth)
-            at = nodes >= 0
-            held.append(nodes[at] * tree.symbols + np.minimum(ids[at], tree.symbols - 1))
-            size += len(held[-1])
-            if size > HELD_PAIRS:
-                yield rows()
-                held, size = [], 0
-        if size:
-            yield rows()
-
-    return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def grow(texts: DataFrame, counts: DataFrame, scratch: Scratch, *, symbol_share: float, context_share: float, max_depth: int, discount: float, divergence: float) -> tuple[Tree, DataFrame | None]:
-    """The tree, and (key, gain) of all that follows kept nodes but what the tree holds itself."""
-    spark = texts.sparkSession
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    tree = Tree(total, distinct)
-    if not total:
-        return tree, None
-    frequent = counts.where((F.col("n") >= symbol_share * total) | (F.col("key") == END)).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
-    hashes = frequent["key"].to_numpy()
-    order = np.argsort(hashes)
-    tree.hashes, tree.codes, tree.counts = hashes[order], order.astype(np.int64), frequent["n"].to_numpy()
-    # A context must be a prefix of the numbers, so an end before it counts as one, though nothing follows it.
-    tree.contexts = int((tree.counts >= context_share * total).sum())
-    symbols = tree.symbols
-    roots = np.append(tree.root(tree.counts), tree.root_of_others)
-    # Bounded by 1 / symbol_share rows.
-    root = spark.createDataFrame(pa.table({"symbol": np.arange(symbols), "below": roots}))
-    tree.kept, tree.log_rest = np.zeros(tree.contexts, bool), np.zeros(tree.contexts)
-    contexts = {i: (i,) for i in range(tree.contexts)}  # of the depth last grown, in order of time
-    suffix_of: dict[int, int] = {}
-    levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
-        if depth > 1:
-            seen = levels[-1].where(F.col("n") >= context_share * total)
-            # At most 1 / context_share rows: a context of one more word, as often as the words after a context.
-            pairs = [divmod(int(r.key), symbols) for r in seen.select("key").collect()]
-            found = sorted((*contexts[node], word) for node, word in pairs if word < tree.contexts)
-            of = {words: node for node, words in contexts.items()}
-            found = [words for words in found if words[1:] in of]  # its suffix is the context without the first word
-            contexts = {len(tree.kept) + k: words for k, words in enumerate(found)}
-            up = [(node, of[words[1:]]) for node, words in contexts.items()]
-            suffix_of |= dict(up)
-            keys = np.array([of[words[1:]] * tree.contexts + words[0] for words in found], np.int64)
-            order = np.argsort(keys)
-            tree.links.append(keys[order])
-            tree.link_nodes.append(len(tree.kept) + order)
-            tree.kept = np.append(tree.kept, np.zeros(len(found), bool))
-            tree.log_rest = np.append(tree.log_rest, np.zeros(len(found)))
-            if not found:
-                break
-        after = scratch.keep(count_after(texts, tree, depth), f"depth{depth}")
-        split = after.select("key", "n", F.floor(F.col("key") / symbols).cast("long").alias("node"), (F.col("key") % symbols).alias("symbol"))
-        if depth == 1:
-            split = split.join(F.broadcast(root), "symbol")
-        else:
-            up = spark.createDataFrame(up, "node long, suffix long")
-            lower = levels[-1].select(F.col("key").alias("key_"), F.col("p").alias("below"))
-            split = split.join(F.broadcast(up), "node").join(lower, F.col("suffix") * symbols + F.col("symbol") == F.col("key_")).drop("key_", "suffix")
-        sizes = scratch.keep(split.groupBy("node").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")), f"sizes{depth}")  # a row for each node of the depth
-        rest = F.lit(discount) * F.col("kinds") / F.col("size")
-        split = split.join(F.broadcast(sizes), "node")
-        p = (F.col("n") - discount) / F.col("size") + rest * F.col("below")
-        without = F.greatest(F.col("n") - 1 - discount, F.lit(0.0)) / F.greatest(F.col("size") - 1, F.lit(1)) + rest * F.col("below")
-        level = scratch.keep(split.select("key", "n", "node", p.alias("p"), (F.log10(p) - F.log10(rest * F.col("below"))).alias("gain"), (F.col("n") * F.ln(without / F.col("below"))).alias("told")), f"told{depth}")
-        scratch.drop(after)
-        tests = level.groupBy("node").agg(F.sum("told").alias("told")).join(sizes, "node").select("node", "told", F.log10(rest).alias("rest")).collect()
-        for r in tests:
-            tree.log_rest[r.node] = r.rest
-            node = r.node if r.told >= divergence else None
-            while node is not None and not tree.kept[node]:
-                tree.kept[node], node = True, suffix_of.get(node)
-        levels.append(level)
-    if not tree.kept.any():
-        return tree, None
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    held = spark.createDataFrame(pa.table({"node": np.flatnonzero(tree.kept)}))
-    gains = every.join(F.broadcast(held), "node", "left_semi")
-    hot = F.col("n") >= context_share * total
-    # At most max_depth / context_share rows.
-    rows = gains.where(hot).select("key", "gain").toArrow().sort_by("key")
-    tree.hot_keys, tree.hot_gains = rows["key"].to_numpy(), rows["gain"].to_numpy()
-    return tree, gains.where(~hot).select("key", "gain")
-
-
-_LOCAL = "row long, key {key}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, pairs array<long>"
-
-
-def score_locally(docs: DataFrame, tree: Tree, max_depth: int) -> DataFrame:
-    """For each document, under a number of its row: what the tree tells by itself, and the words and pairs that others must add to."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-        """The values of each owner, who are in order."""
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
-    def score(batches):
-        tree = shared.value
-        codes, others, symbols = Codes.shared(tree), tree.symbols - 1, tree.symbols
-        log_root = np.append(np.log10(tree.root(tree.counts)), np.log10(tree.root_of_others))
-        row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
-            n = batch.num_rows
-            ids, sizes = codes.of(batch.column(2))
-            text = np.repeat(np.arange(n), sizes)
-            symbol, common = np.minimum(ids, others), ids < others
-            gain = log_root[symbol]
-            base = np.bincount(text, np.where(common, gain, 0.0), n)
-            keys, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for depth in range(1, min(max_depth, 1 + len(tree.links)) + 1):
-                nodes = tree.nodes(ids, depth)
-                at = np.flatnonzero(nodes >= 0)
-                at = at[tree.kept[nodes[at]]]
-                gain[at] += tree.log_rest[nodes[at]]
-                key = nodes[at] * symbols + symbol[at]
-                if len(tree.hot_keys):
-                    where = np.minimum(np.searchsorted(tree.hot_keys, key), len(tree.hot_keys) - 1)
-                    hot = tree.hot_keys[where] == key
-                    gain[at[hot]] += tree.hot_gains[where[hot]]
-                    key, at = key[~hot], at[~hot]
-                keys.append(key)
-                owner.append(text[at])
-            keys, owner = np.concatenate(keys), np.concatenate(owner)
-            order = np.argsort(owner, kind="stable")
-            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(np.bincount(text, common, n).astype(np.int64)), pa.array(base), pa.array(np.bincount(text, gain, n)), lists(ids[~common], text[~common], n), lists(keys[order], owner[order], n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "held_out", "n_tokens", "n_known", "base", "score", "words", "pairs"])
-            row += n
-
-    def empty(batches):
-        # Nothing was learned: each token has probability 1 / (0 + 0 + 1).
-        row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
-            n, zero = batch.num_rows, np.zeros(batch.num_rows)
-            sizes = words_in(batch.column(2))[1] + 1
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), none, none], names=["row", "key", "held_out", "n_tokens", "n_known", "base", "score", "words", "pairs"])
-            row += n
+_CHUNK = "chunk long, key array<{key}>, held_out array<boolean>, sizes binary, words binary, ids binary"
 
-    return docs.select("key", "held_out", "text").mapInArrow(score if tree.total else empty, _LOCAL.format(key=docs.schema["key"].dataType.simpleString()))
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """Rows (key, held_out, text) dealt into chunks: the keys, the numbers of tokens (each text is closed by its end), the distinct words, and each token's."""
 
-def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, max_depth: int = MAX_DEPTH, discount: float = DISCOUNT, divergence: float = DIVERGENCE) -> DataFrame:
+    def work(batches):
+        kept_by_worker("chunks")
+        number = TaskContext.get().partitionId() << 33
+        keys, held, sizes, names, hashes, ids = [], [], [], pa.array([], pa.binary()), np.zeros(0, np.uint64), []
+        total = 0
+
+        def row():
+            every, at = np.unique(np.concatenate([[END], hashes]), return_inverse=True)
+            flat = at[np.concatenate(ids)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (pa.concat_arrays(keys), pa.concat_arrays(held))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([packed(np.concatenate(sizes))], pa.binary()), pa.array([every.tobytes()], pa.binary()), pa.array([packed(flat)], pa.binary())], names=["chunk", "key", "held_out", "sizes", "words", "ids"])
+
+        for batch in slices(batches):
+            words, lengths = words_in(batch.column(2))
+            met = words.dictionary_encode()
+            place = pc.index_in(met.dictionary, value_set=names)
+            new = pc.is_null(place)
+            more = met.dictionary.filter(new)
+            place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+            place[place < 0] = len(names) + np.arange(len(more))
+            names, hashes = pa.concat_arrays([names, more]), np.concatenate([hashes, word_hashes(more)])
+            out = np.zeros(int(lengths.sum()) + len(lengths), np.int64)  # 0 is the end, words are from 1
+            inner = np.ones(len(out), bool)
+            inner[np.cumsum(lengths + 1) - 1] = False
+            out[inner] = place[met.indices.to_numpy()] + 1
+            keys.append(batch.column(0))
+            held.append(batch.column(1))
+            sizes.append(lengths + 1)
+            ids.append(out)
+            total += len(out)
+            if total >= CHUNK_TOKENS:
+                yield row()
+                keys, held, sizes, names, hashes, ids = [], [], [], pa.array([], pa.binary()), np.zeros(0, np.uint64), []
+                total, number = 0, number + 1
+        if keys:
+            yield row()
+
+    return docs.select("key", "held_out", "text").mapInArrow(work, _CHUNK.format(key=docs.schema["key"].dataType.simpleString()))
+
+
+class Chunk:
+    """A chunk's tokens, and how far the tree is known at each."""
+
+    def __init__(self, sizes, words, ids, held_out: np.ndarray, known: Settings) -> None:
+        self.known = known
+        self.sizes, self.words, self.ids = unpacked(sizes), np.frombuffer(words, np.uint64), unpacked(ids)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train = ~held_out[self.text]
+
+    def own_words(self) -> np.ndarray:
+        return np.bincount(self.ids, self.train, len(self.words)).astype(np.int64)
+
+    def follow(self, totals: np.ndarray, seen: list[np.ndarray], kept: list[np.ndarray]) -> None:
+        """Go down the tree: totals are codes of the words' counts, seen[d] those of the sequences at the positions of depth d, kept[d] whether their contexts are kept.
+
+        A code is twice the count, and one more if other chunks have the word or sequence too.  Afterwards p is each token's probability in
+        its longest state, at are the positions whose next context is to be tried, n_context its count; shared tells
+        of the words or sequences of the last depth whether other chunks have them.
+        """
+        known, code = self.known, totals[self.ids]
+        count, self.shared = code >> 1, (code & 1).astype(bool)
+        self.count = count
+        self.p = (count + 1) / (known.tokens + known.distinct + 1)
+        first = np.zeros(len(self.ids), bool)
+        first[np.cumsum(self.sizes) - self.sizes] = True
+        self.at = np.flatnonzero(~first)
+        self.at = self.at[count[self.at - 1] >= known.fewest]
+        self.n_context = count[self.at - 1]
+        self.depth = 1
+        for code, stays in zip(seen, kept, strict=False):
+            n, at = code >> 1, self.at
+            stays = stays[: len(at)]
+            self.p[at[stays]] = self.smoothed(n, self.n_context, self.p[at])[stays]
+            after = np.zeros(len(self.ids), np.int64)
+            after[at] = n
+            self.shared = np.zeros(len(self.ids), bool)
+            self.shared[at] = code & 1
+            at = at[stays]
+            self.at = at[after[at - 1] >= known.fewest]
+            self.n_context = after[self.at - 1]
+            self.depth += 1
+
+    def smoothed(self, n, n_context, below):
+        weight = n_context.astype(float) ** self.known.heaps
+        return (n + weight * below) / (n_context + weight)
+
+    def sequences(self, last: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the sequences of so many words that end at the given places."""
+        out = self.words[self.ids[last]] + np.uint64(length)
+        for k in range(1, length):
+            out = (out ^ (out >> np.uint64(31))) * _FACTORS[0] + self.words[self.ids[last - k]] * _FACTORS[1]
+        return out ^ (out >> np.uint64(29))
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct sequences of a context to be tried and the word after it, sorted: keys, own counts, whether others may have them, and each position's."""
+        keys, place = np.unique(self.sequences(self.at, self.depth + 1), return_inverse=True)
+        own = np.bincount(place, self.train[self.at], len(keys)).astype(np.int64)
+        asks = np.zeros(len(keys), bool)
+        asks[place] = self.shared[self.at - 1] & self.shared[self.at]
+        return keys, own, asks, place
+
+    def told(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts to be tried, sorted: keys, own divergence, whether others have them, and each position's; codes are those of asked()."""
+        keys, place = np.unique(self.sequences(self.at - 1, self.depth), return_inverse=True)
+        n, below, weight = codes >> 1, self.p[self.at], self.n_context.astype(float) ** self.known.heaps
+        without = (np.maximum(n - 1, 0) + weight * below) / (self.n_context - 1 + weight)
+        gain = np.bincount(place, np.where(self.train[self.at], np.log(without / below), 0.0), len(keys))
+        shared = np.zeros(len(keys), bool)
+        shared[place] = self.shared[self.at - 1]
+        return keys, gain, shared, place
+
+
+_PASS = "kind int, chunk long, bucket int, keys binary, amounts binary, totals binary, seen array<binary>, kept array<binary>, grown long"
+_ASK, _STATE = 0, 1
+
+
+def _bucket_rows(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int):
+    """A row for each bucket that some of the sorted keys belong to."""
+    if not len(keys):
+        return None
+    of = (keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    names, first = np.unique(of, return_index=True)
+    ends = np.append(first[1:], len(keys))
+    n = len(names)
+    rows = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, _ASK), pa.int32()), pa.array(np.full(n, chunk)), pa.array(names, pa.int32()), rows(keys), rows(amounts), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.binary())), pa.array(np.zeros(n, np.int64))], names=_PASS_NAMES)
+
+
+_PASS_NAMES = [x.split()[0] for x in _PASS.split(", ")]
+
+
+def _state_row(chunk: int, totals: bytes, seen: list[bytes], kept: list[bytes], grown: int):
+    lists = [pa.array([x], pa.list_(pa.binary())) for x in (seen, kept)]
+    return pa.RecordBatch.from_arrays([pa.array([_STATE], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([totals], pa.binary()), *lists, pa.array([grown], pa.int64())], names=_PASS_NAMES)
+
+
+def answers(asks: DataFrame, scratch: Scratch, name: str, *, least: float | None = None) -> tuple[DataFrame, int, int]:
+    """(chunk, found, sums) with what each chunk is told; the number of distinct keys of a sum above 0, and the sum over all keys.
+
+    Amounts are counts, and a key that other chunks ask for too is answered with its sum.  With least they are divergences, and the keys that reach it are answered.
+    """
+
+    def total(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")  # sums do not hang on the order of arrival
+        chunks, keys, amounts = table["chunk"].to_numpy(), table["keys"].to_pylist(), table["amounts"].to_pylist()
+        sizes = np.array([len(k) // 8 for k in keys])
+        flat = np.frombuffer(b"".join(keys), np.uint64)
+        amount = np.frombuffer(b"".join(amounts), np.int64 if least is None else np.float64)
+        order = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+        times = np.diff(np.append(heads, len(flat)))
+        at = np.empty(len(flat), np.int64)
+        at[order] = np.repeat(np.arange(len(heads)), times)
+        sums = np.add.reduceat(amount[order], heads)
+        told = (times > 1)[at] if least is None else (sums >= least)[at]
+        out = []
+        for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+            some = told[a:b]
+            out.append((flat[a:b][some].tobytes(), sums[at[a:b][some]].tobytes() if least is None else b""))
+        distinct, every = int((sums > 0).sum()), int(sums.sum()) if least is None else 0
+        n = len(chunks)
+        ones = lambda x: pa.array([x, *[0] * (n - 1)], pa.int64())
+        return pa.table({"chunk": chunks, "found": pa.array([x for x, _ in out], pa.binary()), "sums": pa.array([x for _, x in out], pa.binary()), "distinct": ones(distinct), "total": ones(every)})
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table["found"].to_pylist()), np.uint64)
+        order = np.argsort(keys, kind="stable")
+        sums = b"".join(table["sums"].to_pylist())
+        sums = packed(np.frombuffer(sums, np.int64)[order]) if sums else b"\x01"
+        return pa.table({"chunk": table["chunk"][:1], "found": pa.array([keys[order].tobytes()], pa.binary()), "sums": pa.array([sums], pa.binary())})
+
+    summed = scratch.keep(asks.select("bucket", "chunk", "keys", "amounts").groupBy("bucket").applyInArrow(total, "chunk long, found binary, sums binary, distinct long, total long"), f"{name}-sums")
+    distinct, every = (int(x or 0) for x in summed.agg(F.sum("distinct"), F.sum("total")).first())
+    full = summed.where(F.octet_length("found") > 0)
+    out = scratch.keep(full.select("chunk", "found", "sums").groupBy("chunk").applyInArrow(gather, "chunk long, found binary, sums binary"), name)
+    scratch.drop(summed)
+    return out, distinct, every
+
+
+def _looked_up(keys: np.ndarray, own: np.ndarray, found, sums) -> np.ndarray:
+    """Codes of sorted keys: those that were answered have their sums, the others their own counts."""
+    codes = 2 * own
+    if found is not None and len(found):
+        told = np.frombuffer(found, np.uint64)
+        at = np.searchsorted(keys, told)
+        at_ = np.minimum(at, max(0, len(keys) - 1))
+        hit = keys[at_] == told if len(keys) else np.zeros(len(told), bool)
+        codes[at_[hit]] = 2 * unpacked(sums)[hit] + 1
+    return codes
+
+
+def _bytes(column: pa.Array, i: int):
+    return column[i].as_py()
+
+
+def _passed(chunks: DataFrame, known: Settings, state: DataFrame | None, told: DataFrame | None, buckets: int, step: str) -> DataFrame:
+    """One round over all chunks; see the steps in it."""
+    rows = chunks.select("chunk", "held_out", "sizes", "words", "ids")
+    rows = rows.join(told, "chunk", "left") if told is not None else rows.withColumns({"found": F.lit(None).cast("binary"), "sums": F.lit(None).cast("binary")})
+    rows = rows.join(state.select("chunk", "totals", "seen", "kept"), "chunk") if state is not None else rows.withColumns({"totals": F.lit(None).cast("binary"), "seen": F.lit(None).cast("array<binary>"), "kept": F.lit(None).cast("array<binary>")})
+
+    def work(batches):
+        kept_by_worker("tree")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                held_out = np.asarray(batch.column(1)[i].values.to_numpy(zero_copy_only=False), bool)
+                chunk = Chunk(*(_bytes(batch.column(k), i) for k in (2, 3, 4)), held_out, known)
+                found, sums, totals = (_bytes(batch.column(k), i) for k in (5, 6, 7))
+                seen, kept = (list(batch.column(k)[i].as_py() or []) for k in (8, 9))
+                if step == "words":
+                    row = _bucket_rows(number, chunk.words, chunk.own_words(), buckets)
+                    if row is not None:
+                        yield row
+                    continue
+                if step == "start":
+                    totals = packed(_looked_up(chunk.words, chunk.own_words(), found, sums))
+                    chunk.follow(unpacked(totals), [], [])
+                    grown = 1
+                elif step == "test":
+                    # Counts are known: keep them, decide on contexts that only this chunk has, and tell the divergence of the others.
+                    chunk.follow(unpacked(totals), list(map(unpacked, seen)), [_bits(k) for k in kept])
+                    keys, own, _, place = chunk.asked()
+                    codes = _looked_up(keys, own, found, sums)[place]
+                    names, gain, shared, place = chunk.told(codes)
+                    row = _bucket_rows(number, names[shared], gain[shared], buckets)
+                    if row is not None:
+                        yield row
+                    alone = ~shared & (gain >= known.divergence)
+                    yield _state_row(number, totals, [*seen, packed(codes)], [*kept, np.packbits(alone[place]).tobytes()], 0)
+                    continue
+                else:
+                    # The contexts that are kept are known: go on from them.
+                    stays = _bits(kept[-1])
+                    chunk.follow(unpacked(totals), list(map(unpacked, seen[:-1])), [_bits(k) for k in kept[:-1]])
+                    if found is not None and len(found):
+                        told = np.frombuffer(found, np.uint64)
+                        names = chunk.sequences(chunk.at - 1, chunk.depth)
+                        where = np.minimum(np.searchsorted(told, names), len(told) - 1)
+                        stays = stays[: len(names)] | (told[where] == names)
+                    kept[-1] = np.packbits(stays[: len(chunk.at)]).tobytes()
+                    chunk.follow(unpacked(totals), list(map(unpacked, seen)), [_bits(k) for k in kept])
+                    grown = len(chunk.at)
+                keys, own, asks, _ = chunk.asked()
+                row = _bucket_rows(number, keys[asks], own[asks], buckets)
+                if row is not None:
+                    yield row
+                yield _state_row(number, totals, seen, kept, grown)
+
+    return rows.mapInArrow(work, _PASS)
+
+
+def _bits(data) -> np.ndarray:
+    """As many bits as fill whole bytes."""
+    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
+
+
+def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int | None) -> DataFrame:
+    """(chunk, totals, seen, kept) of every chunk: what it knows of the tree. Sets the counts of known."""
+    n_tokens = chunks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0  # a byte for each token at least
+    buckets = int(max(1, n_tokens // BUCKET_KEYS))
+    asks = scratch.keep(_passed(chunks, known, None, None, buckets, "words"), "words")
+    told, known.distinct, known.tokens = answers(asks, scratch, "word-answers")
+    scratch.drop(asks)
+    state, depth, step = None, 0, "start"
+    while True:
+        now = scratch.keep(_passed(chunks, known, state, told, buckets, step), f"{step}{depth}")
+        scratch.drop(told, *([state] if state is not None else []))
+        scratch.release()
+        rows = now.where(F.col("kind") == _STATE)
+        state = rows.select("chunk", "totals", "seen", "kept")
+        state._scratch_path = now._scratch_path
+        grown = rows.agg(F.sum("grown")).first()[0]
+        if step != "test" and (not grown or (max_depth is not None and depth >= max_depth)):
+            return state
+        step = "test" if step != "test" else "extend"
+        depth += step == "test"
+        told, *_ = answers(now.where(F.col("kind") == _ASK), scratch, f"answers-{step}{depth}", least=known.divergence if step == "extend" else None)
+        scratch.release()
+
+
+def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", fewest: int = FEWEST, divergence: float = DIVERGENCE, heaps: float = HEAPS, max_depth: int | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    The model is learned from the rows where learn_from holds; held_out says where it does not.
-    Null text is empty and has its end token only.  Where nothing can be learned, every
-    token has probability 1 (add-one over no words).  Rows of equal key are scored each by
-    its own text.  Columns but the two named are not read.
+    The model is learned from the rows where learn_from holds; held_out says where it does not (null does not).
+    Null and empty texts have their end token only.  Where nothing can be learned, every
+    token has probability 1 (add-one over no words).  Rows of equal or null key are scored, and learned from, each by
+    its own text; keys may be of any type.  Texts of any length are read whole.  An empty table gives none.
+    Contexts have any length, unless max_depth says otherwise.  Columns but the two named are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffix-lm")
     rows = docs.select(F.col(key).alias("key"), (~F.coalesce(learn_from, F.lit(False))).alias("held_out"), F.col(text).alias("text"))
-    train = rows.where(~F.col("held_out"))
-    counts = scratch.keep(count_words(train), "words")
-    tree, gains = grow(train, counts, scratch, symbol_share=symbol_share, context_share=context_share, max_depth=max_depth, discount=discount, divergence=divergence)
-    scratch.release()
-    local = scratch.keep(score_locally(rows, tree, max_depth), "local")
-    # Words that are not frequent: their counts, and how they divide their shared symbol.
-    word = local.select("row", F.explode("words").alias("word"))
-    rare = counts.where(F.col("n") < symbol_share * tree.total).withColumnRenamed("key", "word")
-    share = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    others = float(np.log10(tree.root_of_others)) if tree.total else 0.0
-    more = word.join(rare, "word", "left").select("row", share.alias("base"), (share - F.lit(others)).alias("score"), F.col("n").isNotNull().cast("long").alias("known"))
-    if gains is not None:
-        pair = local.select("row", F.explode("pairs").alias("key"))
-        more = more.unionByName(pair.join(gains, "key").select("row", F.lit(0.0).alias("base"), F.col("gain").alias("score"), F.lit(0).cast("long").alias("known")))
-    sums = more.groupBy("row").agg(F.sum("base").alias("base_"), F.sum("score").alias("score_"), F.sum("known").alias("known_"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return local.join(sums, "row", "left").select("key", "held_out", "n_tokens", (F.col("n_known") + zero("known_")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + zero("base_")).alias("base_score"), (F.col("score") + zero("score_")).alias("score"))
+    chunks = scratch.keep(chunked(rows), "chunks")
+    known = Settings(fewest, divergence, heaps)
+    state = grow(chunks, known, scratch, max_depth)
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held_out = batch.column(2)[i].values
+                chunk = Chunk(*(_bytes(batch.column(k), i) for k in (3, 4, 5)), np.asarray(held_out.to_numpy(zero_copy_only=False), bool), known)
+                chunk.follow(unpacked(_bytes(batch.column(6), i)), [unpacked(x) for x in batch.column(7)[i].as_py()], [_bits(x) for x in batch.column(8)[i].as_py()])
+                n = len(chunk.sizes)
+                base = np.bincount(chunk.text, np.log10((chunk.count + 1) / (known.tokens + known.distinct + 1)), n)
+                columns = [batch.column(1)[i].values, held_out, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(chunk.p), n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    joined = chunks.join(state, "chunk").select("chunk", "key", "held_out", "sizes", "words", "ids", "totals", "seen", "kept")
+    return joined.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

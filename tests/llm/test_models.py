@@ -275,7 +275,7 @@ def fold(d):
 
 def test_language_model_base_score(docs, rows):
     learn = F.coalesce(text_crc_mod("doc_id", 7) != 2, F.lit(True))
-    got = suffix_lm.score_texts(docs, learn_from=learn, symbol_share=0.001, context_share=0.004, divergence=1.0).collect()
+    got = suffix_lm.score_texts(docs, learn_from=learn, divergence=1.0).collect()
     assert len(got) == len(rows)
     counts = Counter()
     for d, t, *_ in rows:
@@ -291,66 +291,68 @@ def test_language_model_base_score(docs, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def brute_tree(train, symbol_share, context_share, discount, divergence):
-    """The same model, by dictionaries: returns log10 of the probability of a word after a list of words."""
+def brute_tree(train, fewest, divergence, heaps):
+    """The same model, by dictionaries: log10 of the probability of the word at a place of a text, and the contexts that are kept."""
     uni = Counter(w for t in train for w in t)
     n, v = sum(uni.values()), len(uni)
-    frequent = {w for w, c in uni.items() if c >= symbol_share * n or w is None}
-    root = lambda w: (uni[w] + 1) / (n + v + 1)
-    others = 1 - sum(map(root, frequent))
-    symbol = lambda w: w if w in frequent else "OTHER "
-    below0 = lambda s: others if s == "OTHER " else root(s)
-    tops = {w for w in frequent if uni[w] >= context_share * n}
-
-    def after(depth, allowed):
-        out = {}
-        for t in train:
-            for i in range(depth, len(t)):
-                c = tuple(t[i - depth : i])
-                if c in allowed:
-                    out.setdefault(c, Counter())[symbol(t[i])] += 1
-        return out
-
-    one = after(1, {(w,) for w in tops if w is not None})
-    two = after(2, {(*c, s) for c, k in one.items() for s, m in k.items() if m >= context_share * n and s in tops and (s,) in one and s is not None})
-
-    def p(c, s):
+    counts = Counter(tuple(t[i - k : i]) for t in train for i in range(len(t) + 1) for k in range(1, i + 1))
+    after = {}
+    for t in train:
+        for i in range(1, len(t)):
+            for k in range(1, i + 1):
+                after.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+
+    def p(c, w, less=0):
         if not c:
-            return below0(s)
-        k = (one if len(c) == 1 else two)[c]
-        size, rest = sum(k.values()), discount * len(k) / sum(k.values())
-        return max(k[s] - discount, 0) / size + rest * p(c[1:], s)
-
-    kept = set()
-    for level in (one, two):
-        for c, k in level.items():
-            size, rest = sum(k.values()), discount * len(k) / sum(k.values())
-            told = sum(m * math.log((max(m - 1 - discount, 0) / max(size - 1, 1) + rest * p(c[1:], s)) / p(c[1:], s)) for s, m in k.items())
-            if told >= divergence:
-                kept |= {c, *([c[1:]] if len(c) > 1 else [])}
-
-    def log10(before, w):
-        c = next((c for c in (tuple(before[-2:]), tuple(before[-1:])) if c in kept and len(c)), ())
-        q = p(c, symbol(w))
-        return math.log10(q if w in frequent else q * root(w) / others)
+            return (uni[w] + 1) / (n + v + 1)
+        weight = counts[c] ** heaps
+        return (max(0, after.get(c, {}).get(w, 0) - less) + weight * p(c[1:], w)) / (counts[c] - less + weight)
+
+    tried, kept = {(w,) for w, m in uni.items() if m >= fewest and w is not None}, set()
+    level = tried
+    while level:
+        now = {c for c in level if sum(m * math.log(p(c, w, 1) / p(c[1:], w)) for w, m in after.get(c, {}).items()) >= divergence}
+        kept |= now
+        level = {c for c in after if c[1:] in now and c[:-1] in level and counts[c] >= fewest}
+    top = max(map(len, kept), default=0)
+
+    def log10(text, i):
+        c = next((c for k in range(min(i, top), 0, -1) if (c := tuple(text[i - k : i])) in kept and all(c[j:] in kept for j in range(k))), ())
+        return math.log10(p(c, text[i]))
 
     return log10, kept
 
 
-def test_language_model_equals_brute_force(docs, rows):
+@pytest.mark.parametrize("divergence", [0.5, 10.0])
+@pytest.mark.parametrize("chunk", [300, 1 << 19])
+def test_language_model_equals_brute_force(docs, rows, divergence, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_lm, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(suffix_lm, "BUCKET_KEYS", 2000)
+    rows = [r for r in rows if r[0] != 87]  # all sequences of any length are too many for dictionaries
     learn = F.coalesce(text_crc_mod("doc_id", 7) != 2, F.lit(True))
-    options = dict(symbol_share=0.001, context_share=0.001, discount=0.75, divergence=0.5)
-    got = suffix_lm.score_texts(docs, learn_from=learn, **options).collect()
+    options = dict(fewest=2, divergence=divergence, heaps=0.7)
+    got = suffix_lm.score_texts(frame(docs.sparkSession, rows).repartition(5), learn_from=learn, **options).collect()
     texts = [(d, [x.translate(LOWER) for x in words(t)] + [None]) for d, t, *_ in rows]
     log10, kept = brute_tree([t for d, t in texts if not fold(d)], **options)
-    assert {1, 2} <= {len(c) for c in kept}
+    assert max(map(len, kept)) >= (3 if divergence < 1 else 2)
     want = {}
     for d, t in texts:
-        want.setdefault(d, []).append(sum(log10(t[:i], w) for i, w in enumerate(t)))
+        want.setdefault(d, []).append(sum(log10(t, i) for i in range(len(t))))
+    assert len(got) == len(rows)
     for r in got:
         assert min(abs(r.score - x) for x in want[r.key]) < 1e-6 * max(1, abs(r.score)), (r, want[r.key])
 
 
+def test_texts_that_occur_twice_score_higher(spark):
+    """Contexts and words that occur twice in the corpus count, however large it is."""
+    rng = __import__("random").Random(12)
+    texts = [" ".join(f"w{int(1000 * rng.random() ** 3)}" for _ in range(200)) for _ in range(300)]
+    rows = list(enumerate(texts + texts[:20]))
+    got = {r.key: r for r in suffix_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), learn_from=F.lit(True)).collect()}
+    gain = {k: (r.score - r.base_score) / r.n_tokens for k, r in got.items()}
+    assert min(gain[k] for k in range(20)) > max(gain[k] for k in range(20, 300)) + 0.5
+
+
 def test_language_model_without_training(docs, rows, empty):
     got = suffix_lm.score_texts(docs, learn_from=F.lit(False)).collect()
     assert len(got) == len(rows) and all(r.base_score == r.score == 0 and r.train_tokens == r.n_known == 0 for r in got)
