@@ -1,12 +1,13 @@
 """Scores of whole texts under a probabilistic suffix tree of words.
 
-The tree's states are contexts of preceding words, of any length.  A context is tried if it occurs often enough (twice, by
-default), if the context without its first word was kept, and if the one without its last word was tried; it is kept if a divergence
-test finds that the words after it are told better by it than by the context without its first word (a leave-one-out
-log-likelihood ratio of divergence or more).  Growth ends where no context passes the test.  Next-word distributions are
-smoothed from each context to the shorter one, p = (n + m p') / (N + m), down to the add-one distribution of single words;
-m = N ** heaps, as the number of words that follow a context grows by Heaps' law.  A token is scored in the longest kept
-state.
+The tree's states are contexts of preceding words.  A context is tried if it occurs often enough (twice, by
+default), if the contexts without its first and without its last word were tried, and if the former leaves enough to be told: where its
+words' log-loss is below divergence, no longer context can pass.  It is kept if a divergence test finds that the words after it are told
+better by it than by the longest kept context that it ends in (a leave-one-out log-likelihood ratio of divergence or more).  So
+every sequence that occurs again is looked at, down to max_depth words, and evidence is absolute: it does not have to
+grow with the corpus.  Next-word distributions are smoothed from each context to the longest kept shorter one, p = (n + m p') / (N + m),
+down to the add-one distribution of single words; m = N ** heaps, as the number of words that follow a context grows by
+Heaps' law.  A token is scored in the longest kept state.
 
 Texts are dealt once into chunks of about CHUNK_TOKENS tokens: numbers of words, and the chunk's distinct words.  All else is
 asked: a chunk counts its own sequences and sends each distinct one, with its count, to the sequence's bucket, which
@@ -15,7 +16,8 @@ is sent to every task.  Frequent sequences are sent once for each chunk that has
 only one chunk has is told by its parts: a sequence whose beginning or end no other chunk has needs no question.
 Divergence is summed the same way.  Each depth takes two rounds of questions, over those positions that are still in the tree.
 
-Words and sequences are told apart by 64 bits.
+Sequences are told apart by 56 bits of a hash.  What is written and shuffled is packed: whole numbers go by their bytes, all lowest ones
+first, compressed, and sorted hashes by their differences.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ FEWEST = 2
 DIVERGENCE = 10.0
 #: Exponent of a context's count that gives the weight of its suffix.
 HEAPS = 0.7
+#: Words of the longest context.
+MAX_DEPTH = 8
 #: Tokens of a chunk, about (a text is never cut), and distinct sequences of a bucket.
-CHUNK_TOKENS, BUCKET_KEYS = 1 << 19, 1 << 21
+CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 21
 
 END = np.uint64(0)
 _FACTORS = np.random.default_rng(10).integers(0, 2**63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,14 +65,27 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest width that holds them, which goes first."""
+    """Whole numbers of 0 and above, by byte planes, compressed."""
     top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    width = max(1, -(-top.bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
-def unpacked(data) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def unpacked(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(memoryview(data)[9:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8").reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data)).view(np.uint64)
 
 
 @dataclass
@@ -80,11 +97,21 @@ class Settings:
     distinct: int = 0
 
 
-_CHUNK = "chunk long, key array<{key}>, held_out array<boolean>, sizes binary, words binary, ids binary"
+#: Rows of a round, by kind: a chunk (texts that are not learned from, sizes, words, numbers of words), what it knows of the
+#: tree (codes of words; for each depth codes of sequences and marks of contexts), its questions to a bucket and the answers (keys, amounts).
+_ROW = "kind int, chunk long, bucket int, parts array<binary>, grown long, distinct long, total long"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_CHUNK, _STATE, _ASK, _ANSWER = range(4)
+
+
+def _rows(kind: int, chunk: int, buckets: list[int], parts: list[list[bytes]], grown: int = 0) -> pa.Table:
+    n = len(buckets)
+    longs = lambda x: pa.array([x] * n, pa.int64())
+    return pa.table([pa.array([kind] * n, pa.int32()), longs(chunk), pa.array(buckets, pa.int32()), pa.array(parts, pa.list_(pa.binary())), longs(grown), longs(0), longs(0)], names=_NAMES)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Rows (key, held_out, text) dealt into chunks: the keys, the numbers of tokens (each text is closed by its end), the distinct words, and each token's."""
+    """Rows (key, held_out, text) dealt into chunks: chunk, the keys, held_out, and parts: held_out again, the numbers of tokens (each text is closed by its end), the distinct words, and each token's."""
 
     def work(batches):
         kept_by_worker("chunks")
@@ -95,8 +122,14 @@ def chunked(docs: DataFrame) -> DataFrame:
         def row():
             every, at = np.unique(np.concatenate([[END], hashes]), return_inverse=True)
             flat = at[np.concatenate(ids)]
+            kinds, place = np.unique(flat, return_inverse=True)
+            frequent = np.argsort(-np.bincount(place), kind="stable")  # frequent words have low numbers, which pack well
+            number_of = np.empty(len(kinds), np.int64)
+            number_of[frequent] = np.arange(len(kinds))
+            used = every[kinds]
+            parts = [np.packbits(np.asarray(pa.concat_arrays(held).to_numpy(zero_copy_only=False), bool)).tobytes(), packed(np.concatenate(sizes)), packed_keys(used), packed(number_of), packed(number_of[place])]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (pa.concat_arrays(keys), pa.concat_arrays(held))]
-            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([packed(np.concatenate(sizes))], pa.binary()), pa.array([every.tobytes()], pa.binary()), pa.array([packed(flat)], pa.binary())], names=["chunk", "key", "held_out", "sizes", "words", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([parts], pa.list_(pa.binary()))], names=["chunk", "key", "held_out", "parts"])
 
         for batch in slices(batches):
             words, lengths = words_in(batch.column(2))
@@ -123,23 +156,27 @@ def chunked(docs: DataFrame) -> DataFrame:
         if keys:
             yield row()
 
-    return docs.select("key", "held_out", "text").mapInArrow(work, _CHUNK.format(key=docs.schema["key"].dataType.simpleString()))
+    return docs.select("key", "held_out", "text").mapInArrow(work, f"chunk long, key array<{docs.schema['key'].dataType.simpleString()}>, held_out array<boolean>, parts array<binary>")
 
 
 class Chunk:
     """A chunk's tokens, and how far the tree is known at each."""
 
-    def __init__(self, sizes, words, ids, held_out: np.ndarray, known: Settings) -> None:
+    def __init__(self, parts: list[bytes], known: Settings) -> None:
         self.known = known
-        self.sizes, self.words, self.ids = unpacked(sizes), np.frombuffer(words, np.uint64), unpacked(ids)
+        held_out, sizes, words, number_of, ids = parts
+        self.sizes, self.words = unpacked(sizes), unpacked_keys(words)
+        word_of = np.empty(len(self.words), np.int64)
+        word_of[unpacked(number_of)] = np.arange(len(self.words))
+        self.ids = word_of[unpacked(ids)]
         self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.train = ~held_out[self.text]
+        self.train = ~_bits(held_out)[: len(self.sizes)][self.text]
 
     def own_words(self) -> np.ndarray:
         return np.bincount(self.ids, self.train, len(self.words)).astype(np.int64)
 
-    def follow(self, totals: np.ndarray, seen: list[np.ndarray], kept: list[np.ndarray]) -> None:
-        """Go down the tree: totals are codes of the words' counts, seen[d] those of the sequences at the positions of depth d, kept[d] whether their contexts are kept.
+    def follow(self, totals: np.ndarray, seen: list[np.ndarray], marks: list[np.ndarray]) -> None:
+        """Go down the tree: totals are codes of the words' counts, seen[d] those of the sequences at the positions of depth d, marks[d] of their contexts (KEPT, GOES_ON).
 
         A code is twice the count, and one more if other chunks have the word or sequence too.  Afterwards p is each token's probability in
         its longest state, at are the positions whose next context is to be tried, n_context its count; shared tells
@@ -155,15 +192,14 @@ class Chunk:
         self.at = self.at[count[self.at - 1] >= known.fewest]
         self.n_context = count[self.at - 1]
         self.depth = 1
-        for code, stays in zip(seen, kept, strict=False):
-            n, at = code >> 1, self.at
-            stays = stays[: len(at)]
-            self.p[at[stays]] = self.smoothed(n, self.n_context, self.p[at])[stays]
+        for code, mark in zip(seen, marks, strict=True):
+            n, at, kept = code >> 1, self.at, mark & KEPT > 0
+            self.p[at[kept]] = self.smoothed(n, self.n_context, self.p[at])[kept]
             after = np.zeros(len(self.ids), np.int64)
             after[at] = n
             self.shared = np.zeros(len(self.ids), bool)
             self.shared[at] = code & 1
-            at = at[stays]
+            at = at[mark & GOES_ON > 0]
             self.at = at[after[at - 1] >= known.fewest]
             self.n_context = after[self.at - 1]
             self.depth += 1
@@ -177,7 +213,7 @@ class Chunk:
         out = self.words[self.ids[last]] + np.uint64(length)
         for k in range(1, length):
             out = (out ^ (out >> np.uint64(31))) * _FACTORS[0] + self.words[self.ids[last - k]] * _FACTORS[1]
-        return out ^ (out >> np.uint64(29))
+        return (out ^ (out >> np.uint64(29))) >> np.uint64(8)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sequences of a context to be tried and the word after it, sorted: keys, own counts, whether others may have them, and each position's."""
@@ -188,193 +224,173 @@ class Chunk:
         return keys, own, asks, place
 
     def told(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts to be tried, sorted: keys, own divergence, whether others have them, and each position's; codes are those of asked()."""
+        """Distinct contexts to be tried, sorted: keys, own sums, whether others have them, and each position's; codes are those of asked().
+
+        The sums are the divergence, and the log-loss of the words without and with the context.
+        """
         keys, place = np.unique(self.sequences(self.at - 1, self.depth), return_inverse=True)
         n, below, weight = codes >> 1, self.p[self.at], self.n_context.astype(float) ** self.known.heaps
         without = (np.maximum(n - 1, 0) + weight * below) / (self.n_context - 1 + weight)
-        gain = np.bincount(place, np.where(self.train[self.at], np.log(without / below), 0.0), len(keys))
+        train = self.train[self.at]
+        parts = np.log(without / below), -np.log(below), -np.log(self.smoothed(n, self.n_context, below))
+        sums = np.stack([np.bincount(place, np.where(train, x, 0.0), len(keys)) for x in parts], 1).astype(np.float32)
         shared = np.zeros(len(keys), bool)
         shared[place] = self.shared[self.at - 1]
-        return keys, gain, shared, place
+        return keys, sums, shared, place
+
 
+KEPT, GOES_ON = 1, 2
 
-_PASS = "kind int, chunk long, bucket int, keys binary, amounts binary, totals binary, seen array<binary>, kept array<binary>, grown long"
-_ASK, _STATE = 0, 1
 
+def verdict(sums: np.ndarray, divergence: float) -> np.ndarray:
+    """Marks of contexts."""
+    kept = sums[:, 0] >= divergence
+    return KEPT * kept + GOES_ON * (np.where(kept, sums[:, 2], sums[:, 1]) >= divergence)
 
-def _bucket_rows(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int):
-    """A row for each bucket that some of the sorted keys belong to."""
-    if not len(keys):
-        return None
-    of = (keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
+
+def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int) -> pa.Table:
+    """A row for each bucket that some of the sorted keys belong to. Amounts are counts, or sums of contexts."""
+    of = (keys >> np.uint64(24)).astype(np.int64) * buckets >> 32
     names, first = np.unique(of, return_index=True)
-    ends = np.append(first[1:], len(keys))
-    n = len(names)
-    rows = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, _ASK), pa.int32()), pa.array(np.full(n, chunk)), pa.array(names, pa.int32()), rows(keys), rows(amounts), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.binary())), pa.array(np.zeros(n, np.int64))], names=_PASS_NAMES)
+    ends = np.append(first[1:], len(keys)).tolist()[: len(names)]
+    pack = packed if amounts.dtype.kind == "i" else np.ndarray.tobytes
+    return _rows(_ASK, chunk, names.tolist(), [[packed_keys(keys[a:b]), pack(amounts[a:b])] for a, b in zip(first.tolist(), ends, strict=True)])
 
 
-_PASS_NAMES = [x.split()[0] for x in _PASS.split(", ")]
+def _bits(data: bytes) -> np.ndarray:
+    """As many bits as fill whole bytes."""
+    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
 
 
-def _state_row(chunk: int, totals: bytes, seen: list[bytes], kept: list[bytes], grown: int):
-    lists = [pa.array([x], pa.list_(pa.binary())) for x in (seen, kept)]
-    return pa.RecordBatch.from_arrays([pa.array([_STATE], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([totals], pa.binary()), *lists, pa.array([grown], pa.int64())], names=_PASS_NAMES)
+def _found(answers: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys that a chunk is told, sorted, and their sums, or marks."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(k) for k, _ in answers)])
+    sums = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for _, x in answers)])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], sums[order]
 
 
-def answers(asks: DataFrame, scratch: Scratch, name: str, *, least: float | None = None) -> tuple[DataFrame, int, int]:
-    """(chunk, found, sums) with what each chunk is told; the number of distinct keys of a sum above 0, and the sum over all keys.
+def _looked_up(keys: np.ndarray, own: np.ndarray, answers: list[list[bytes]]) -> np.ndarray:
+    """Codes of sorted keys: those that were answered have their sums, the others their own counts."""
+    codes, (told, sums) = 2 * own, _found(answers)
+    if len(told) and len(keys):
+        at = np.minimum(np.searchsorted(keys, told), len(keys) - 1)
+        hit = keys[at] == told
+        codes[at[hit]] = 2 * sums[hit] + 1
+    return codes
 
-    Amounts are counts, and a key that other chunks ask for too is answered with its sum.  With least they are divergences, and the keys that reach it are answered.
-    """
 
-    def total(table: pa.Table) -> pa.Table:
+def _chunk_round(known: Settings, buckets: int, step: str):
+    """What a chunk makes of the answers: its new state and its next questions."""
+
+    def work(table: pa.Table) -> pa.Table:
+        number, kinds, parts = table["chunk"][0].as_py(), table["kind"].to_pylist(), table["parts"]
+        of = lambda kind: [parts[i].as_py() for i, k in enumerate(kinds) if k == kind]
+        chunk, answers = Chunk(of(_CHUNK)[0], known), of(_ANSWER)
+        word_keys = chunk.words >> np.uint64(8)
+        if step == "words":
+            return _asks(number, word_keys, chunk.own_words(), buckets)
+        if step == "start":
+            totals, levels = packed(_looked_up(word_keys, chunk.own_words(), answers)), []
+        else:
+            totals, *levels = of(_STATE)[0]
+        down = lambda ls: chunk.follow(unpacked(totals), [unpacked(x) for x in ls[::2]], [unpacked(x) for x in ls[1::2]])
+        if step == "test":
+            # Counts are known: keep them, decide on contexts that only this chunk has, and tell the sums of the others.
+            down(levels)
+            keys, own, _, place = chunk.asked()
+            codes = _looked_up(keys, own, answers)[place]
+            names, sums, shared, place = chunk.told(codes)
+            marks = np.where(shared, 0, verdict(sums, known.divergence))[place]
+            state = _rows(_STATE, number, [0], [[totals, *levels, packed(codes), packed(marks)]])
+            return pa.concat_tables([state, _asks(number, names[shared], sums[shared], buckets)])
+        if step == "extend":
+            # The marks of all contexts are known: go on from them.
+            down(levels[:-2])
+            marks, (told, more) = unpacked(levels[-1]), _found(answers)
+            if len(told):
+                names = chunk.sequences(chunk.at - 1, chunk.depth)
+                where = np.minimum(np.searchsorted(told, names), len(told) - 1)
+                marks = np.where(told[where] == names, more[where], marks)
+            levels[-1] = packed(marks)
+        down(levels)
+        keys, own, asks, _ = chunk.asked()
+        return pa.concat_tables([_rows(_STATE, number, [0], [[totals, *levels]], len(chunk.at)), _asks(number, keys[asks], own[asks], buckets)])
+
+    return work
+
+
+def _bucket_round(divergence: float | None):
+    """What a bucket makes of the questions: the sums of keys that more than one chunk asks for; of contexts (with divergence), their marks if they have any."""
+
+    def work(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() != _ASK:
+            return table.drop_columns(["spot"])
         table = table.sort_by("chunk")  # sums do not hang on the order of arrival
-        chunks, keys, amounts = table["chunk"].to_numpy(), table["keys"].to_pylist(), table["amounts"].to_pylist()
-        sizes = np.array([len(k) // 8 for k in keys])
-        flat = np.frombuffer(b"".join(keys), np.uint64)
-        amount = np.frombuffer(b"".join(amounts), np.int64 if least is None else np.float64)
+        chunks, parts = table["chunk"].to_pylist(), table["parts"].to_pylist()
+        keys = [unpacked_keys(k) for k, _ in parts]
+        amount = np.concatenate([unpacked(x) if divergence is None else np.frombuffer(x, np.float32).reshape(-1, 3) for _, x in parts])
+        del parts
+        ends = np.cumsum(list(map(len, keys)))
+        flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         times = np.diff(np.append(heads, len(flat)))
         at = np.empty(len(flat), np.int64)
         at[order] = np.repeat(np.arange(len(heads)), times)
-        sums = np.add.reduceat(amount[order], heads)
-        told = (times > 1)[at] if least is None else (sums >= least)[at]
+        sums = np.add.reduceat(amount[order], heads, dtype=np.int64 if divergence is None else np.float64)
+        answer = sums if divergence is None else verdict(sums, divergence)
+        told = (times > 1 if divergence is None else answer > 0)[at]
         out = []
-        for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+        for number, b, own in zip(chunks, ends.tolist(), keys, strict=True):
+            a = b - len(own)
             some = told[a:b]
-            out.append((flat[a:b][some].tobytes(), sums[at[a:b][some]].tobytes() if least is None else b""))
-        distinct, every = int((sums > 0).sum()), int(sums.sum()) if least is None else 0
-        n = len(chunks)
-        ones = lambda x: pa.array([x, *[0] * (n - 1)], pa.int64())
-        return pa.table({"chunk": chunks, "found": pa.array([x for x, _ in out], pa.binary()), "sums": pa.array([x for _, x in out], pa.binary()), "distinct": ones(distinct), "total": ones(every)})
-
-    def gather(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table["found"].to_pylist()), np.uint64)
-        order = np.argsort(keys, kind="stable")
-        sums = b"".join(table["sums"].to_pylist())
-        sums = packed(np.frombuffer(sums, np.int64)[order]) if sums else b"\x01"
-        return pa.table({"chunk": table["chunk"][:1], "found": pa.array([keys[order].tobytes()], pa.binary()), "sums": pa.array([sums], pa.binary())})
-
-    summed = scratch.keep(asks.select("bucket", "chunk", "keys", "amounts").groupBy("bucket").applyInArrow(total, "chunk long, found binary, sums binary, distinct long, total long"), f"{name}-sums")
-    distinct, every = (int(x or 0) for x in summed.agg(F.sum("distinct"), F.sum("total")).first())
-    full = summed.where(F.octet_length("found") > 0)
-    out = scratch.keep(full.select("chunk", "found", "sums").groupBy("chunk").applyInArrow(gather, "chunk long, found binary, sums binary"), name)
-    scratch.drop(summed)
-    return out, distinct, every
-
-
-def _looked_up(keys: np.ndarray, own: np.ndarray, found, sums) -> np.ndarray:
-    """Codes of sorted keys: those that were answered have their sums, the others their own counts."""
-    codes = 2 * own
-    if found is not None and len(found):
-        told = np.frombuffer(found, np.uint64)
-        at = np.searchsorted(keys, told)
-        at_ = np.minimum(at, max(0, len(keys) - 1))
-        hit = keys[at_] == told if len(keys) else np.zeros(len(told), bool)
-        codes[at_[hit]] = 2 * unpacked(sums)[hit] + 1
-    return codes
-
-
-def _bytes(column: pa.Array, i: int):
-    return column[i].as_py()
-
-
-def _passed(chunks: DataFrame, known: Settings, state: DataFrame | None, told: DataFrame | None, buckets: int, step: str) -> DataFrame:
-    """One round over all chunks; see the steps in it."""
-    rows = chunks.select("chunk", "held_out", "sizes", "words", "ids")
-    rows = rows.join(told, "chunk", "left") if told is not None else rows.withColumns({"found": F.lit(None).cast("binary"), "sums": F.lit(None).cast("binary")})
-    rows = rows.join(state.select("chunk", "totals", "seen", "kept"), "chunk") if state is not None else rows.withColumns({"totals": F.lit(None).cast("binary"), "seen": F.lit(None).cast("array<binary>"), "kept": F.lit(None).cast("array<binary>")})
-
-    def work(batches):
-        kept_by_worker("tree")
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = batch.column(0)[i].as_py()
-                held_out = np.asarray(batch.column(1)[i].values.to_numpy(zero_copy_only=False), bool)
-                chunk = Chunk(*(_bytes(batch.column(k), i) for k in (2, 3, 4)), held_out, known)
-                found, sums, totals = (_bytes(batch.column(k), i) for k in (5, 6, 7))
-                seen, kept = (list(batch.column(k)[i].as_py() or []) for k in (8, 9))
-                if step == "words":
-                    row = _bucket_rows(number, chunk.words, chunk.own_words(), buckets)
-                    if row is not None:
-                        yield row
-                    continue
-                if step == "start":
-                    totals = packed(_looked_up(chunk.words, chunk.own_words(), found, sums))
-                    chunk.follow(unpacked(totals), [], [])
-                    grown = 1
-                elif step == "test":
-                    # Counts are known: keep them, decide on contexts that only this chunk has, and tell the divergence of the others.
-                    chunk.follow(unpacked(totals), list(map(unpacked, seen)), [_bits(k) for k in kept])
-                    keys, own, _, place = chunk.asked()
-                    codes = _looked_up(keys, own, found, sums)[place]
-                    names, gain, shared, place = chunk.told(codes)
-                    row = _bucket_rows(number, names[shared], gain[shared], buckets)
-                    if row is not None:
-                        yield row
-                    alone = ~shared & (gain >= known.divergence)
-                    yield _state_row(number, totals, [*seen, packed(codes)], [*kept, np.packbits(alone[place]).tobytes()], 0)
-                    continue
-                else:
-                    # The contexts that are kept are known: go on from them.
-                    stays = _bits(kept[-1])
-                    chunk.follow(unpacked(totals), list(map(unpacked, seen[:-1])), [_bits(k) for k in kept[:-1]])
-                    if found is not None and len(found):
-                        told = np.frombuffer(found, np.uint64)
-                        names = chunk.sequences(chunk.at - 1, chunk.depth)
-                        where = np.minimum(np.searchsorted(told, names), len(told) - 1)
-                        stays = stays[: len(names)] | (told[where] == names)
-                    kept[-1] = np.packbits(stays[: len(chunk.at)]).tobytes()
-                    chunk.follow(unpacked(totals), list(map(unpacked, seen)), [_bits(k) for k in kept])
-                    grown = len(chunk.at)
-                keys, own, asks, _ = chunk.asked()
-                row = _bucket_rows(number, keys[asks], own[asks], buckets)
-                if row is not None:
-                    yield row
-                yield _state_row(number, totals, seen, kept, grown)
-
-    return rows.mapInArrow(work, _PASS)
-
-
-def _bits(data) -> np.ndarray:
-    """As many bits as fill whole bytes."""
-    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
-
-
-def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int | None) -> DataFrame:
-    """(chunk, totals, seen, kept) of every chunk: what it knows of the tree. Sets the counts of known."""
-    n_tokens = chunks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0  # a byte for each token at least
-    buckets = int(max(1, n_tokens // BUCKET_KEYS))
-    asks = scratch.keep(_passed(chunks, known, None, None, buckets, "words"), "words")
-    told, known.distinct, known.tokens = answers(asks, scratch, "word-answers")
-    scratch.drop(asks)
-    state, depth, step = None, 0, "start"
+            if some.any():
+                out.append(_rows(_ANSWER, number, [0], [[packed_keys(own[some]), packed(answer[at[a:b][some]])]]))
+        stats = _rows(_ANSWER, -1, [0], [[]])
+        if divergence is None:
+            stats = stats.set_column(5, "distinct", pa.array([int((sums > 0).sum())])).set_column(6, "total", pa.array([int(sums.sum())]))
+        return pa.concat_tables([stats, *out])
+
+    return work
+
+
+def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -> DataFrame:
+    """(chunk, parts) of every chunk: what it knows of the tree. Sets the counts of known."""
+    n_chunks = chunks.count()
+    buckets = int(max(1, n_chunks * CHUNK_TOKENS // BUCKET_KEYS))
+    blank = [F.lit(0).cast(t).alias(c) for c, t in (("grown", "long"), ("distinct", "long"), ("total", "long"))]
+    texts = chunks.select(F.lit(_CHUNK).alias("kind"), "chunk", F.lit(0).alias("bucket"), "parts", *blank)
+    spot = F.when(F.col("kind") == _ASK, F.col("bucket").cast("long")).otherwise(F.col("chunk")).alias("spot")
+    last, depth, step = None, 0, "words"
     while True:
-        now = scratch.keep(_passed(chunks, known, state, told, buckets, step), f"{step}{depth}")
-        scratch.drop(told, *([state] if state is not None else []))
+        rows = texts if last is None else texts.unionByName(last.where("chunk >= 0"))
+        told = rows.groupBy("chunk").applyInArrow(_chunk_round(known, buckets, step), _ROW).select("*", spot)
+        divergence = known.divergence if step == "test" else None
+        now = scratch.keep(told.groupBy("kind", "spot").applyInArrow(_bucket_round(divergence), _ROW), f"{step}{depth}")
+        if last is not None:
+            scratch.drop(last)
+        last, rows, told = now, None, None
         scratch.release()
-        rows = now.where(F.col("kind") == _STATE)
-        state = rows.select("chunk", "totals", "seen", "kept")
-        state._scratch_path = now._scratch_path
-        grown = rows.agg(F.sum("grown")).first()[0]
-        if step != "test" and (not grown or (max_depth is not None and depth >= max_depth)):
-            return state
-        step = "test" if step != "test" else "extend"
-        depth += step == "test"
-        told, *_ = answers(now.where(F.col("kind") == _ASK), scratch, f"answers-{step}{depth}", least=known.divergence if step == "extend" else None)
-        scratch.release()
-
-
-def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", fewest: int = FEWEST, divergence: float = DIVERGENCE, heaps: float = HEAPS, max_depth: int | None = None) -> DataFrame:
+        grown, distinct, total = (int(x or 0) for x in now.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first())
+        if step == "words":
+            known.distinct, known.tokens, step = distinct, total, "start"
+        elif step == "test":
+            step = "extend"
+        elif grown and depth < max_depth:
+            step, depth = "test", depth + 1
+        else:
+            return now.where(F.col("kind") == _STATE).select("chunk", "parts")
+
+
+def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", fewest: int = FEWEST, divergence: float = DIVERGENCE, heaps: float = HEAPS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     The model is learned from the rows where learn_from holds; held_out says where it does not (null does not).
     Null and empty texts have their end token only.  Where nothing can be learned, every
     token has probability 1 (add-one over no words).  Rows of equal or null key are scored, and learned from, each by
     its own text; keys may be of any type.  Texts of any length are read whole.  An empty table gives none.
-    Contexts have any length, unless max_depth says otherwise.  Columns but the two named are not read.
+    Columns but the two named are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffix-lm")
     rows = docs.select(F.col(key).alias("key"), (~F.coalesce(learn_from, F.lit(False))).alias("held_out"), F.col(text).alias("text"))
@@ -384,15 +400,16 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
     kind = rows.schema["key"].dataType.simpleString()
 
     def score(batches):
+        kept_by_worker("tree")
         for batch in batches:
             for i in range(batch.num_rows):
-                held_out = batch.column(2)[i].values
-                chunk = Chunk(*(_bytes(batch.column(k), i) for k in (3, 4, 5)), np.asarray(held_out.to_numpy(zero_copy_only=False), bool), known)
-                chunk.follow(unpacked(_bytes(batch.column(6), i)), [unpacked(x) for x in batch.column(7)[i].as_py()], [_bits(x) for x in batch.column(8)[i].as_py()])
+                chunk = Chunk(batch.column(3)[i].as_py(), known)
+                totals, *levels = batch.column(4)[i].as_py()
+                chunk.follow(unpacked(totals), [unpacked(x) for x in levels[::2]], [unpacked(x) for x in levels[1::2]])
                 n = len(chunk.sizes)
                 base = np.bincount(chunk.text, np.log10((chunk.count + 1) / (known.tokens + known.distinct + 1)), n)
-                columns = [batch.column(1)[i].values, held_out, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(chunk.p), n))]
+                columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(chunk.p), n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = chunks.join(state, "chunk").select("chunk", "key", "held_out", "sizes", "words", "ids", "totals", "seen", "kept")
+    joined = chunks.join(state.withColumnRenamed("parts", "state"), "chunk").select("chunk", "key", "held_out", "parts", "state")
     return joined.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
