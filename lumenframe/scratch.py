@@ -50,6 +50,10 @@ class Scratch:
         for df in tables:
             self._delete(df._scratch_path)
 
+    def delete(self, path: str) -> None:
+        """Delete a folder of this run."""
+        self._delete(path)
+
     def release(self) -> None:
         """Drop what Python still refers to, so that Spark may delete the shuffle files of finished plans sooner. Nothing depends on it."""
         gc.collect()
