@@ -1,27 +1,30 @@
 """Scores of whole texts under a probabilistic suffix tree of words.
 
-The tree's states are contexts of preceding words.  A context is tried if it occurs often enough (twice, by
-default), if the contexts without its first and without its last word were tried, and if the former leaves enough to be told: where its
-words' log-loss is below divergence, no longer context can pass.  It is kept if a divergence test finds that the words after it are told
-better by it than by the longest kept context that it ends in (a leave-one-out log-likelihood ratio of divergence or more).  So
-every sequence that occurs again is looked at, down to max_depth words, and evidence is absolute: it does not have to
-grow with the corpus.  Next-word distributions are smoothed from each context to the longest kept shorter one, p = (n + m p') / (N + m),
+The tree's states are contexts of preceding words, up to max_depth of them.  A context is tried if it occurs often enough (twice, by
+default) and so do the contexts without its first and without its last word, which were tried: so every sequence that occurs again is
+looked at, and evidence is absolute, it does not have to grow with the corpus.  A tried context is kept if a divergence test finds that the words
+after it are told better by it than by the context without its first word (a leave-one-out log-likelihood ratio of
+divergence or more).  Next-word distributions are smoothed from each context to the shorter one, p = (n + m p') / (N + m),
 down to the add-one distribution of single words; m = N ** heaps, as the number of words that follow a context grows by
-Heaps' law.  A token is scored in the longest kept state.
+Heaps' law.  A token is scored in the longest kept state, smoothed by the kept ones that it ends in.
 
 Texts are dealt once into chunks of about CHUNK_TOKENS tokens: numbers of words, and the chunk's distinct words.  All else is
 asked: a chunk counts its own sequences and sends each distinct one, with its count, to the sequence's bucket, which
 answers the sum over all chunks.  So counts stay distributed; nothing is cut off and nothing that grows with the corpus
 is sent to every task.  Frequent sequences are sent once for each chunk that has them, however often it does.  What
 only one chunk has is told by its parts: a sequence whose beginning or end no other chunk has needs no question.
-Divergence is summed the same way.  Each depth takes two rounds of questions, over those positions that are still in the tree.
+There is a round of questions for each depth, and one for the divergences of all contexts.
 
-Sequences are told apart by 56 bits of a hash.  What is written and shuffled is packed: whole numbers go by their bytes, all lowest ones
-first, compressed, and sorted hashes by their differences.
+What a chunk knows, and what it is answered, are files of its own in the shared folder, written anew each round: texts are
+never shuffled.  A task that runs again reads the files of the round before and writes the same bytes.
+
+Sequences are told apart by 56 bits of a hash.  Questions and files are packed: whole numbers go by their bytes, all lowest ones
+first, compressed; sorted hashes by their differences; an answer is a bit for each key in the order of the question, and sums of those that have it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +40,11 @@ from .common import Scratch, kept_by_worker, slices
 #: Occurrences in the training texts that make a context worth trying.
 FEWEST = 2
 #: Log-likelihood gain, in nats, that a context must bring over its suffix.
-DIVERGENCE = 10.0
+DIVERGENCE = 4.0
 #: Exponent of a context's count that gives the weight of its suffix.
 HEAPS = 0.7
 #: Words of the longest context.
-MAX_DEPTH = 8
+MAX_DEPTH = 5
 #: Tokens of a chunk, about (a text is never cut), and distinct sequences of a bucket.
 CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 21
 
@@ -97,17 +100,45 @@ class Settings:
     distinct: int = 0
 
 
-#: Rows of a round, by kind: a chunk (texts that are not learned from, sizes, words, numbers of words), what it knows of the
-#: tree (codes of words; for each depth codes of sequences and marks of contexts), its questions to a bucket and the answers (keys, amounts).
-_ROW = "kind int, chunk long, bucket int, parts array<binary>, grown long, distinct long, total long"
+#: Rows of a round: questions of a chunk to a bucket (keys, amounts), answers (bits, sums), and counts (chunk below 0).
+_ROW = "chunk long, bucket int, keys binary, amounts binary, grown long, distinct long, total long"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
-_CHUNK, _STATE, _ASK, _ANSWER = range(4)
 
 
-def _rows(kind: int, chunk: int, buckets: list[int], parts: list[list[bytes]], grown: int = 0) -> pa.Table:
-    n = len(buckets)
+def _rows(chunks: list[int], buckets: list[int], keys: list[bytes], amounts: list[bytes], grown: int = 0, distinct: int = 0, total: int = 0) -> pa.RecordBatch:
+    n = len(chunks)
     longs = lambda x: pa.array([x] * n, pa.int64())
-    return pa.table([pa.array([kind] * n, pa.int32()), longs(chunk), pa.array(buckets, pa.int32()), pa.array(parts, pa.list_(pa.binary())), longs(grown), longs(0), longs(0)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(keys, pa.binary()), pa.array(amounts, pa.binary()), longs(grown), longs(distinct), longs(total)], names=_NAMES)
+
+
+def _write(folder: str, chunk: int, parts: list[bytes]) -> None:
+    """A file of byte strings; it appears under its name when it is whole, in the place of an earlier run's."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder)
+    system.create_dir(at, recursive=True)
+    hidden, name = f"{at}/.{uuid.uuid4().hex}", f"{at}/{chunk}"
+    with system.open_output_stream(hidden) as out:
+        out.write(np.array([len(parts), *map(len, parts)], "<u8").tobytes())
+        for part in parts:
+            out.write(part)
+    if system.get_file_info(name).type != fs.FileType.NotFound:
+        system.delete_file(name)
+    system.move(hidden, name)
+
+
+def _read(folder: str, chunk: int) -> list[bytes]:
+    """The byte strings of a chunk's file; none if it has no file."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(f"{at}/{chunk}").type == fs.FileType.NotFound:
+        return []
+    with system.open_input_stream(f"{at}/{chunk}") as file:
+        data = file.read()
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, "<u8", n, 8).tolist()])
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -175,39 +206,41 @@ class Chunk:
     def own_words(self) -> np.ndarray:
         return np.bincount(self.ids, self.train, len(self.words)).astype(np.int64)
 
-    def follow(self, totals: np.ndarray, seen: list[np.ndarray], marks: list[np.ndarray]) -> None:
-        """Go down the tree: totals are codes of the words' counts, seen[d] those of the sequences at the positions of depth d, marks[d] of their contexts (KEPT, GOES_ON).
+    def follow(self, totals: bytes, seen: list[bytes]) -> None:
+        """Go down the tree: totals are codes of the words' counts, seen those of the sequences at the positions of each depth.
 
-        A code is twice the count, and one more if other chunks have the word or sequence too.  Afterwards p is each token's probability in
-        its longest state, at are the positions whose next context is to be tried, n_context its count; shared tells
-        of the words or sequences of the last depth whether other chunks have them.
+        A code is twice the count, and one more if other chunks have the word or sequence too.  Afterwards levels has for each depth the positions
+        whose contexts are tried, the contexts' counts, those of the words after them, and whether others have the context; at are the
+        positions of the next depth.
         """
-        known, code = self.known, totals[self.ids]
-        count, self.shared = code >> 1, (code & 1).astype(bool)
-        self.count = count
-        self.p = (count + 1) / (known.tokens + known.distinct + 1)
+        code = unpacked(totals)[self.ids]
+        self.count, self.shared = code >> 1, code & 1 > 0
         first = np.zeros(len(self.ids), bool)
         first[np.cumsum(self.sizes) - self.sizes] = True
-        self.at = np.flatnonzero(~first)
-        self.at = self.at[count[self.at - 1] >= known.fewest]
-        self.n_context = count[self.at - 1]
-        self.depth = 1
-        for code, mark in zip(seen, marks, strict=True):
-            n, at, kept = code >> 1, self.at, mark & KEPT > 0
-            self.p[at[kept]] = self.smoothed(n, self.n_context, self.p[at])[kept]
-            after = np.zeros(len(self.ids), np.int64)
-            after[at] = n
-            self.shared = np.zeros(len(self.ids), bool)
-            self.shared[at] = code & 1
-            at = at[mark & GOES_ON > 0]
-            self.at = at[after[at - 1] >= known.fewest]
+        at = np.flatnonzero(~first)
+        self.at = at[self.count[at - 1] >= self.known.fewest]
+        self.n_context, self.levels, self.depth = self.count[self.at - 1], [], 1
+        for data in seen:
+            code = unpacked(data)
+            at, n = self.at, code >> 1
+            self.levels.append((at, self.n_context, n, self.shared[at - 1]))
+            after, self.shared = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+            after[at], self.shared[at] = n, code & 1
+            self.at = at[after[at - 1] >= self.known.fewest]
             self.n_context = after[self.at - 1]
             self.depth += 1
 
     def smoothed(self, n, n_context, below):
-        weight = n_context.astype(float) ** self.known.heaps
+        weight = self.weights(n_context)
         return (n + weight * below) / (n_context + weight)
 
+    def weights(self, n_context):
+        few = np.arange(1024.0) ** self.known.heaps
+        out = few[np.minimum(n_context, 1023)]
+        many = n_context > 1023
+        out[many] = n_context[many].astype(float) ** self.known.heaps
+        return out
+
     def sequences(self, last: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the sequences of so many words that end at the given places."""
         out = self.words[self.ids[last]] + np.uint64(length)
@@ -223,164 +256,186 @@ class Chunk:
         asks[place] = self.shared[self.at - 1] & self.shared[self.at]
         return keys, own, asks, place
 
-    def told(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts to be tried, sorted: keys, own sums, whether others have them, and each position's; codes are those of asked().
-
-        The sums are the divergence, and the log-loss of the words without and with the context.
-        """
-        keys, place = np.unique(self.sequences(self.at - 1, self.depth), return_inverse=True)
-        n, below, weight = codes >> 1, self.p[self.at], self.n_context.astype(float) ** self.known.heaps
-        without = (np.maximum(n - 1, 0) + weight * below) / (self.n_context - 1 + weight)
-        train = self.train[self.at]
-        parts = np.log(without / below), -np.log(below), -np.log(self.smoothed(n, self.n_context, below))
-        sums = np.stack([np.bincount(place, np.where(train, x, 0.0), len(keys)) for x in parts], 1).astype(np.float32)
-        shared = np.zeros(len(keys), bool)
-        shared[place] = self.shared[self.at - 1]
-        return keys, sums, shared, place
-
-
-KEPT, GOES_ON = 1, 2
+    def tested(self):
+        """For each depth its tried contexts, sorted: (keys, own divergences, whether others have them, each position's place)."""
+        p = self.root()
+        for depth, (at, n_context, n, shared) in enumerate(self.levels, 1):
+            keys, place = np.unique(self.sequences(at - 1, depth), return_inverse=True)
+            weight, below, train = self.weights(n_context), p[at], self.train[at]
+            without = (np.maximum(n - 1, 0) + weight * below) / (n_context - 1 + weight)
+            gain = np.bincount(place, np.where(train, np.log(without / below), 0.0), len(keys))
+            others = np.zeros(len(keys), bool)
+            others[place] = shared
+            p[at] = (n + weight * below) / (n_context + weight)
+            yield keys, gain, others, place
+
+    def root(self) -> np.ndarray:
+        return (self.count + 1) / (self.known.tokens + self.known.distinct + 1)
+
+    def scores(self, answers: list[bytes], buckets: int) -> np.ndarray:
+        """Each token's probability in its longest kept state."""
+        p, asked = self.root(), list(self.tested())
+        kept = [np.where(others, False, gain >= self.known.divergence) for _, gain, others, _ in asked]
+        names = np.concatenate([k[others] for k, _, others, _ in asked] or [np.zeros(0, np.uint64)])
+        order = np.argsort(names, kind="stable")
+        told = np.zeros(len(names), bool)
+        told[order] = _told(names[order], answers, buckets)[0]
+        for mark, (_, _, others, _) in zip(kept, asked, strict=True):
+            mark[others], told = told[: others.sum()], told[others.sum() :]
+        for (at, n_context, n, _), mark, (_, _, _, place) in zip(self.levels, kept, asked, strict=True):
+            stays = mark[place]
+            p[at[stays]] = self.smoothed(n[stays], n_context[stays], p[at[stays]])
+        return p
 
 
-def verdict(sums: np.ndarray, divergence: float) -> np.ndarray:
-    """Marks of contexts."""
-    kept = sums[:, 0] >= divergence
-    return KEPT * kept + GOES_ON * (np.where(kept, sums[:, 2], sums[:, 1]) >= divergence)
+def _bits(data: bytes) -> np.ndarray:
+    """As many bits as fill whole bytes."""
+    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
 
 
-def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int) -> pa.Table:
-    """A row for each bucket that some of the sorted keys belong to. Amounts are counts, or sums of contexts."""
-    of = (keys >> np.uint64(24)).astype(np.int64) * buckets >> 32
-    names, first = np.unique(of, return_index=True)
-    ends = np.append(first[1:], len(keys)).tolist()[: len(names)]
-    pack = packed if amounts.dtype.kind == "i" else np.ndarray.tobytes
-    return _rows(_ASK, chunk, names.tolist(), [[packed_keys(keys[a:b]), pack(amounts[a:b])] for a, b in zip(first.tolist(), ends, strict=True)])
+def _buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The buckets of sorted keys, and where each one's are."""
+    names, first = np.unique((keys >> np.uint64(24)).astype(np.int64) * buckets >> 32, return_index=True)
+    return names, [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False)]
 
 
-def _bits(data: bytes) -> np.ndarray:
-    """As many bits as fill whole bytes."""
-    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
+def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that some of the sorted keys belong to. Amounts are counts, or divergences."""
+    names, parts = _buckets_of(keys, buckets)
+    pack = packed if amounts.dtype.kind == "i" else lambda x: x.astype(np.float32).tobytes()
+    return _rows([chunk] * len(names), names.tolist(), [packed_keys(keys[s]) for s in parts], [pack(amounts[s]) for s in parts])
 
 
-def _found(answers: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """All keys that a chunk is told, sorted, and their sums, or marks."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(k) for k, _ in answers)])
-    sums = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for _, x in answers)])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], sums[order]
+def _told(keys: np.ndarray, answers: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted keys of a question were answered, and the sums of those. answers are triples: bucket, bits, sums."""
+    of = {int.from_bytes(answers[k], "little"): answers[k + 1 : k + 3] for k in range(0, len(answers), 3)}
+    told, sums = np.zeros(len(keys), bool), [np.zeros(0, np.int64)]
+    for name, where in zip(*_buckets_of(keys, buckets), strict=True):
+        if name in of:
+            told[where] = _bits(of[name][0])[: where.stop - where.start]
+            sums.append(unpacked(of[name][1]))
+    return told, np.concatenate(sums)
 
 
-def _looked_up(keys: np.ndarray, own: np.ndarray, answers: list[list[bytes]]) -> np.ndarray:
+def _codes(keys: np.ndarray, own: np.ndarray, asks: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
     """Codes of sorted keys: those that were answered have their sums, the others their own counts."""
-    codes, (told, sums) = 2 * own, _found(answers)
-    if len(told) and len(keys):
-        at = np.minimum(np.searchsorted(keys, told), len(keys) - 1)
-        hit = keys[at] == told
-        codes[at[hit]] = 2 * sums[hit] + 1
+    codes = 2 * own
+    told, sums = _told(keys[asks], answers, buckets)
+    codes[np.flatnonzero(asks)[told]] = 2 * sums + 1
     return codes
 
 
-def _chunk_round(known: Settings, buckets: int, step: str):
-    """What a chunk makes of the answers: its new state and its next questions."""
+def _chunk_round(known: Settings, buckets: int, depth: int, before: str, now: str):
+    """Questions of all chunks: of words (depth 0), of sequences that go on depth words, or (depth -1) of the divergences of all contexts.
 
-    def work(table: pa.Table) -> pa.Table:
-        number, kinds, parts = table["chunk"][0].as_py(), table["kind"].to_pylist(), table["parts"]
-        of = lambda kind: [parts[i].as_py() for i, k in enumerate(kinds) if k == kind]
-        chunk, answers = Chunk(of(_CHUNK)[0], known), of(_ANSWER)
-        word_keys = chunk.words >> np.uint64(8)
-        if step == "words":
-            return _asks(number, word_keys, chunk.own_words(), buckets)
-        if step == "start":
-            totals, levels = packed(_looked_up(word_keys, chunk.own_words(), answers)), []
-        else:
-            totals, *levels = of(_STATE)[0]
-        down = lambda ls: chunk.follow(unpacked(totals), [unpacked(x) for x in ls[::2]], [unpacked(x) for x in ls[1::2]])
-        if step == "test":
-            # Counts are known: keep them, decide on contexts that only this chunk has, and tell the sums of the others.
-            down(levels)
-            keys, own, _, place = chunk.asked()
-            codes = _looked_up(keys, own, answers)[place]
-            names, sums, shared, place = chunk.told(codes)
-            marks = np.where(shared, 0, verdict(sums, known.divergence))[place]
-            state = _rows(_STATE, number, [0], [[totals, *levels, packed(codes), packed(marks)]])
-            return pa.concat_tables([state, _asks(number, names[shared], sums[shared], buckets)])
-        if step == "extend":
-            # The marks of all contexts are known: go on from them.
-            down(levels[:-2])
-            marks, (told, more) = unpacked(levels[-1]), _found(answers)
-            if len(told):
-                names = chunk.sequences(chunk.at - 1, chunk.depth)
-                where = np.minimum(np.searchsorted(told, names), len(told) - 1)
-                marks = np.where(told[where] == names, more[where], marks)
-            levels[-1] = packed(marks)
-        down(levels)
-        keys, own, asks, _ = chunk.asked()
-        return pa.concat_tables([_rows(_STATE, number, [0], [[totals, *levels]], len(chunk.at)), _asks(number, keys[asks], own[asks], buckets)])
+    before and now are the folders of the last round and of this one; each holds answers and what the chunks know.
+    """
+
+    def work(batches):
+        kept_by_worker("tree")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                chunk = Chunk(batch.column(1)[i].as_py(), known)
+                words = chunk.words >> np.uint64(8)
+                if depth == 0:
+                    yield _asks(number, words, chunk.own_words(), buckets)
+                    continue
+                answers = _read(f"{before}/answers", number)
+                if depth == 1:
+                    state = [packed(_codes(words, chunk.own_words(), np.ones(len(words), bool), answers, buckets))]
+                else:
+                    state = _read(f"{before}/known", number)
+                    chunk.follow(state[0], state[1:])
+                    keys, own, asks, place = chunk.asked()
+                    state.append(packed(_codes(keys, own, asks, answers, buckets)[place]))
+                chunk.follow(state[0], state[1:])
+                _write(f"{now}/known", number, state)
+                if depth < 0:
+                    found = [(k[others], gain[others]) for k, gain, others, _ in chunk.tested()]
+                    keys, gain = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.argsort(keys, kind="stable")
+                    yield _asks(number, keys[order], gain[order], buckets)
+                    continue
+                keys, own, asks, _ = chunk.asked()
+                yield _asks(number, keys[asks], own[asks], buckets)
+                yield _rows([-1], [-1 - number % 1000], [b""], [b""], grown=len(chunk.at))
 
     return work
 
 
 def _bucket_round(divergence: float | None):
-    """What a bucket makes of the questions: the sums of keys that more than one chunk asks for; of contexts (with divergence), their marks if they have any."""
+    """Answers of a bucket: the sums of keys that more than one chunk asks for, or (with divergence) which keys reach it."""
 
     def work(table: pa.Table) -> pa.Table:
-        if table["kind"][0].as_py() != _ASK:
-            return table.drop_columns(["spot"])
+        if table["bucket"][0].as_py() < 0:
+            return table
         table = table.sort_by("chunk")  # sums do not hang on the order of arrival
-        chunks, parts = table["chunk"].to_pylist(), table["parts"].to_pylist()
-        keys = [unpacked_keys(k) for k, _ in parts]
-        amount = np.concatenate([unpacked(x) if divergence is None else np.frombuffer(x, np.float32).reshape(-1, 3) for _, x in parts])
-        del parts
-        ends = np.cumsum(list(map(len, keys)))
+        keys = [unpacked_keys(k) for k in table["keys"].to_pylist()]
+        amount = np.concatenate([unpacked(x) if divergence is None else np.frombuffer(x, np.float32) for x in table["amounts"].to_pylist()])
+        sizes = np.array(list(map(len, keys)))
         flat = np.concatenate(keys)
+        del keys
         order = np.argsort(flat, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         times = np.diff(np.append(heads, len(flat)))
         at = np.empty(len(flat), np.int64)
         at[order] = np.repeat(np.arange(len(heads)), times)
         sums = np.add.reduceat(amount[order], heads, dtype=np.int64 if divergence is None else np.float64)
-        answer = sums if divergence is None else verdict(sums, divergence)
-        told = (times > 1 if divergence is None else answer > 0)[at]
-        out = []
-        for number, b, own in zip(chunks, ends.tolist(), keys, strict=True):
-            a = b - len(own)
+        told = (times > 1 if divergence is None else sums >= divergence)[at]
+        bits, found = [], []
+        for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
             some = told[a:b]
-            if some.any():
-                out.append(_rows(_ANSWER, number, [0], [[packed_keys(own[some]), packed(answer[at[a:b][some]])]]))
-        stats = _rows(_ANSWER, -1, [0], [[]])
-        if divergence is None:
-            stats = stats.set_column(5, "distinct", pa.array([int((sums > 0).sum())])).set_column(6, "total", pa.array([int(sums.sum())]))
-        return pa.concat_tables([stats, *out])
+            bits.append(np.packbits(some).tobytes())
+            found.append(packed(sums[at[a:b][some]] if divergence is None else np.zeros(0, np.int64)))
+        counts = (int((sums > 0).sum()), int(sums.sum())) if divergence is None else (0, 0)
+        answers = _rows(table["chunk"].to_pylist(), table["bucket"].to_pylist(), bits, found)
+        return pa.Table.from_batches([answers, _rows([-1], [-1], [b""], [b""], distinct=counts[0], total=counts[1])])
+
+    return work
+
+
+def _answer_files(folder: str):
+    """One file for the answers to a chunk."""
+
+    def work(table: pa.Table) -> pa.Table:
+        number = table["chunk"][0].as_py()
+        if number < 0:
+            return table
+        table = table.sort_by("bucket")
+        parts = [x for row in zip([b.to_bytes(8, "little") for b in table["bucket"].to_pylist()], table["keys"].to_pylist(), table["amounts"].to_pylist(), strict=True) for x in row]
+        _write(folder, number, parts)
+        return table.slice(0, 0)
 
     return work
 
 
-def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -> DataFrame:
-    """(chunk, parts) of every chunk: what it knows of the tree. Sets the counts of known."""
-    n_chunks = chunks.count()
-    buckets = int(max(1, n_chunks * CHUNK_TOKENS // BUCKET_KEYS))
-    blank = [F.lit(0).cast(t).alias(c) for c, t in (("grown", "long"), ("distinct", "long"), ("total", "long"))]
-    texts = chunks.select(F.lit(_CHUNK).alias("kind"), "chunk", F.lit(0).alias("bucket"), "parts", *blank)
-    spot = F.when(F.col("kind") == _ASK, F.col("bucket").cast("long")).otherwise(F.col("chunk")).alias("spot")
-    last, depth, step = None, 0, "words"
-    while True:
-        rows = texts if last is None else texts.unionByName(last.where("chunk >= 0"))
-        told = rows.groupBy("chunk").applyInArrow(_chunk_round(known, buckets, step), _ROW).select("*", spot)
-        divergence = known.divergence if step == "test" else None
-        now = scratch.keep(told.groupBy("kind", "spot").applyInArrow(_bucket_round(divergence), _ROW), f"{step}{depth}")
-        if last is not None:
-            scratch.drop(last)
-        last, rows, told = now, None, None
+def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -> tuple[str, int]:
+    """The folder that holds what each chunk knows of the tree, and the number of buckets. Sets the counts of known."""
+    buckets = int(max(1, chunks.count() * CHUNK_TOKENS // BUCKET_KEYS))
+    texts, before = chunks.select("chunk", "parts"), ""
+
+    def asked(depth: int):
+        nonlocal before
+        now = scratch.path(f"round{depth}")
+        asks = texts.mapInArrow(_chunk_round(known, buckets, depth, before, now), _ROW)
+        answers = asks.groupBy("bucket").applyInArrow(_bucket_round(known.divergence if depth < 0 else None), _ROW)
+        # Rows of counts are few for each bucket and chunk, and summed at last; the others are written by the tasks.
+        spread = F.when(F.col("chunk") < 0, -1 - F.abs(F.hash("distinct", "total", "grown")) % 1000).otherwise(F.col("chunk")).alias("chunk")
+        files = answers.select(spread, *_NAMES[1:]).groupBy("chunk").applyInArrow(_answer_files(f"{now}/answers"), _ROW)
+        counts = [int(x or 0) for x in files.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first()]
+        if before:
+            scratch.delete(before)
+        before = now
         scratch.release()
-        grown, distinct, total = (int(x or 0) for x in now.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first())
-        if step == "words":
-            known.distinct, known.tokens, step = distinct, total, "start"
-        elif step == "test":
-            step = "extend"
-        elif grown and depth < max_depth:
-            step, depth = "test", depth + 1
-        else:
-            return now.where(F.col("kind") == _STATE).select("chunk", "parts")
+        return counts
+
+    _, known.distinct, known.tokens = asked(0)
+    for depth in range(1, max_depth + 1):
+        if not asked(depth)[0]:
+            break
+    asked(-1)
+    return before, buckets
 
 
 def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", fewest: int = FEWEST, divergence: float = DIVERGENCE, heaps: float = HEAPS, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -390,26 +445,25 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
     Null and empty texts have their end token only.  Where nothing can be learned, every
     token has probability 1 (add-one over no words).  Rows of equal or null key are scored, and learned from, each by
     its own text; keys may be of any type.  Texts of any length are read whole.  An empty table gives none.
-    Columns but the two named are not read.
+    Columns but the two named are not read.  The shared folder's file system must be one that pyarrow opens by URI.
     """
     scratch = Scratch(docs.sparkSession, "suffix-lm")
     rows = docs.select(F.col(key).alias("key"), (~F.coalesce(learn_from, F.lit(False))).alias("held_out"), F.col(text).alias("text"))
     chunks = scratch.keep(chunked(rows), "chunks")
     known = Settings(fewest, divergence, heaps)
-    state = grow(chunks, known, scratch, max_depth)
+    folder, buckets = grow(chunks, known, scratch, max_depth)
     kind = rows.schema["key"].dataType.simpleString()
 
     def score(batches):
         kept_by_worker("tree")
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = Chunk(batch.column(3)[i].as_py(), known)
-                totals, *levels = batch.column(4)[i].as_py()
-                chunk.follow(unpacked(totals), [unpacked(x) for x in levels[::2]], [unpacked(x) for x in levels[1::2]])
-                n = len(chunk.sizes)
-                base = np.bincount(chunk.text, np.log10((chunk.count + 1) / (known.tokens + known.distinct + 1)), n)
-                columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(chunk.p), n))]
+                number, chunk = batch.column(0)[i].as_py(), Chunk(batch.column(3)[i].as_py(), known)
+                totals, *seen = _read(f"{folder}/known", number)
+                chunk.follow(totals, seen)
+                p, n = chunk.scores(_read(f"{folder}/answers", number), buckets), len(chunk.sizes)
+                base = np.bincount(chunk.text, np.log10(chunk.root()), n)
+                columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(p), n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = chunks.join(state.withColumnRenamed("parts", "state"), "chunk").select("chunk", "key", "held_out", "parts", "state")
-    return joined.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.select("chunk", "key", "held_out", "parts").mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

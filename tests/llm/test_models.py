@@ -304,25 +304,22 @@ def brute_tree(train, fewest, divergence, heaps, max_depth):
 
     kept = set()
 
-    def below(c):
-        return next((c[j:] for j in range(1, len(c)) if c[j:] in kept), ())
-
-    def p(c, w, less=0):
+    def p(c, w, chain, less=0):
+        """Smoothed over all shorter contexts, or over those of chain."""
         if not c:
             return (uni[w] + 1) / (n + v + 1)
+        below = next((c[j:] for j in range(1, len(c)) if chain is None or c[j:] in chain), ())
         weight = counts[c] ** heaps
-        return (max(0, after.get(c, {}).get(w, 0) - less) + weight * p(below(c), w)) / (counts[c] - less + weight)
+        return (max(0, after.get(c, {}).get(w, 0) - less) + weight * p(below, w, chain)) / (counts[c] - less + weight)
 
     level = {(w,) for w, m in uni.items() if m >= fewest and w is not None}
     for depth in range(1, max_depth + 1):
-        now = {c for c in level if sum(m * math.log(p(c, w, 1) / p(below(c), w)) for w, m in after.get(c, {}).items()) >= divergence}
-        kept |= now
-        goes_on = {c for c in level if sum(-m * math.log(p(c if c in now else below(c), w)) for w, m in after.get(c, {}).items()) >= divergence}
-        level = {c for c in after if len(c) == depth + 1 and c[1:] in goes_on and c[:-1] in level and counts[c] >= fewest}
+        kept |= {c for c in level if sum(m * math.log(p(c, w, None, 1) / p(c[1:], w, None)) for w, m in after.get(c, {}).items()) >= divergence}
+        level = {c for c in after if len(c) == depth + 1 and c[1:] in level and c[:-1] in level and counts[c] >= fewest}
 
     def log10(text, i):
         c = next((c for k in range(min(i, max_depth), 0, -1) if (c := tuple(text[i - k : i])) in kept), ())
-        return math.log10(p(c, text[i]))
+        return math.log10(p(c, text[i], kept))
 
     return log10, kept
 
