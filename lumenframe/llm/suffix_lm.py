@@ -44,7 +44,7 @@ DIVERGENCE = 4.0
 #: Exponent of a context's count that gives the weight of its suffix.
 HEAPS = 0.7
 #: Words of the longest context.
-MAX_DEPTH = 5
+MAX_DEPTH = 4
 #: Tokens of a chunk, about (a text is never cut), and distinct sequences of a bucket.
 CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 21
 
