@@ -13,7 +13,7 @@ asked: a chunk counts its own sequences and sends each distinct one, with its co
 answers the sum over all chunks.  So counts stay distributed; nothing is cut off and nothing that grows with the corpus
 is sent to every task.  Frequent sequences are sent once for each chunk that has them, however often it does.  What
 only one chunk has is told by its parts: a sequence whose beginning or end no other chunk has needs no question.
-There is a round of questions for each depth, and one for the divergences of all contexts.
+There is a round of questions for each depth; the divergences of a depth's contexts go along with the next.
 
 What a chunk knows, and what it is answered, are files of its own in the shared folder, written anew each round: texts are
 never shuffled.  A task that runs again reads the files of the round before and writes the same bytes.
@@ -46,7 +46,7 @@ HEAPS = 0.7
 #: Words of the longest context.
 MAX_DEPTH = 4
 #: Tokens of a chunk, about (a text is never cut), and distinct sequences of a bucket.
-CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 21
+CHUNK_TOKENS, BUCKET_KEYS = 3 << 18, 1 << 20
 
 END = np.uint64(0)
 _FACTORS = np.random.default_rng(10).integers(0, 2**63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,9 +119,7 @@ def _write(folder: str, chunk: int, parts: list[bytes]) -> None:
     system.create_dir(at, recursive=True)
     hidden, name = f"{at}/.{uuid.uuid4().hex}", f"{at}/{chunk}"
     with system.open_output_stream(hidden) as out:
-        out.write(np.array([len(parts), *map(len, parts)], "<u8").tobytes())
-        for part in parts:
-            out.write(part)
+        out.write(_joined(parts))
     if system.get_file_info(name).type != fs.FileType.NotFound:
         system.delete_file(name)
     system.move(hidden, name)
@@ -135,10 +133,7 @@ def _read(folder: str, chunk: int) -> list[bytes]:
     if system.get_file_info(f"{at}/{chunk}").type == fs.FileType.NotFound:
         return []
     with system.open_input_stream(f"{at}/{chunk}") as file:
-        data = file.read()
-    n = int.from_bytes(data[:8], "little")
-    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, "<u8", n, 8).tolist()])
-    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return _parted(file.read())
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -256,34 +251,34 @@ class Chunk:
         asks[place] = self.shared[self.at - 1] & self.shared[self.at]
         return keys, own, asks, place
 
-    def tested(self):
-        """For each depth its tried contexts, sorted: (keys, own divergences, whether others have them, each position's place)."""
+    def contexts(self, depth: int, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tried contexts of a depth, sorted, at some of its positions; and each position's place among them."""
+        return np.unique(self.sequences(self.levels[depth - 1][0][some] - 1, depth), return_inverse=True)
+
+    def tested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of the last depth: keys, own divergences, whether others have them, and each position's place."""
         p = self.root()
-        for depth, (at, n_context, n, shared) in enumerate(self.levels, 1):
-            keys, place = np.unique(self.sequences(at - 1, depth), return_inverse=True)
-            weight, below, train = self.weights(n_context), p[at], self.train[at]
-            without = (np.maximum(n - 1, 0) + weight * below) / (n_context - 1 + weight)
-            gain = np.bincount(place, np.where(train, np.log(without / below), 0.0), len(keys))
-            others = np.zeros(len(keys), bool)
-            others[place] = shared
-            p[at] = (n + weight * below) / (n_context + weight)
-            yield keys, gain, others, place
+        for at, n_context, n, _ in self.levels[:-1]:
+            p[at] = self.smoothed(n, n_context, p[at])
+        at, n_context, n, shared = self.levels[-1]
+        keys, place = self.contexts(len(self.levels))
+        weight, below, train = self.weights(n_context), p[at], self.train[at]
+        without = (np.maximum(n - 1, 0) + weight * below) / (n_context - 1 + weight)
+        gain = np.bincount(place, np.where(train, np.log(without / below), 0.0), len(keys))
+        others = np.zeros(len(keys), bool)
+        others[place] = shared
+        return keys, gain, others, place
 
     def root(self) -> np.ndarray:
         return (self.count + 1) / (self.known.tokens + self.known.distinct + 1)
 
-    def scores(self, answers: list[bytes], buckets: int) -> np.ndarray:
-        """Each token's probability in its longest kept state."""
-        p, asked = self.root(), list(self.tested())
-        kept = [np.where(others, False, gain >= self.known.divergence) for _, gain, others, _ in asked]
-        names = np.concatenate([k[others] for k, _, others, _ in asked] or [np.zeros(0, np.uint64)])
-        order = np.argsort(names, kind="stable")
-        told = np.zeros(len(names), bool)
-        told[order] = _told(names[order], answers, buckets)[0]
-        for mark, (_, _, others, _) in zip(kept, asked, strict=True):
-            mark[others], told = told[: others.sum()], told[others.sum() :]
-        for (at, n_context, n, _), mark, (_, _, _, place) in zip(self.levels, kept, asked, strict=True):
-            stays = mark[place]
+    def scores(self, own: list[bytes], answers: list[list[bytes]], buckets: int) -> np.ndarray:
+        """Each token's probability in its longest kept state: own tells of contexts that only this chunk has, answers of the others."""
+        p = self.root()
+        for depth, (at, n_context, n, shared) in enumerate(self.levels, 1):
+            stays = _bits(own[depth - 1])[: len(at)].copy()
+            keys, place = self.contexts(depth, shared)
+            stays[shared] = _told(keys, answers[depth - 1], buckets, buckets)[0][place]
             p[at[stays]] = self.smoothed(n[stays], n_context[stays], p[at[stays]])
         return p
 
@@ -300,15 +295,16 @@ def _buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]
 
 
 def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that some of the sorted keys belong to. Amounts are counts, or divergences."""
+    """A row for each bucket that some of the sorted keys belong to. Amounts are counts; divergences have buckets of their own, after the others."""
     names, parts = _buckets_of(keys, buckets)
-    pack = packed if amounts.dtype.kind == "i" else lambda x: x.astype(np.float32).tobytes()
-    return _rows([chunk] * len(names), names.tolist(), [packed_keys(keys[s]) for s in parts], [pack(amounts[s]) for s in parts])
+    counts = amounts.dtype.kind == "i"
+    pack = packed if counts else lambda x: x.astype(np.float32).tobytes()
+    return _rows([chunk] * len(names), (names + (0 if counts else buckets)).tolist(), [packed_keys(keys[s]) for s in parts], [pack(amounts[s]) for s in parts])
 
 
-def _told(keys: np.ndarray, answers: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sorted keys of a question were answered, and the sums of those. answers are triples: bucket, bits, sums."""
-    of = {int.from_bytes(answers[k], "little"): answers[k + 1 : k + 3] for k in range(0, len(answers), 3)}
+def _told(keys: np.ndarray, answers: list[bytes], buckets: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted keys of a question were answered, and the sums of those. answers are triples (bucket, bits, sums), first the number of the first bucket."""
+    of = {int.from_bytes(answers[k], "little") - first: answers[k + 1 : k + 3] for k in range(0, len(answers), 3)}
     told, sums = np.zeros(len(keys), bool), [np.zeros(0, np.int64)]
     for name, where in zip(*_buckets_of(keys, buckets), strict=True):
         if name in of:
@@ -317,6 +313,11 @@ def _told(keys: np.ndarray, answers: list[bytes], buckets: int) -> tuple[np.ndar
     return told, np.concatenate(sums)
 
 
+def _tells(answers: list[bytes], buckets: int) -> list[bytes]:
+    """Those answers that are on contexts."""
+    return [x for k in range(0, len(answers), 3) if int.from_bytes(answers[k], "little") >= buckets for x in answers[k : k + 3]]
+
+
 def _codes(keys: np.ndarray, own: np.ndarray, asks: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
     """Codes of sorted keys: those that were answered have their sums, the others their own counts."""
     codes = 2 * own
@@ -325,10 +326,24 @@ def _codes(keys: np.ndarray, own: np.ndarray, asks: np.ndarray, answers: list[by
     return codes
 
 
-def _chunk_round(known: Settings, buckets: int, depth: int, before: str, now: str):
-    """Questions of all chunks: of words (depth 0), of sequences that go on depth words, or (depth -1) of the divergences of all contexts.
+def _joined(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+
 
-    before and now are the folders of the last round and of this one; each holds answers and what the chunks know.
+def _parted(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, "<u8", n, 8).tolist()])
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+#: What a chunk knows: codes of its words, and for each depth codes of the sequences, marks of contexts that only it has, and answers on the others.
+_PER_DEPTH = 3
+
+
+def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, before: str, now: str):
+    """Questions of all chunks: of words (depth 0), or of sequences that go on depth words (but in the last round) and of the divergences of the contexts before those.
+
+    before and now are the folders of the round before and of this one; each holds answers and what the chunks know.
     """
 
     def work(batches):
@@ -346,30 +361,35 @@ def _chunk_round(known: Settings, buckets: int, depth: int, before: str, now: st
                     state = [packed(_codes(words, chunk.own_words(), np.ones(len(words), bool), answers, buckets))]
                 else:
                     state = _read(f"{before}/known", number)
-                    chunk.follow(state[0], state[1:])
+                    chunk.follow(state[0], state[1::_PER_DEPTH])
                     keys, own, asks, place = chunk.asked()
+                    if depth > 2:
+                        state[-1] = _joined(_tells(answers, buckets))
                     state.append(packed(_codes(keys, own, asks, answers, buckets)[place]))
-                chunk.follow(state[0], state[1:])
+                    del keys, own, asks, place
+                chunk.follow(state[0], state[1::_PER_DEPTH])
+                if depth > 1:
+                    keys, gain, others, place = chunk.tested()
+                    alone = ~others & (gain >= known.divergence)
+                    state += [np.packbits(alone[place]).tobytes(), _joined([])]
+                    yield _asks(number, keys[others], gain[others], buckets)
+                    del keys, gain, others, place
                 _write(f"{now}/known", number, state)
-                if depth < 0:
-                    found = [(k[others], gain[others]) for k, gain, others, _ in chunk.tested()]
-                    keys, gain = (np.concatenate(x) for x in zip(*found, strict=True))
-                    order = np.argsort(keys, kind="stable")
-                    yield _asks(number, keys[order], gain[order], buckets)
-                    continue
-                keys, own, asks, _ = chunk.asked()
-                yield _asks(number, keys[asks], own[asks], buckets)
+                if not last:
+                    keys, own, asks, _ = chunk.asked()
+                    yield _asks(number, keys[asks], own[asks], buckets)
                 yield _rows([-1], [-1 - number % 1000], [b""], [b""], grown=len(chunk.at))
 
     return work
 
 
-def _bucket_round(divergence: float | None):
-    """Answers of a bucket: the sums of keys that more than one chunk asks for, or (with divergence) which keys reach it."""
+def _bucket_round(buckets: int, least: float):
+    """Answers of a bucket: the sums of keys that more than one chunk asks for, or, of divergences, which keys reach least."""
 
     def work(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table
+        divergence = least if table["bucket"][0].as_py() >= buckets else None
         table = table.sort_by("chunk")  # sums do not hang on the order of arrival
         keys = [unpacked_keys(k) for k in table["keys"].to_pylist()]
         amount = np.concatenate([unpacked(x) if divergence is None else np.frombuffer(x, np.float32) for x in table["amounts"].to_pylist()])
@@ -415,11 +435,11 @@ def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -
     buckets = int(max(1, chunks.count() * CHUNK_TOKENS // BUCKET_KEYS))
     texts, before = chunks.select("chunk", "parts"), ""
 
-    def asked(depth: int):
+    def asked(depth: int, last: bool = False) -> list[int]:
         nonlocal before
         now = scratch.path(f"round{depth}")
-        asks = texts.mapInArrow(_chunk_round(known, buckets, depth, before, now), _ROW)
-        answers = asks.groupBy("bucket").applyInArrow(_bucket_round(known.divergence if depth < 0 else None), _ROW)
+        asks = texts.mapInArrow(_chunk_round(known, buckets, depth, last, before, now), _ROW)
+        answers = asks.groupBy("bucket").applyInArrow(_bucket_round(buckets, known.divergence), _ROW)
         # Rows of counts are few for each bucket and chunk, and summed at last; the others are written by the tasks.
         spread = F.when(F.col("chunk") < 0, -1 - F.abs(F.hash("distinct", "total", "grown")) % 1000).otherwise(F.col("chunk")).alias("chunk")
         files = answers.select(spread, *_NAMES[1:]).groupBy("chunk").applyInArrow(_answer_files(f"{now}/answers"), _ROW)
@@ -431,10 +451,10 @@ def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -
         return counts
 
     _, known.distinct, known.tokens = asked(0)
-    for depth in range(1, max_depth + 1):
-        if not asked(depth)[0]:
-            break
-    asked(-1)
+    depth, grown = 0, 1
+    while grown and depth <= max_depth:
+        depth += 1
+        grown = asked(depth, depth == max_depth + 1)[0]
     return before, buckets
 
 
@@ -459,9 +479,10 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
         for batch in batches:
             for i in range(batch.num_rows):
                 number, chunk = batch.column(0)[i].as_py(), Chunk(batch.column(3)[i].as_py(), known)
-                totals, *seen = _read(f"{folder}/known", number)
-                chunk.follow(totals, seen)
-                p, n = chunk.scores(_read(f"{folder}/answers", number), buckets), len(chunk.sizes)
+                state = _read(f"{folder}/known", number)
+                chunk.follow(state[0], state[1::_PER_DEPTH])
+                last = _tells(_read(f"{folder}/answers", number), buckets)
+                p, n = chunk.scores(state[2::_PER_DEPTH], [*map(_parted, state[3::_PER_DEPTH][:-1]), last], buckets), len(chunk.sizes)
                 base = np.bincount(chunk.text, np.log10(chunk.root()), n)
                 columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(p), n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
