@@ -447,6 +447,7 @@ def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -
         if before:
             scratch.delete(before)
         before = now
+        del asks, answers, files
         scratch.release()
         return counts
 
