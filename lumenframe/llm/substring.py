@@ -193,6 +193,7 @@ def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window
         counts = rows.groupBy("w", *["w2"] * final).agg(F.min(place).alias("place"), *([] if final else [F.count(F.lit(1)).alias("n")]))
         once = counts if final else counts.where("n = 1")
         gone.append((name, scratch.keep(back(once, name), name)))
+        del rows, counts, once
         scratch.release()
     return join_up(gone, carry), sizes
 
