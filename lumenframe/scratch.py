@@ -61,10 +61,14 @@ class Scratch:
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
-        if context._jsc is None:
-            return
         try:
+            if context._jsc is None:  # the session was stopped before the interpreter ends
+                from pyarrow import fs
+
+                system, at = fs.FileSystem.from_uri(path)
+                system.delete_dir(at)
+                return
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  at interpreter exit the JVM may be gone
+        except Exception:  # noqa: BLE001  at interpreter exit the JVM, or the folder, may be gone
             return
