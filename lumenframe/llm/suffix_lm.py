@@ -41,6 +41,8 @@ from .common import Scratch, kept_by_worker, slices
 FEWEST = 2
 #: Log-likelihood gain, in nats, that a context must bring over its suffix.
 DIVERGENCE = 4.0
+#: Steps of a nat in which divergences are summed: of whole numbers, the sum does not hang on the order.
+STEPS = 256
 #: Exponent of a context's count that gives the weight of its suffix.
 HEAPS = 0.7
 #: Words of the longest context.
@@ -256,7 +258,7 @@ class Chunk:
         return np.unique(self.sequences(self.levels[depth - 1][0][some] - 1, depth), return_inverse=True)
 
     def tested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts of the last depth: keys, own divergences, whether others have them, and each position's place."""
+        """Contexts of the last depth: keys, own divergences (in STEPS), whether others have them, and each position's place."""
         p = self.root()
         for at, n_context, n, _ in self.levels[:-1]:
             p[at] = self.smoothed(n, n_context, p[at])
@@ -264,7 +266,7 @@ class Chunk:
         keys, place = self.contexts(len(self.levels))
         weight, below, train = self.weights(n_context), p[at], self.train[at]
         without = (np.maximum(n - 1, 0) + weight * below) / (n_context - 1 + weight)
-        gain = np.bincount(place, np.where(train, np.log(without / below), 0.0), len(keys))
+        gain = np.rint(STEPS * np.bincount(place, np.where(train, np.log(without / below), 0.0), len(keys))).astype(np.int64)
         others = np.zeros(len(keys), bool)
         others[place] = shared
         return keys, gain, others, place
@@ -294,12 +296,19 @@ def _buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]
     return names, [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False)]
 
 
-def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that some of the sorted keys belong to. Amounts are counts; divergences have buckets of their own, after the others."""
+def _asks(chunk: int, keys: np.ndarray, amounts: np.ndarray, buckets: int, *, contexts: bool = False) -> pa.RecordBatch:
+    """A row for each bucket that some of the sorted keys belong to. Amounts are counts; divergences of contexts have buckets of their own, after the others."""
     names, parts = _buckets_of(keys, buckets)
-    counts = amounts.dtype.kind == "i"
-    pack = packed if counts else lambda x: x.astype(np.float32).tobytes()
-    return _rows([chunk] * len(names), (names + (0 if counts else buckets)).tolist(), [packed_keys(keys[s]) for s in parts], [pack(amounts[s]) for s in parts])
+    amounts = _signs_last(amounts) if contexts else amounts
+    return _rows([chunk] * len(names), (names + buckets * contexts).tolist(), [packed_keys(keys[s]) for s in parts], [packed(amounts[s]) for s in parts])
+
+
+def _signs_last(x: np.ndarray) -> np.ndarray:
+    return x << 1 ^ x >> 63
+
+
+def _with_signs(x: np.ndarray) -> np.ndarray:
+    return x >> 1 ^ -(x & 1)
 
 
 def _told(keys: np.ndarray, answers: list[bytes], buckets: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -370,9 +379,9 @@ def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, before:
                 chunk.follow(state[0], state[1::_PER_DEPTH])
                 if depth > 1:
                     keys, gain, others, place = chunk.tested()
-                    alone = ~others & (gain >= known.divergence)
+                    alone = ~others & (gain >= STEPS * known.divergence)
                     state += [np.packbits(alone[place]).tobytes(), _joined([])]
-                    yield _asks(number, keys[others], gain[others], buckets)
+                    yield _asks(number, keys[others], gain[others], buckets, contexts=True)
                     del keys, gain, others, place
                 _write(f"{now}/known", number, state)
                 if not last:
@@ -389,10 +398,10 @@ def _bucket_round(buckets: int, least: float):
     def work(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table
-        divergence = least if table["bucket"][0].as_py() >= buckets else None
-        table = table.sort_by("chunk")  # sums do not hang on the order of arrival
+        contexts = table["bucket"][0].as_py() >= buckets
         keys = [unpacked_keys(k) for k in table["keys"].to_pylist()]
-        amount = np.concatenate([unpacked(x) if divergence is None else np.frombuffer(x, np.float32) for x in table["amounts"].to_pylist()])
+        amount = np.concatenate([unpacked(x) for x in table["amounts"].to_pylist()])
+        amount = _with_signs(amount) if contexts else amount
         sizes = np.array(list(map(len, keys)))
         flat = np.concatenate(keys)
         del keys
@@ -401,14 +410,14 @@ def _bucket_round(buckets: int, least: float):
         times = np.diff(np.append(heads, len(flat)))
         at = np.empty(len(flat), np.int64)
         at[order] = np.repeat(np.arange(len(heads)), times)
-        sums = np.add.reduceat(amount[order], heads, dtype=np.int64 if divergence is None else np.float64)
-        told = (times > 1 if divergence is None else sums >= divergence)[at]
+        sums = np.add.reduceat(amount[order], heads)
+        told = (sums >= STEPS * least if contexts else times > 1)[at]
         bits, found = [], []
         for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
             some = told[a:b]
             bits.append(np.packbits(some).tobytes())
-            found.append(packed(sums[at[a:b][some]] if divergence is None else np.zeros(0, np.int64)))
-        counts = (int((sums > 0).sum()), int(sums.sum())) if divergence is None else (0, 0)
+            found.append(packed(np.zeros(0, np.int64) if contexts else sums[at[a:b][some]]))
+        counts = (0, 0) if contexts else (int((sums > 0).sum()), int(sums.sum()))
         answers = _rows(table["chunk"].to_pylist(), table["bucket"].to_pylist(), bits, found)
         return pa.Table.from_batches([answers, _rows([-1], [-1], [b""], [b""], distinct=counts[0], total=counts[1])])
 
@@ -443,13 +452,13 @@ def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -
         # Rows of counts are few for each bucket and chunk, and summed at last; the others are written by the tasks.
         spread = F.when(F.col("chunk") < 0, -1 - F.abs(F.hash("distinct", "total", "grown")) % 1000).otherwise(F.col("chunk")).alias("chunk")
         files = answers.select(spread, *_NAMES[1:]).groupBy("chunk").applyInArrow(_answer_files(f"{now}/answers"), _ROW)
-        counts = [int(x or 0) for x in files.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first()]
+        sums = scratch.keep(files.select("grown", "distinct", "total"), "counts")
+        del asks, answers, files
+        scratch.release()
         if before:
             scratch.delete(before)
         before = now
-        del asks, answers, files
-        scratch.release()
-        return counts
+        return [int(x or 0) for x in sums.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first()]
 
     _, known.distinct, known.tokens = asked(0)
     depth, grown = 0, 1
