@@ -15,8 +15,8 @@ is sent to every task.  Frequent sequences are sent once for each chunk that has
 only one chunk has is told by its parts: a sequence whose beginning or end no other chunk has needs no question.
 There is a round of questions for each depth; the divergences of a depth's contexts go along with the next.
 
-What a chunk knows, and what it is answered, are files of its own in the shared folder, written anew each round: texts are
-never shuffled.  A task that runs again reads the files of the round before and writes the same bytes.
+What a chunk comes to know in a round, and what it is answered, are files of its own in the shared folder: texts are
+never shuffled.  A task that runs again reads the files of the rounds before and writes the same bytes.
 
 Sequences are told apart by 56 bits of a hash.  Questions and files are packed: whole numbers go by their bytes, all lowest ones
 first, compressed; sorted hashes by their differences; an answer is a bit for each key in the order of the question, and sums of those that have it.
@@ -345,14 +345,26 @@ def _parted(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-#: What a chunk knows: codes of its words, and for each depth codes of the sequences, marks of contexts that only it has, and answers on the others.
-_PER_DEPTH = 3
+@dataclass
+class Known:
+    """What a chunk knows of the tree: codes of its words, and for each depth codes of the sequences, marks of the contexts that only it has, and answers on the others."""
+
+    totals: bytes
+    seen: list[bytes]
+    own: list[bytes]
+    tells: list[list[bytes]]
+
+    @classmethod
+    def read(cls, folder: str, chunk: int, rounds: int) -> Known:
+        """Each round but the first adds a file: codes and marks of a depth, and answers on the one before."""
+        files = [_read(f"{folder}/round{k}/known", chunk) for k in range(1, rounds + 1)]
+        return cls(files[0][0], [f[0] for f in files[1:]], [f[1] for f in files[1:]], [_parted(f[2]) for f in files[2:]])
 
 
-def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, before: str, now: str):
+def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, folder: str):
     """Questions of all chunks: of words (depth 0), or of sequences that go on depth words (but in the last round) and of the divergences of the contexts before those.
 
-    before and now are the folders of the round before and of this one; each holds answers and what the chunks know.
+    folder has a folder for each round, of answers and of what the chunks have come to know.
     """
 
     def work(batches):
@@ -365,25 +377,23 @@ def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, before:
                 if depth == 0:
                     yield _asks(number, words, chunk.own_words(), buckets)
                     continue
-                answers = _read(f"{before}/answers", number)
+                answers = _read(f"{folder}/round{depth - 1}/answers", number)
                 if depth == 1:
-                    state = [packed(_codes(words, chunk.own_words(), np.ones(len(words), bool), answers, buckets))]
+                    totals = packed(_codes(words, chunk.own_words(), np.ones(len(words), bool), answers, buckets))
+                    chunk.follow(totals, [])
+                    _write(f"{folder}/round1/known", number, [totals])
                 else:
-                    state = _read(f"{before}/known", number)
-                    chunk.follow(state[0], state[1::_PER_DEPTH])
+                    held = Known.read(folder, number, depth - 1)
+                    chunk.follow(held.totals, held.seen)
                     keys, own, asks, place = chunk.asked()
-                    if depth > 2:
-                        state[-1] = _joined(_tells(answers, buckets))
-                    state.append(packed(_codes(keys, own, asks, answers, buckets)[place]))
+                    seen = packed(_codes(keys, own, asks, answers, buckets)[place])
                     del keys, own, asks, place
-                chunk.follow(state[0], state[1::_PER_DEPTH])
-                if depth > 1:
+                    chunk.follow(held.totals, [*held.seen, seen])
                     keys, gain, others, place = chunk.tested()
                     alone = ~others & (gain >= STEPS * known.divergence)
-                    state += [np.packbits(alone[place]).tobytes(), _joined([])]
+                    _write(f"{folder}/round{depth}/known", number, [seen, np.packbits(alone[place]).tobytes(), _joined(_tells(answers, buckets))])
                     yield _asks(number, keys[others], gain[others], buckets, contexts=True)
                     del keys, gain, others, place
-                _write(f"{now}/known", number, state)
                 if not last:
                     keys, own, asks, _ = chunk.asked()
                     yield _asks(number, keys[asks], own[asks], buckets)
@@ -439,25 +449,22 @@ def _answer_files(folder: str):
     return work
 
 
-def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -> tuple[str, int]:
-    """The folder that holds what each chunk knows of the tree, and the number of buckets. Sets the counts of known."""
+def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -> tuple[str, int, int]:
+    """The folder that holds what each chunk knows of the tree, the number of rounds in it, and that of buckets. Sets the counts of known."""
     buckets = int(max(1, chunks.count() * CHUNK_TOKENS // BUCKET_KEYS))
-    texts, before = chunks.select("chunk", "parts"), ""
+    texts, folder = chunks.select("chunk", "parts"), scratch.path("rounds")
 
     def asked(depth: int, last: bool = False) -> list[int]:
-        nonlocal before
-        now = scratch.path(f"round{depth}")
-        asks = texts.mapInArrow(_chunk_round(known, buckets, depth, last, before, now), _ROW)
+        asks = texts.mapInArrow(_chunk_round(known, buckets, depth, last, folder), _ROW)
         answers = asks.groupBy("bucket").applyInArrow(_bucket_round(buckets, known.divergence), _ROW)
         # Rows of counts are few for each bucket and chunk, and summed at last; the others are written by the tasks.
         spread = F.when(F.col("chunk") < 0, -1 - F.abs(F.hash("distinct", "total", "grown")) % 1000).otherwise(F.col("chunk")).alias("chunk")
-        files = answers.select(spread, *_NAMES[1:]).groupBy("chunk").applyInArrow(_answer_files(f"{now}/answers"), _ROW)
+        files = answers.select(spread, *_NAMES[1:]).groupBy("chunk").applyInArrow(_answer_files(f"{folder}/round{depth}/answers"), _ROW)
         sums = scratch.keep(files.select("grown", "distinct", "total"), "counts")
         del asks, answers, files
         scratch.release()
-        if before:
-            scratch.delete(before)
-        before = now
+        if depth:
+            scratch.delete(f"{folder}/round{depth - 1}/answers")
         return [int(x or 0) for x in sums.agg(F.sum("grown"), F.sum("distinct"), F.sum("total")).first()]
 
     _, known.distinct, known.tokens = asked(0)
@@ -465,7 +472,7 @@ def grow(chunks: DataFrame, known: Settings, scratch: Scratch, max_depth: int) -
     while grown and depth <= max_depth:
         depth += 1
         grown = asked(depth, depth == max_depth + 1)[0]
-    return before, buckets
+    return folder, depth, buckets
 
 
 def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", text: str = "text", fewest: int = FEWEST, divergence: float = DIVERGENCE, heaps: float = HEAPS, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -481,7 +488,7 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
     rows = docs.select(F.col(key).alias("key"), (~F.coalesce(learn_from, F.lit(False))).alias("held_out"), F.col(text).alias("text"))
     chunks = scratch.keep(chunked(rows), "chunks")
     known = Settings(fewest, divergence, heaps)
-    folder, buckets = grow(chunks, known, scratch, max_depth)
+    folder, rounds, buckets = grow(chunks, known, scratch, max_depth)
     kind = rows.schema["key"].dataType.simpleString()
 
     def score(batches):
@@ -489,10 +496,10 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
         for batch in batches:
             for i in range(batch.num_rows):
                 number, chunk = batch.column(0)[i].as_py(), Chunk(batch.column(3)[i].as_py(), known)
-                state = _read(f"{folder}/known", number)
-                chunk.follow(state[0], state[1::_PER_DEPTH])
-                last = _tells(_read(f"{folder}/answers", number), buckets)
-                p, n = chunk.scores(state[2::_PER_DEPTH], [*map(_parted, state[3::_PER_DEPTH][:-1]), last], buckets), len(chunk.sizes)
+                held = Known.read(folder, number, rounds)
+                chunk.follow(held.totals, held.seen)
+                last = _tells(_read(f"{folder}/round{rounds}/answers", number), buckets)
+                p, n = chunk.scores(held.own, [*held.tells, last], buckets), len(chunk.sizes)
                 base = np.bincount(chunk.text, np.log10(chunk.root()), n)
                 columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(p), n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
