@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import distance
 from ..schema import numeric_order
+from ..scratch import Scratch
 
 
 def centroids(latent: DataFrame, group: str, vector: str) -> DataFrame:
@@ -33,7 +34,7 @@ def centroid_distances(latent: DataFrame, group: str, vector: str) -> DataFrame:
 def far_same_label(distances: DataFrame, labels: DataFrame, *, quantile: float = 0.9, active: Column | None = None, most: int | None = None) -> DataFrame:
     """Pairs of the same label, with the quantile of their distances as threshold and which of them reach it, farthest first."""
     a, b = (labels.select(F.col("cluster").alias(f"cluster_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = distances.join(F.broadcast(a), "cluster_a").join(F.broadcast(b), "cluster_b").where("label_a = label_b")
+    pairs = distances.join(a, "cluster_a").join(b, "cluster_b").where("label_a = label_b")
     if active is not None:
         pairs = pairs.where(active)
     threshold = F.percentile("centroid_distance", quantile).over(Window.partitionBy(F.lit(1)))
@@ -52,18 +53,23 @@ def novelty_evidence(distances: DataFrame, labels: DataFrame, *, distance_quanti
     the farthest of the same label is the quantile over all same-label pairs; with
     compat it is that over the group's own, which its farthest always reaches.
     """
+    scratch = Scratch(distances.sparkSession, "novelty")
+    distances, labels = scratch.keep(distances, "distances"), scratch.keep(labels, "labels")
     both = distances.select(F.col("cluster_a").alias("cluster"), F.col("cluster_b").alias("other"), "centroid_distance").unionByName(distances.select(F.col("cluster_b").alias("cluster"), F.col("cluster_a").alias("other"), "centroid_distance"))
     mine = labels.select("cluster", "label", F.coalesce("alternative", F.lit("")).alias("alternative"))
     other = labels.select(F.col("cluster").alias("other"), F.col("label").alias("other_label"))
-    rows = both.join(F.broadcast(mine), "cluster").join(F.broadcast(other), "other").withColumn("same", F.col("label") == F.col("other_label"))
+    rows = both.join(mine, "cluster").join(other, "other").withColumn("same", F.col("label") == F.col("other_label"))
     bounds = distances.agg(F.percentile("centroid_distance", isolation_quantile).alias("isolation_threshold"))
     far = far_same_label(distances, labels, quantile=distance_quantile).agg(F.max("threshold").alias("same_threshold"))
     d, o = F.col("centroid_distance"), F.col("other")
     near, away = F.struct("centroid_distance", "other"), F.struct(-d, o)
     same = lambda c: F.when(F.col("same"), c)
     out = rows.groupBy("cluster", "label", "alternative").agg(F.min(near).alias("near"), F.min(same(near)).alias("near_same"), F.min(same(away)).alias("far_same"), F.percentile(same(d), distance_quantile).alias("own_threshold"))
-    ranks = both.join(out.select("cluster", F.col("near.centroid_distance").alias("nd")), "cluster").select("cluster", "nd").distinct().join(F.broadcast(distances.select("centroid_distance"))).groupBy("cluster").agg(F.avg((d <= F.col("nd")).cast("double")).alias("isolation_percentile"))
-    out = out.join(ranks, "cluster").join(F.broadcast(bounds)).join(F.broadcast(far))
+    # The share of all distances up to a group's nearest one, from the counts of distinct distances in order.
+    counts = distances.groupBy(F.col("centroid_distance").alias("d_")).agg(F.count(F.lit(1)).alias("n_"))
+    every = Window.partitionBy(F.lit(1))
+    shares = counts.select("d_", (F.sum("n_").over(every.orderBy("d_")) / F.sum("n_").over(every)).alias("isolation_percentile"))
+    out = out.join(shares, F.col("near.centroid_distance") == F.col("d_")).join(F.broadcast(bounds)).join(F.broadcast(far))  # one row each
     farthest = -F.col("far_same.col1")
     out = out.select(
         "cluster",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import score_0_to_5
 from ..functions.text import combine_notes, humanise, ids_in
+from ..scratch import Scratch
 from . import vocabulary
 
 SCORES = ("confidence_score", "manual_annotation_support", "top_de_marker_support", "curated_marker_support", "technical_concern_score", "ambiguity_score")
@@ -17,11 +19,6 @@ LISTS = ("alternate_labels", "evidence_summary", "concerns", "recommended_pairwi
 TEXTS = ("cluster_id", "candidate_label", "suggested_new_label", "new_label_reason", "stop_reason")
 FLAGS = ("needs_more_iteration", "needs_human_review")
 
-MOVED = "Candidate label was not in the approved refined-label vocabulary and was moved to suggested_new_label."
-PROPOSED = "The model proposed this label, but it is not in the approved refined-label vocabulary."
-SUFFICIENT = "No new label suggested: the approved candidate label was judged sufficient after reviewing worksheet notes and/or pairwise evidence."
-
-
 def parsed(text: Column) -> Column:
     """The object in a text: from the first brace to the last. A map of its fields as JSON text."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "map<string,string>")
@@ -52,16 +49,16 @@ def normalised(decisions: DataFrame, *, text: str = "decision", cluster: str = "
     unknown = ~F.array_contains(known_list, F.col("candidate_label"))
     out = out.withColumns({"unknown_": unknown, "said_": F.col("candidate_label"), "alternate_labels": F.filter("alternate_labels", lambda a: F.array_contains(known_list, a)), "mentioned_": mentioned})
     moved = F.col("unknown_") & (F.col("said_") != "") & (F.col("suggested_new_label") == "")
-    out = out.withColumns({"new_label_reason": F.when(moved & (F.col("new_label_reason") == ""), F.lit(PROPOSED)).otherwise(F.col("new_label_reason")), "suggested_new_label": F.when(moved, F.col("said_")).otherwise(F.col("suggested_new_label"))})
+    out = out.withColumns({"new_label_reason": F.when(moved & (F.col("new_label_reason") == ""), F.lit(vocabulary.PROPOSED)).otherwise(F.col("new_label_reason")), "suggested_new_label": F.when(moved, F.col("said_")).otherwise(F.col("suggested_new_label"))})
     out = out.withColumns(
         {
             "candidate_label": F.when(F.col("unknown_"), F.coalesce(F.get("alternate_labels", F.lit(0)), "mentioned_", F.lit(fallback))).otherwise(F.col("said_")),
-            "concerns": F.when(F.col("unknown_"), F.concat("concerns", F.array(F.lit(MOVED)))).otherwise(F.col("concerns")),
+            "concerns": F.when(F.col("unknown_"), F.concat("concerns", F.array(F.lit(vocabulary.MOVED)))).otherwise(F.col("concerns")),
             "needs_human_review": F.col("needs_human_review") | (F.col("suggested_new_label") != ""),
         }
     )
     if audit:
-        out = out.withColumn("new_label_reason", F.when(F.col(audit) & (F.col("suggested_new_label") == "") & (F.col("new_label_reason") == ""), F.lit(SUFFICIENT)).otherwise(F.col("new_label_reason")))
+        out = out.withColumn("new_label_reason", F.when(F.col(audit) & (F.col("suggested_new_label") == "") & (F.col("new_label_reason") == ""), F.lit(vocabulary.SUFFICIENT)).otherwise(F.col("new_label_reason")))
     return out.drop("m_", "unknown_", "said_", "mentioned_")
 
 
@@ -91,7 +88,7 @@ def review_reason(flag: Column, confidence: Column, ambiguity: Column, technical
 def alternative_reason(new_label: Column, reason: Column) -> Column:
     said = F.nullif(F.trim(F.coalesce(reason, F.lit(""))), F.lit(""))
     new = F.trim(F.coalesce(new_label, F.lit(""))) != ""
-    return F.coalesce(said, F.when(new, F.lit("Alternative label suggested because the approved label may not fully capture the cluster biology.")).otherwise(F.lit("No alternative name suggested; approved candidate label is sufficient.")))
+    return F.coalesce(said, F.when(new, F.lit(vocabulary.OTHER_NAME)).otherwise(F.lit(vocabulary.NO_OTHER_NAME)))
 
 
 def reason_counts(reasons: DataFrame, column: str) -> DataFrame:
@@ -132,12 +129,12 @@ def lineage_themes(mapping: DataFrame, label: str) -> DataFrame:
 def validation_question(label: Column, original: Column, programs: Column, high_other: Column) -> Column:
     """programs: array of the names of programs hit."""
     return (
-        F.when(label == original, F.lit("Does the marker evidence support keeping this manual label?"))
-        .when(label.isin(*vocabulary.OTHER_LINEAGES), F.lit("Does the non-NK/contamination-like marker evidence justify separating this from NK states?"))
-        .when(F.array_contains(programs, "proliferation"), F.lit("Does the proliferation program justify this refined functional-state label?"))
-        .when(F.array_contains(programs, "NK tissue/regulatory/chemokine"), F.lit("Does the tissue/chemokine marker program justify this refined NK state?"))
-        .when(high_other, F.lit("Are the lineage-marker flags biological, ambient RNA, or possible doublets?"))
-        .otherwise(F.lit("Does the DE and curated marker evidence support this refinement from the manual label?"))
+        F.when(label == original, F.lit(vocabulary.QUESTIONS["kept"]))
+        .when(label.isin(*vocabulary.OTHER_LINEAGES), F.lit(vocabulary.QUESTIONS["lineage"]))
+        .when(F.array_contains(programs, "proliferation"), F.lit(vocabulary.QUESTIONS["proliferation"]))
+        .when(F.array_contains(programs, "NK tissue/regulatory/chemokine"), F.lit(vocabulary.QUESTIONS["tissue"]))
+        .when(high_other, F.lit(vocabulary.QUESTIONS["flags"]))
+        .otherwise(F.lit(vocabulary.QUESTIONS["refined"]))
     )
 
 
@@ -148,17 +145,44 @@ def rule_based(evidence: DataFrame, known: Sequence[str] = vocabulary.REFINED_LA
     return evidence.withColumns({"candidate_label": F.coalesce(label, F.lit("Mature Cytotoxic")), "suggested_new_label": F.when(label.isNull(), F.col("draft")).otherwise(F.lit("")), "confidence_score": confidence, "ambiguity_score": 5 - confidence, "technical_concern_score": F.when(F.col("share") < 0.5, 2).otherwise(0), "needs_human_review": label.isNull() | (confidence < 3)})
 
 
-def decided(evidence: DataFrame, decide: Callable[[DataFrame], DataFrame] = rule_based, *, rounds: int = 3) -> DataFrame:
-    """Rounds of decisions over a few groups: those that triage does not lock are decided again, up to rounds times."""
-    done, active = None, evidence
+def decided(evidence: DataFrame, decide: Callable[[DataFrame], DataFrame] = rule_based, *, rounds: int = 3, gather: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rounds of decisions over groups: those that triage does not lock get more evidence (gather) and are decided again, up to rounds times.
+
+    Each round is written, so no round is worked out again; it ends early when no group is left.
+    """
+    scratch = Scratch(evidence.sparkSession, "rounds")
+    done, active = None, scratch.keep(evidence, "evidence")
     for n in range(1, rounds + 1):
         now = decide(active).withColumns({"round": F.lit(n), "review_status": triage(F.col("candidate_label"), F.col("confidence_score"), F.col("ambiguity_score"), F.col("technical_concern_score"), F.col("needs_human_review"), F.col("suggested_new_label"))})
-        now = now if n == rounds else now.where("review_status = 'locked'")
-        done = now if done is None else done.unionByName(now)
-        if n < rounds:
-            active = active.join(now.select("cluster"), "cluster", "left_anti")
+        now = scratch.keep(now, f"round{n}")
+        last = n == rounds or now.where("review_status <> 'locked'").isEmpty()
+        part = now if last else now.where("review_status = 'locked'")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            break
+        active = active.join(part.select("cluster"), "cluster", "left_anti")
+        active = scratch.keep(gather(active) if gather else active, f"evidence{n}")
     return done
 
 
+def with_pair_evidence(evidence: DataFrame, results: DataFrame, *, most: int = 2) -> DataFrame:
+    """More evidence on groups (cluster, share, n_pairs): each round looks at the next pair results (cluster, place, support) of a group, up to most, and their support adds to its share."""
+    seen = results.join(evidence.select("cluster", F.col("n_pairs").alias("seen_")), "cluster").where((F.col("place") >= F.col("seen_")) & (F.col("place") < F.col("seen_") + most))
+    more = seen.groupBy("cluster").agg(F.count(F.lit(1)).alias("more_"), F.sum("support").alias("support_"))
+    out = evidence.join(more, "cluster", "left")
+    return out.withColumns({"n_pairs": F.col("n_pairs") + F.coalesce("more_", F.lit(0)), "share": F.least(F.lit(1.0), F.col("share") + F.coalesce("support_", F.lit(0.0)))}).drop("more_", "support_")
+
+
+def with_retries(call: Callable, *, attempts: int = 3, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+    """What call() returns; a failure is tried again after a pause that grows by itself, and the last one is raised."""
+    for n in range(1, attempts + 1):
+        try:
+            return call()
+        except Exception:
+            if n == attempts:
+                raise
+            sleep(pause * n)
+
+
 def worksheet_note(embedded: Column, explicit: Column) -> Column:
     return combine_notes(embedded, explicit)

@@ -65,3 +65,18 @@ NOTE_WORDS = {
 
 BROAD_GENES = ["MALAT1", "B2M", "TMSB4X", "HBB"]
 BROAD_PREFIXES = ["MT-", "RPS", "RPL", "HBA"]
+
+#: Sentences of results.
+MOVED = "Candidate label was not in the approved refined-label vocabulary and was moved to suggested_new_label."
+PROPOSED = "The model proposed this label, but it is not in the approved refined-label vocabulary."
+SUFFICIENT = "No new label suggested: the approved candidate label was judged sufficient after reviewing worksheet notes and/or pairwise evidence."
+OTHER_NAME = "Alternative label suggested because the approved label may not fully capture the cluster biology."
+NO_OTHER_NAME = "No alternative name suggested; approved candidate label is sufficient."
+QUESTIONS = {
+    "kept": "Does the marker evidence support keeping this manual label?",
+    "lineage": "Does the non-NK/contamination-like marker evidence justify separating this from NK states?",
+    "proliferation": "Does the proliferation program justify this refined functional-state label?",
+    "tissue": "Does the tissue/chemokine marker program justify this refined NK state?",
+    "flags": "Are the lineage-marker flags biological, ambient RNA, or possible doublets?",
+    "refined": "Does the DE and curated marker evidence support this refinement from the manual label?",
+}

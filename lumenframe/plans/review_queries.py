@@ -120,7 +120,7 @@ sc AS (SELECT cluster, {', '.join(f"CASE WHEN try_cast(j->>'{s}' AS DOUBLE) IS N
  CASE WHEN json_type(j->'evidence_summary') = 'VARCHAR' THEN 1 ELSE len(coalesce(try_cast(j->'evidence_summary' AS VARCHAR[]), [])) END AS ne, len(coalesce(try_cast(j->'concerns' AS VARCHAR[]), [])) AS nc FROM m),
 un AS (SELECT *, NOT list_contains({KNOWN}, said) AS un, list_filter({KNOWN}, lambda x: contains(blob, lower(x)))[1] AS ment FROM sc),
 norm AS (SELECT cluster, cluster_id, CASE WHEN un THEN coalesce(alt[1], ment, 'Mature Cytotoxic') ELSE said END AS candidate_label, CASE WHEN un AND said <> '' AND sug = '' THEN said ELSE sug END AS suggested_new_label,
- CASE WHEN un AND said <> '' AND sug = '' AND why = '' THEN '{review.PROPOSED}' ELSE why END AS new_label_reason, {', '.join(review.SCORES)}, nm AS needs_more_iteration, nr OR (CASE WHEN un AND said <> '' AND sug = '' THEN said ELSE sug END) <> '' AS needs_human_review, array_to_string(alt, '|') AS alternates, ne AS n_evidence, nc + un::INT AS n_concerns FROM un)"""
+ CASE WHEN un AND said <> '' AND sug = '' AND why = '' THEN '{vocabulary.PROPOSED}' ELSE why END AS new_label_reason, {', '.join(review.SCORES)}, nm AS needs_more_iteration, nr OR (CASE WHEN un AND said <> '' AND sug = '' THEN said ELSE sug END) <> '' AS needs_human_review, array_to_string(alt, '|') AS alternates, ne AS n_evidence, nc + un::INT AS n_concerns FROM un)"""
 
 
 def decisions(spark, d):
@@ -148,7 +148,7 @@ def triage(spark, d):
 s AS (SELECT *, concat_ws('; ', CASE WHEN confidence_score < 4 THEN 'confidence ' || confidence_score || '<4' END, CASE WHEN technical_concern_score >= 2 THEN 'technical concern ' || technical_concern_score || '/5' END, CASE WHEN suggested_new_label <> '' THEN 'suggested new label: ' || suggested_new_label END, note) AS ask,
 concat_ws('; ', 'confident approved label (' || confidence_score || '/5)', CASE WHEN ambiguity_score <= 2 THEN 'low ambiguity (' || ambiguity_score || '/5)' END, CASE WHEN technical_concern_score < 2 THEN 'low technical concern (' || technical_concern_score || '/5)' END, CASE WHEN np > 0 THEN 'reviewed ' || np || ' pairwise DE comparison(s)' END) AS fine FROM r)
 SELECT cluster, need AS needs_human_review, CASE WHEN NOT need THEN fine WHEN ask = '' AND needs_human_review THEN 'model uncertainty' ELSE ask END AS review_reason,
-CASE WHEN new_label_reason <> '' THEN new_label_reason WHEN suggested_new_label <> '' THEN 'Alternative label suggested because the approved label may not fully capture the cluster biology.' ELSE 'No alternative name suggested; approved candidate label is sufficient.' END AS alternative_name_reason FROM s""")
+CASE WHEN new_label_reason <> '' THEN new_label_reason WHEN suggested_new_label <> '' THEN '{vocabulary.OTHER_NAME}' ELSE '{vocabulary.NO_OTHER_NAME}' END AS alternative_name_reason FROM s""")
 def mapping_review(spark, d):
     out = decisions(spark, d)
     k = F.col("cluster")
@@ -190,8 +190,8 @@ def lineage_themes(spark, d):
     return review.lineage_themes(labelled(spark, d), "label")
 
 
-@query(f"""WITH {LABELLED} SELECT cluster, CASE WHEN label = original THEN 'Does the marker evidence support keeping this manual label?' WHEN label IN {tuple(vocabulary.OTHER_LINEAGES)} THEN 'Does the non-NK/contamination-like marker evidence justify separating this from NK states?'
-WHEN cluster % 4 = 0 THEN 'Does the proliferation program justify this refined functional-state label?' WHEN cluster % 4 = 1 THEN 'Does the tissue/chemokine marker program justify this refined NK state?' WHEN cluster % 4 = 2 THEN 'Are the lineage-marker flags biological, ambient RNA, or possible doublets?' ELSE 'Does the DE and curated marker evidence support this refinement from the manual label?' END AS question FROM lab""")
+@query(f"""WITH {LABELLED} SELECT cluster, CASE WHEN label = original THEN '{vocabulary.QUESTIONS["kept"]}' WHEN label IN {tuple(vocabulary.OTHER_LINEAGES)} THEN '{vocabulary.QUESTIONS["lineage"]}'
+WHEN cluster % 4 = 0 THEN '{vocabulary.QUESTIONS["proliferation"]}' WHEN cluster % 4 = 1 THEN '{vocabulary.QUESTIONS["tissue"]}' WHEN cluster % 4 = 2 THEN '{vocabulary.QUESTIONS["flags"]}' ELSE '{vocabulary.QUESTIONS["refined"]}' END AS question FROM lab""")
 def validation_questions(spark, d):
     k = F.col("cluster")
     programs = F.when(k % 4 == 0, F.array(F.lit("proliferation"))).when(k % 4 == 1, F.array(F.lit("NK tissue/regulatory/chemokine"))).otherwise(F.array(F.lit("B cell")))

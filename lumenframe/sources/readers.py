@@ -55,3 +55,40 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows with a key, the one that is last in order."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
+
+
+def newest_round(paths: list[str], name: str) -> str | None:
+    """The file of a name itself, or else that of the last round_* folder by its number; None without either."""
+    import re
+
+    direct = [p for p in paths if p.rsplit("/", 1)[-1] == name and not re.search(r"/round_[0-9]+/[^/]*$", p)]
+    rounds = {int(m[1]): p for p in paths if (m := re.search(r"/round_([0-9]+)/[^/]*$", p)) and p.endswith(f"/{name}")}
+    return sorted(direct)[0] if direct else rounds[max(rounds)] if rounds else None
+
+
+def read_npz(spark: SparkSession, path: str, name: str, *, key: str = "id", vector: str = "z") -> DataFrame:
+    """(key, vector) of the rows of one array in NPZ files, as 32-bit numbers; files are read in the tasks, and objects are never unpickled."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                array = np.load(io.BytesIO(data), allow_pickle=False)[name].astype(np.float32)
+                array = array.reshape(len(array), -1)
+                for a in range(0, len(array), 4096):
+                    part = array[a : a + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), lists], names=[key, vector])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, f"{key} long, {vector} array<float>")
+
+
+def require_path(spark: SparkSession, *paths: str) -> None:
+    """FileNotFoundError names the paths that are not there."""
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    missing = [p for p, w in zip(paths, at, strict=True) if not w.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(w)]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
