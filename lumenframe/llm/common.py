@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +23,23 @@ _kept: dict[str, object] = {}
 def kept_by_worker(name: str, build=None):
     """What an operator keeps in a Python worker from task to task. A worker keeps it for one operator at a time, so that memory has room for the next."""
     if name not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[name] = build() if build else None
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on with the next operator, and the allocators would keep what the last one used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        return
+
+
 class Generations(dict):
     """Results of a function, kept for the keys in use: when limit keys are held, they become the old ones, and only those used again stay."""
 

@@ -224,6 +224,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     rows, sizes = removals(docs, **options)
 
     def work(batches):
+        kept_by_worker("digests")
         for batch in slices(batches):
             out = []
             for text, copy, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4), strict=True):
@@ -252,6 +253,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = 4 + len(sizes)
 
     def work(batches):
+        kept_by_worker("cuts")
         for batch in slices(batches):
             texts, stays, lengths = [], [], {}
             for i, (value, copy, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _levels_of(batch, 4, len(sizes)), strict=True)):

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import LATIN_END, byte_symbols, kept_by_worker, slices
+from .common import LATIN_END, byte_symbols, give_back, kept_by_worker, slices
 
 #: Up to so many symbols, a word is encoded by scanning its ranks.
 SHORT = 48
 #: White-space runs and the words between them whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 NO_RANK = np.int32(2**31 - 1)
 
@@ -71,6 +71,8 @@ class WordBPE:
         self.rank_of = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
         self.text_of = [t.encode("utf-8") for t in self.tokens]
         self._all_named = all(self.text_of)
+        del spec, model, vocab, merges
+        give_back()
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -215,7 +217,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, *, key: str = "doc_
 
     def work(batches):
         bpe = WordBPE.shared(vocabulary_path)
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             got = bpe.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary()), pa.array(map(bpe.decode, got), pa.binary()).cast(pa.string())], names=["key", "ids", "decoded"])
 
@@ -234,7 +236,7 @@ def encoded_documents(docs: DataFrame, vocabulary_path: str, *, text: str = "tex
 
     def work(batches):
         bpe = WordBPE.shared(vocabulary_path)
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             got = bpe.encode(batch.column(place).to_pylist())
             more = [pa.array(got, pa.binary()), pa.array(map(bpe.decode, got), pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*(f.name for f in own), "ids", "decoded"])
