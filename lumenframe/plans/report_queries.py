@@ -15,7 +15,10 @@ from .standins import OBS, obs
 WORK = f"w AS ({WORKSHEET})"
 NOVEL = f"nov AS ({registry.ORACLES['novelty_evidence']})"
 DECIDED = f"dec AS (SELECT cluster, {_list(KINDS)}[(cluster::INT % 6 + 1)::INT] AS decision FROM w),\n" + DECISIONS.split("\n", 1)[1]
-NUMBER = F.col("cluster").cast("int")
+
+
+def number():
+    return F.col("cluster").cast("int")
 
 
 def work(spark, d):
@@ -24,7 +27,7 @@ def work(spark, d):
 
 def decided(spark, d):
     """A decision on each group of the worksheet."""
-    rows = obs(spark, d).select("cluster").distinct().select("cluster", F.get(F.lit(KINDS), NUMBER % 6).alias("decision"))
+    rows = obs(spark, d).select("cluster").distinct().select("cluster", F.get(F.lit(KINDS), number() % 6).alias("decision"))
     return review.normalised(rows)
 
 
@@ -32,7 +35,7 @@ def known_evidence(spark, d):
     novel = registry.QUERIES["novelty_evidence"](spark, d)
     reason = reports.novelty_reason(F.col("same_label_distance_flag"), F.col("isolation_flag"), F.col("nearest_cluster"))
     reasons = novel.select("cluster", reason.alias("novel_subtype_reason"))
-    w = work(spark, d).withColumns({"note": F.when(NUMBER % 4 == 0, F.lit("high_assay_specificity;odd")), "n_pairs": NUMBER % 3})
+    w = work(spark, d).withColumns({"note": F.when(number() % 4 == 0, F.lit("high_assay_specificity;odd")), "n_pairs": number() % 3})
     return reports.evidence_table(w, reports.distance_lookup(novel), reasons)
 
 
@@ -56,7 +59,7 @@ mapping AS (SELECT cluster, candidate_label AS candidate_refined_label, need AS
 
 
 def mapping(spark, d):
-    return reports.mapping_table(decided(spark, d).withColumn("n_iterations", 1 + NUMBER % 2), known_evidence(spark, d))
+    return reports.mapping_table(decided(spark, d).withColumn("n_iterations", 1 + number() % 2), known_evidence(spark, d))
 
 
 @query(f"{MAPPING} SELECT * FROM mapping")
@@ -66,7 +69,7 @@ def mapping_table(spark, d):
 
 @query(f"{MAPPING} SELECT coalesce(nullif(string_agg(cluster || ': ' || alternative_name_suggestion, '; ' ORDER BY cluster::INT), ''), 'none') AS alternatives FROM mapping WHERE lower(alternative_name_suggestion) <> 'none'")
 def alternative_summary(spark, d):
-    return reports.alternatives(mapping(spark, d), [NUMBER])
+    return reports.alternatives(mapping(spark, d), [number()])
 
 
 @query(f"WITH {WORK}, {DECIDED} SELECT cluster, candidate_label, confidence_score, ambiguity_score, technical_concern_score, {TRIAGE} AS review_status, needs_human_review, coalesce(nullif(suggested_new_label, ''), 'None') AS suggested_new_label FROM norm")
@@ -85,7 +88,7 @@ def agent_reasoning(spark, d):
 @query(f"""WITH {WORK}, {DECIDED}, {PHRASES}, x AS (SELECT candidate_label, cluster::INT AS c, i, rtrim(trim(evidence[i]), '.') AS phrase FROM ph JOIN norm USING (cluster), range(1, 20) t(i) WHERE i <= len(evidence)),
 f AS (SELECT candidate_label, phrase, min((c, i)) AS first FROM x WHERE phrase <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_label ORDER BY first, phrase) AS n FROM f) SELECT candidate_label, string_agg(phrase, '; ' ORDER BY n) AS phrases FROM r WHERE n <= 2 GROUP BY 1""")
 def support_phrases(spark, d):
-    return reports.support_phrases(decided(spark, d), "candidate_label", [NUMBER])
+    return reports.support_phrases(decided(spark, d), "candidate_label", [number()])
 
 
 PERCENT = "printf('%.1f', round(100 * {0}, 1)) || '%'"
