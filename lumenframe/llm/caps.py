@@ -59,15 +59,16 @@ class CapCode:
     def for_vectors(cls, vectors: int, dimensions: int, *, average_list: float = LIST, least: int | None = None, seed: int = SEED) -> CapCode:
         """A code whose size follows from the number of vectors: BUCKET of them share a filter on average, however many there are."""
         directions = vectors * average_list / BUCKET
-        parts = min(dimensions, 2 if directions <= MOST_WORDS**2 else 3)
-        words = int(max(FEWEST_WORDS, directions ** (1 / parts) + 1))
+        parts = max(1, min(dimensions // 2, 2 if directions <= MOST_WORDS**2 else 3))  # of one dimension, code words would be alike
+        # Vectors of fewer than four dimensions have one part, which is bounded: there, buckets grow with the table.
+        words = int(min(MOST_WORDS if parts == 1 else np.inf, max(FEWEST_WORDS, directions ** (1 / parts) + 1)))
         return cls.build(dimensions, code_words=words, parts=parts, average_list=average_list, least=least, seed=seed)
 
     @classmethod
     def build(cls, dimensions: int, *, code_words: int, parts: int = 2, average_list: float = LIST, least: int | None = None, seed: int = SEED) -> CapCode:
         """The bound is such that a random vector passes average_list filters on average (measured on random vectors drawn from the seed)."""
         rng = np.random.default_rng(seed)
-        parts = min(parts, dimensions)
+        parts = max(1, min(parts, dimensions // 2))
         rotation = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
         words = []
         for cut in np.array_split(np.arange(dimensions), parts):
