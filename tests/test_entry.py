@@ -27,7 +27,8 @@ def test_query_equals_sql(spark, name):
     got = con.execute(__spark_entry__.oracle_sql()[name])
     names = [c[0] for c in got.description]
     assert sorted(names) == sorted(rows.columns)
-    a, b = sorted(map(str, rows.select(*[f"`{n}`" for n in names]).toPandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))), sorted(map(str, got.df().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)))
+    plain = lambda r: tuple(str(x) if isinstance(x, (int, bool)) or x is None else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r)
+    a, b = sorted(map(plain, rows.select(*[f"`{n}`" for n in names]).collect())), sorted(map(plain, got.fetchall()))
     assert a == b
 
 
