@@ -6,6 +6,9 @@ it.  A text therefore encodes as the concatenation of its space-led pieces, each
 encoded alone, and most pieces of a corpus occur again and again.  Texts with other
 white space next to a space are cut at fewer places; the result is the same.
 
+A line feed between two non-space characters is a token of its own, so texts are cut there
+first, where that is all the line feeds they hold.
+
 A piece that is new is cut into words by the vocabulary's own pattern, and new words
 go to the library's model.  Pieces with added tokens, or with characters on which
 versions of Unicode may differ, go through the library as a whole.
@@ -20,8 +23,8 @@ import regex
 
 from .common import LATIN_END, Generations, byte_symbols, kept_by_worker
 
-#: Pieces and words that a Python worker keeps in each of two generations.
-CACHE_PIECES, CACHE_WORDS = 400_000, 20_000
+#: Pieces, words that start a line, and other words that a Python worker keeps in each of two generations.
+CACHE_PIECES, CACHE_STARTS, CACHE_WORDS = 400_000, 40_000, 20_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The split that byte-level pre-tokenisation makes (a fixed value of such vocabularies).
@@ -53,6 +56,8 @@ class PieceEncoder:
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = Generations(lambda word: self._word(word.encode("utf-8").decode("latin-1").translate(self.symbols)), CACHE_WORDS)
         self.pieces = Generations(self._piece, CACHE_PIECES)
+        self.starts = Generations(lambda word: self._piece(word, ""), CACHE_STARTS)
+        self.feed = None if any("\n" in token for token in self.added) else self._alone("\n")
 
     @classmethod
     def shared(cls, vocabulary_path: str) -> PieceEncoder:
@@ -70,34 +75,53 @@ class PieceEncoder:
             return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.words.__getitem__, _PATTERN.findall(text)))
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a space and the piece."""
+    def _piece(self, piece: str, lead: str = " ") -> bytes:
+        """Ids of a space, or nothing, and the piece."""
+        known, space = (self.pieces, self.space) if lead else (self.starts, "")
         if self.marks and piece.isascii():
             if piece.isalpha():
-                return self._word(self.space + piece)
+                return self._word(space + piece)
             if piece[-1:] in self.marks and piece[:-1].isalpha():
-                return self.pieces[piece[:-1]] + self.words[piece[-1]]
+                return known[piece[:-1]] + self.words[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _SpaceBeside
         if self.marks and max(piece) <= LATIN_END:
             if piece.isalpha():
-                return self._word(self.space + piece.encode("utf-8").decode("latin-1").translate(self.symbols))
+                return self._word(space + piece.encode("utf-8").decode("latin-1").translate(self.symbols))
             if piece[-1] in self.marks and piece[:-1].isalpha():
-                return self.pieces[piece[:-1]] + self.words[piece[-1]]
-        return self._alone(f" {piece}")
+                return known[piece[:-1]] + self.words[piece[-1]]
+        return self._alone(lead + piece)
+
+    def _lines(self, text: str) -> bytes:
+        """Ids of a text whose lines all begin and end with something but white space."""
+        if self.feed is None:
+            raise _SpaceBeside
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(self.starts[first] + b"".join(map(self.pieces.__getitem__, rest)))
+        return self.feed.join(out)
+
+    def _pieces(self, text: str) -> bytes:
+        """Ids of any text."""
+        first, *rest = text.split(" ")
+        try:
+            ids = b"".join(map(self.pieces.__getitem__, rest))
+        except _SpaceBeside:
+            first, *rest = _CUT.split(text)
+            last = [rest.pop()] if rest else []
+            ids = b"".join([*map(self.pieces.__getitem__, rest), *(self._alone(f" {x}") for x in last)])
+        return self._alone(first) + ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers; a null text counts as empty."""
         out = []
         for text in texts:
-            first, *rest = (text or "").split(" ")
             try:
-                ids = b"".join(map(self.pieces.__getitem__, rest))
+                out.append(self._lines(text or ""))
             except _SpaceBeside:
-                first, *rest = _CUT.split(text)
-                last = [rest.pop()] if rest else []
-                ids = b"".join([*map(self.pieces.__getitem__, rest), *(self._alone(f" {x}") for x in last)])
-            out.append(self._alone(first) + ids)
+                out.append(self._pieces(text or ""))
             self.words.turn()
+            self.starts.turn()
             self.pieces.turn()
         return out

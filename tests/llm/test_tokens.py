@@ -23,7 +23,7 @@ def library(path):
 
 
 BYTE_LIBRARY, WORD_LIBRARY = library(BYTES), library(WORDS)
-ODD = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "\n\nfoo  \t bar", "x\x1c y", "é　 b", "foo<|endoftext|> bar <|endoftext|>\n \n<|endoftext|>", "it's  don't 've", "½ ²x 12a_b ٣٤ Ⅷ", "ΑΣ Σας ΟΔΟΣ", "İstanbul ẞ Ǆ é ̈a", "日本語 한국어 😀👩‍👩‍👧", "a" * 700 + " b", "<|ENDOFTEXT|>x<|startoftext|>"]
+ODD = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "a\nb c.\nDé, x\n'ti", "a\n\nb", "a\nb\n", "\na b", "a\n b", "a\r\nb", "\n\nfoo  \t bar", "x\x1c y", "é　 b", "foo<|endoftext|> bar <|endoftext|>\n \n<|endoftext|>", "it's  don't 've", "½ ²x 12a_b ٣٤ Ⅷ", "ΑΣ Σας ΟΔΟΣ", "İstanbul ẞ Ǆ é ̈a", "日本語 한국어 😀👩‍👩‍👧", "a" * 700 + " b", "<|ENDOFTEXT|>x<|startoftext|>"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -54,8 +54,8 @@ def test_long_words_by_heap_equal_the_scan():
 
 def test_caches_that_turn_over_change_nothing():
     encoder = PieceEncoder(BYTES)
-    encoder.pieces.limit = encoder.words.limit = 3
-    text = "one two three four, five six seven. one two three four, five"
+    encoder.pieces.limit = encoder.words.limit = encoder.starts.limit = 3
+    text = "one two three four, five six seven.\none two\nthree\nfour,\nfive, six\none two three four, five"
     assert encoder.encode([text] * 3) == PieceEncoder(BYTES).encode([text] * 3)
 
 
