@@ -19,12 +19,13 @@ def composite(*parts: Column) -> Column:
     return F.concat_ws(" || ", *parts)
 
 
-def map_strict(df: DataFrame, column: str, mapping: Mapping[str, str], to: str) -> DataFrame:
-    """Mapped labels; ValueError lists the values that the mapping lacks, numbers in their order."""
+def map_strict(df: DataFrame, column: str, mapping: Mapping[str, str], to: str, *, named: int = 10_000) -> DataFrame:
+    """Mapped labels; ValueError lists the values that the mapping lacks, numbers in their order; of more than named, any of them and a note."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    missing = [r[0] for r in df.where(~F.col(column).cast("string").isin(*mapping)).select(F.col(column).cast("string")).distinct().limit(100).collect()]
+    missing = [r[0] for r in df.where(~F.col(column).cast("string").isin(*mapping)).select(F.col(column).cast("string")).distinct().limit(named + 1).collect()]
     if missing:
-        raise ValueError("no label for: " + ", ".join(sorted(missing, key=lambda x: (not x.isdigit(), int(x) if x.isdigit() else 0, x))))
+        shown = sorted(missing[:named], key=lambda x: (not x.isdigit(), int(x) if x.isdigit() else 0, x))
+        raise ValueError("no label for: " + ", ".join(shown) + (", and others" if len(missing) > named else ""))
     return df.withColumn(to, table[F.col(column).cast("string")])
 
 

@@ -64,6 +64,10 @@ def test_assays_and_merging(spark):
     assert sorted((r.d, r.a, r.m) for r in merged.distinct().collect()) == [("d1", "a", "a"), ("d1", "b", "a"), ("d2", "x", "x"), ("d2", "y", "x")]
     with pytest.raises(ValueError, match="2, 10, q"):
         recode.map_strict(spark.createDataFrame([("1",), ("10",), ("q",), ("2",)], "c string"), "c", {"1": "one"}, "l")
+    with pytest.raises(ValueError, match=", and others$"):
+        recode.map_strict(spark.range(150).selectExpr("CAST(id AS string) AS c").toDF("c"), "c", {"0": "one"}, "l", named=148)
+    with pytest.raises(ValueError, match="149$"):
+        recode.map_strict(spark.range(150).selectExpr("CAST(id AS string) AS c"), "c", {"0": "one"}, "l")
     with pytest.raises(ValueError):
         recode.class_summary(merged, "a", mode="odd")
 
@@ -91,6 +95,14 @@ def test_sampling_is_exact_whatever_the_partitioning(spark):
     assert sampling.proportional_sample(df, "l", "k", 50).count() == 50
 
 
+def test_balance_of_a_balanced_table_changes_nothing(spark):
+    rows = [(i, "AAAB"[i % 4], f"b{i % 3}", 50.0 + i % 200, i % 29 == 0) for i in range(600)]
+    cells = spark.createDataFrame(rows, "cell_id long, label string, batch string, library double, safe boolean")
+    balance = lambda df: qc.qc_balance(df, label="label", batch="batch", protected=F.col("safe"), low=60.0, high=240.0, min_class=20, caps={"A": 300}, major="A", ratio=1.5, min_batch=30)
+    once = balance(cells)
+    assert sorted(map(tuple, balance(once).collect())) == sorted(map(tuple, once.collect())) and 0 < once.count() < 600
+
+
 def test_library_bounds(spark):
     cells = spark.createDataFrame([(1,), (2,), (3,)], "cell_id long")
     counts = spark.createDataFrame([(1, "g", 5.0), (1, "h", 5.0), (2, "g", 3.0)], "cell_id long, gene string, count double")
