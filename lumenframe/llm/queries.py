@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, langid, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
+from . import caps, langid, merkle, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
 from .common import read, text_crc_mod
 
 
@@ -65,7 +65,13 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, its source's subroot, the root, and the proof that leads there, as given and where a fifth is tampered with."""
+    out = merkle.manifest(read(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm, op13_merkle)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
@@ -115,5 +121,49 @@ WITH d AS (
 SELECT q.doc_id, q.size, q.source_size, q.target,
        (q.size * (floor(expected) + CASE WHEN x.at_q IS NOT NULL AND (q.q < x.at_q OR (q.q = x.at_q AND x.upto - x.budget < x.budget - x.before)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source
+""",
+    "op13_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+         coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+           || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 5 = 0, false) AS tampered
+  FROM documents
+), l AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS other
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), up AS (
+  SELECT 0 AS lvl, g, i, n, leaf AS h FROM p
+  UNION ALL
+  SELECT lvl + 1, g, i // 16, max((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lvl, g, i // 16
+), tops AS (
+  SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), over_all AS (
+  SELECT 0 AS lvl, i, n, h FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 16, max((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM over_all WHERE n > 1 GROUP BY lvl, i // 16
+), runs AS (
+  SELECT lvl, g, i // 16 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY lvl, g, i // 16
+), upper_runs AS (
+  SELECT lvl, i // 16 AS run, list(h ORDER BY i) AS hs FROM over_all WHERE n > 1 GROUP BY lvl, i // 16
+), steps AS (
+  SELECT p.g, p.i, r.lvl AS step, hs, ((p.i // (16::BIGINT ** r.lvl)::BIGINT) % 16)::BIGINT AS own
+  FROM p JOIN runs r ON p.g = r.g AND p.i // (16::BIGINT ** (r.lvl + 1))::BIGINT = r.run
+  UNION ALL
+  SELECT p.g, p.i, 1000 + r.lvl, hs, ((t.i // (16::BIGINT ** r.lvl)::BIGINT) % 16)::BIGINT
+  FROM p JOIN tops t ON p.g = t.g JOIN upper_runs r ON t.i // (16::BIGINT ** (r.lvl + 1))::BIGINT = r.run
+), paths AS (
+  SELECT g, i, list(array_to_string(hs[1:own], '') || '|' || array_to_string(hs[own + 2:16], '') ORDER BY step) AS path FROM steps GROUP BY g, i
+)
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root,
+       sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+       list_reduce(list_concat([coalesce(other, leaf)], coalesce(path, [])), lambda h, x: sha256(replace(x, '|', h))) AS folded_root,
+       folded_root = r.h AS verified
+FROM p JOIN tops t ON p.g = t.g CROSS JOIN (SELECT h FROM over_all WHERE n = 1) r LEFT JOIN paths q ON p.g = q.g AND p.i = q.i
 """,
 }
