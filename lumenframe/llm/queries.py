@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, langid, merkle, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
+from . import caps, collocations, langid, merkle, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
 from .common import read, text_crc_mod
 
 
@@ -65,13 +65,18 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language that stick together."""
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's leaf, its source's subroot, the root, and the proof that leads there, as given and where a fifth is tampered with."""
     out = merkle.manifest(read(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm, op13_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm, op11_collocations, op13_merkle)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
@@ -121,6 +126,35 @@ WITH d AS (
 SELECT q.doc_id, q.size, q.source_size, q.target,
        (q.size * (floor(expected) + CASE WHEN x.at_q IS NOT NULL AND (q.q < x.at_q OR (q.q = x.at_q AND x.upto - x.budget < x.budget - x.before)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100
+), o AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))
+), s AS (
+  SELECT o.*, string_split(phrase, ' ') AS ws, j FROM o, range(1, 5) t(j) WHERE j < o.k
+), u AS (
+  SELECT s.lang, s.phrase, s.a, j, x.f AS l, y.f AS r, n.n, 1000::HUGEINT * s.a * n.n // (x.f::HUGEINT * y.f) AS score
+  FROM s JOIN n ON s.lang = n.lang
+  JOIN f x ON x.lang = s.lang AND x.k = j AND x.phrase = array_to_string(ws[1:j], ' ')
+  JOIN f y ON y.lang = s.lang AND y.k = s.k - j AND y.phrase = array_to_string(ws[j + 1:5], ' ')
+), b AS (
+  SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000
 """,
     "op13_merkle": r"""
 WITH RECURSIVE d AS (
