@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, collocations, langid, merkle, mixing, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
+from . import caps, collocations, langid, merkle, mixing, pii, quality, simhash, substring, suffix_lm, token_counts, token_store, word_bpe
 from .common import read, text_crc_mod
 
 
@@ -70,13 +70,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: base spans by kind, their digest, and all spans."""
+    out = pii.find(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select(F.col("key").alias("doc_id"), *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's leaf, its source's subroot, the root, and the proof that leads there, as given and where a fifth is tampered with."""
     out = merkle.manifest(read(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm, op11_collocations, op13_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_substring, op4_cap_filters, op5_quality_rules, op6_token_counts, op7_token_store, op8_word_bpe, op9_mixing, op10_suffix_lm, op11_collocations, op12_personal_data, op13_merkle)}
 
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
