@@ -397,6 +397,13 @@ def _heavy(texts: DataFrame, bits: int, fewest: int, scratch: Scratch, limits: L
     return scratch.keep(summed, "heavy")
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs, sorted."""
+    pairs = np.empty(len(a), [("a", "<u8"), ("b", "<u8")])
+    pairs["a"], pairs["b"] = a, b
+    return np.unique(pairs)
+
+
 def _candidates(texts: DataFrame, heavy: Shards, bits: int, scratch: Scratch, limits: Limits) -> DataFrame:
     """(a, b, h): the distinct pairs in heavy buckets."""
     low = min(bits, limits.bucket_bits)
@@ -414,12 +421,25 @@ def _candidates(texts: DataFrame, heavy: Shards, bits: int, scratch: Scratch, li
                 own = bucket[mine]
                 at = np.minimum(np.searchsorted(found, own), len(found) - 1)
                 hit = found[at] == own
-                pairs = np.stack([a[mine][hit], b[mine][hit]], 1)
-                pairs = np.unique(pairs.view("<u8,<u8")).view(_U).reshape(-1, 2) if len(pairs) else pairs
-                x, y = (np.ascontiguousarray(pairs[:, k]) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y, _shard_hash(x, y))], names=["a", "b", "h"])
+                if hit.any():
+                    pairs = _distinct(a[mine][hit], b[mine][hit])
+                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed(np.diff(pairs["a"], prepend=_U(0)))], pa.binary()), pa.array([packed(pairs["b"])], pa.binary())], names=["segment", "a", "b"])
 
-    return scratch.keep(texts.mapInArrow(work, "a long, b long, h long").distinct(), "candidates")
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, least = [], 0, 1 << 20
+        for batch in batches:
+            for a, b in zip(batch.column(1), batch.column(2), strict=True):
+                parts.append(_distinct(np.cumsum(unpacked(a.as_py())).view(_U), unpacked(b.as_py()).view(_U)))
+                size += len(parts[-1])
+            if size > least:
+                parts = [np.unique(np.concatenate(parts))]
+                size, least = len(parts[0]), max(1 << 20, 2 * len(parts[0]))
+        pairs = np.unique(np.concatenate(parts))
+        x, y = (np.ascontiguousarray(pairs[c]) for c in "ab")
+        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y, _shard_hash(x, y))], names=["a", "b", "h"])
+
+    packs = texts.mapInArrow(work, "segment int, a binary, b binary")  # a segment of buckets has a bounded number of heavy ones
+    return scratch.keep(packs.groupBy("segment").applyInArrow(unite, "a long, b long, h long"), "candidates")
 
 
 def _counted(texts: DataFrame, shards: Shards, limits: Limits) -> DataFrame:
