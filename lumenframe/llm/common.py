@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, scratch_root  # noqa: F401  the operators' too
@@ -94,3 +95,55 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_crc_mod(key: str | Column, mod: int) -> Column:
     """crc32 of a key's decimal text modulo mod: the folds of the held-out sets. Null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary") if isinstance(key, str) else key.cast("string").cast("binary")) % mod
+
+
+def numbered(rows: DataFrame, scratch: Scratch, *order: Column) -> DataFrame:
+    """rows with index, their place in their group from 0 on, and n, the group's size. order must tell all rows of a group apart.
+
+    Ranges of (group, order) are dealt to tasks; a row's place is that in its range, after what the group has in earlier ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.keep(rows.repartitionByRange(parts, F.col("group").asc(), *order).withColumn("range", F.spark_partition_id()), "ranges")
+    by_group = Window.partitionBy("group")
+    counts = dealt.groupBy("group", "range").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.select("group", "range", F.sum("rows").over(by_group).alias("n"), (F.sum("rows").over(by_group.orderBy("range")) - F.col("rows")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("group", "range").orderBy(*order))
+    placed = dealt.withColumn("place", place.cast("long") - 1)
+    return placed.join(counts, ["group", "range"]).withColumn("index", F.col("place") + F.col("before")).drop("place", "before", "range")
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file that appears under its name when it is whole, and stays as it is from then on.
+
+    For tasks that write the same bytes whenever they run: of several attempts one puts the file in its place and the others leave it, so none
+    that is slow, or stopped on its way, takes away what another has written.
+    """
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder)
+    there = lambda: system.get_file_info(f"{at}/{name}").type != fs.FileType.NotFound
+    if there():
+        return
+    system.create_dir(at, recursive=True)
+    hidden = f"{at}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(hidden) as out:
+        out.write(data)
+    try:
+        system.move(hidden, f"{at}/{name}")
+    except OSError:  # not every file system moves onto a file
+        if not there():
+            raise
+        system.delete_file(hidden)
+
+
+def get_file(folder: str, name: str, *, needed: bool = True) -> bytes | None:
+    """A file's bytes. FileNotFoundError where it is needed and missing; else None."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(f"{at}/{name}").type == fs.FileType.NotFound:
+        if needed:
+            raise FileNotFoundError(f"{folder}/{name}")
+        return None
+    with system.open_input_stream(f"{at}/{name}") as file:
+        return file.read()

@@ -11,10 +11,10 @@ What is carried down to a level belongs to a run and not to a node, so it is a s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, integral_key, text_crc_mod
+from .common import Scratch, integral_key, numbered, text_crc_mod
 
 FANOUT = 16
 #: Where this divides the CRC of its key, a document is tampered with.
@@ -34,21 +34,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(rows: DataFrame, scratch: Scratch, *order: Column) -> DataFrame:
-    """rows with index, their place in their group from 0 on, and n, the group's size. order must tell all rows of a group apart.
-
-    Ranges of (group, order) are dealt to tasks; a row's place is that in its range, after what the group has in earlier ranges.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scratch.keep(rows.repartitionByRange(parts, F.col("group").asc(), *order).withColumn("range", F.spark_partition_id()), "ranges")
-    by_group = Window.partitionBy("group")
-    counts = dealt.groupBy("group", "range").agg(F.count(F.lit(1)).alias("rows"))
-    counts = counts.select("group", "range", F.sum("rows").over(by_group).alias("n"), (F.sum("rows").over(by_group.orderBy("range")) - F.col("rows")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("group", "range").orderBy(*order))
-    placed = dealt.withColumn("place", place.cast("long") - 1)
-    return placed.join(counts, ["group", "range"]).withColumn("index", F.col("place") + F.col("before")).drop("place", "before", "range")
-
-
 def _parents(nodes: DataFrame, fanout: int, *more: str) -> DataFrame:
     """(group, index, n, hash, kids) of the runs of groups that have more than one node; kids are (index, hash, more), in order."""
     run = F.floor(F.col("index") / F.lit(fanout)).alias("index")

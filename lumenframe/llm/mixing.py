@@ -6,7 +6,7 @@ most, and so that the source's expected words are its target.  The integral part
 What is left, p, is the odds of one more: documents are ranked by random odds divided by inclusion
 odds, q = (u / (1 - u)) / (p / (1 - p)), and the first in that order are taken, so
 many that their words come nearest to what is left of the target.  u is a hash of
-the key and the seed, so reruns agree.
+the key, the text, the row's number among rows of the same key and text, and the seed: every row has its own draw, and reruns agree.
 
 Where the order is to be cut is found without sorting a source in one task: counts of
 words by (source, slice of q), a slice of that slice, and at last the few distinct
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, numbered
 
 #: Sources are sent to every task only up to this many rows; beyond it the join is a shuffled one, which AQE splits where a source is hot.
 BROADCAST_SOURCES = 50_000
@@ -33,9 +33,9 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: str, seed: int) -> Column:
-    """A number in (0, 1) from the first 52 bits of the MD5 of 'key:seed'; a null key counts as an empty text."""
-    name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+def uniform(name: Column, copy: Column, seed: int) -> Column:
+    """A number in (0, 1) from the first 52 bits of the MD5 of 'name:copy:seed'."""
+    name = F.concat(name, F.lit(":"), copy.cast("string"), F.lit(f":{seed}"))
     return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -112,21 +112,37 @@ def _cut(ranked: DataFrame, slot: Column, scratch: Scratch, name: str) -> DataFr
     return scratch.keep(reached.where("upto >= budget").groupBy("source", "budget").agg(F.min(F.struct("slot", "upto", "words")).alias("at")).select("source", "budget", F.col("at.slot").alias("slot"), (F.col("at.upto") - F.col("at.words")).alias("before"), F.col("at.words").alias("words")), name)
 
 
-def _sized(docs: DataFrame, key: str, text: str, source: str, preference: Column | None, seed: int, *more: Column) -> DataFrame:
+def _sized(docs: DataFrame, key: str, text: str, source: str, preference: Column | None, *more: Column) -> DataFrame:
+    """(key, source, size, preference, name): name is the key and the MD5 of the text, empty ones for nulls."""
     size = word_count(f"`{text}`")
     weight = length_preference(size) if preference is None else F.greatest(F.lit(1).cast("long"), F.coalesce(preference.cast("long"), F.lit(1).cast("long")))
-    return docs.select(*more, F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), size.alias("size"), uniform(f"`{key}`", seed).alias("u"), weight.alias("preference"))
+    name = F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit("")))
+    return docs.select(*more, F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), size.alias("size"), weight.alias("preference"), name.alias("name"))
 
 
-def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", preference: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame, int]:
-    """(rows, sources, number of sources): rows (key, source, size, u, preference); sources (source, source_size, target, level, cut, with_cut).
+def _drawn(sized: DataFrame, repeated: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """sized with u, in the place of name. Rows of repeated names (name_) are numbered, whatever their order, as they differ in nothing that is drawn by; a hot name is in no one task."""
+    few = F.broadcast(repeated) if repeated.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else repeated
+    same = F.col("name") == F.col("name_")
+    single = sized.join(few, same, "left_anti").withColumn("u", uniform(F.col("name"), F.lit(0), seed)).drop("name")
+    if repeated.isEmpty():
+        return single
+    several = sized.join(few, same, "left_semi").withColumnRenamed("name", "group").withColumn("row", F.monotonically_increasing_id())
+    several = numbered(scratch.keep(several, "repeated"), scratch, F.col("row").asc())
+    return single.unionByName(several.withColumn("u", uniform(F.col("group"), F.col("index"), seed)).select(single.columns))
+
+
+def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", preference: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """(rows, sources, number of sources, repeated): rows (key, source, size, u, preference); sources (source, source_size, target, level, cut, with_cut); repeated the names of rows that occur more than once.
 
     preference is a whole number for each document (null and less than 1 count as 1), by default length_preference(); its
     values should be few, as a source has a row for each of them.  A document takes the whole copies expected, and one more if its
     rank is below its source's cut, or at it if with_cut.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.keep(_sized(docs, key, text, source, preference, seed), "rows")
+    sized = scratch.keep(_sized(docs, key, text, source, preference), "sized")
+    repeated = scratch.keep(sized.groupBy(F.col("name").alias("name_")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name_"), "names")
+    rows = scratch.keep(_drawn(sized, repeated, seed, scratch), "rows")
     sources = scratch.keep(copy_levels(rows, source_targets(rows, weights=weights, most=most, total=total), most=most), "sources")
     n = sources.count()
     expected = _expected(most)
@@ -146,7 +162,7 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     nearer = (F.col("before") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("before"))
     cuts = third.select(F.col("source").alias("source_"), F.col("slot").alias("cut"), nearer.alias("with_cut"))
     out = sources.join(cuts, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
-    return rows, scratch.keep(out, "cuts"), n
+    return rows, scratch.keep(out, "cuts"), n, repeated
 
 
 def _copies(most: int) -> Column:
@@ -159,12 +175,11 @@ def _copies(most: int) -> Column:
 def mix(docs: DataFrame, *, most: int = 3, **options) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken) of every document; see plan() for the options.
 
-    Null and empty texts have size 0; a null source is a source of its own, the last; rows of equal
-    key and size are taken together, those of null key too.  A source's taken words differ from its target by half of one document's
+    Null and empty texts have size 0; a null source is a source of its own, the last; rows of equal or null key have each their own draw, equal rows, too.  A source's taken words differ from its target by half of one document's
     size, at most (that of the document at which the order is cut), or by what all its documents lack.  An empty table gives none.
     Keys may be of any type.  Other columns are not read.
     """
-    rows, sources, n = plan(docs, most=most, **options)
+    rows, sources, n, _ = plan(docs, most=most, **options)
     out = _joined(rows, sources, n).withColumn("copies", _copies(most))
     return out.select("key", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -174,7 +189,7 @@ def mixed_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Nulls, empty texts and repeated rows as in mix(); an empty table gives none.  All columns are carried along as they are.
     """
-    _, sources, n = plan(docs, key=key, text=text, source=source, preference=preference, most=most, seed=seed, **options)
-    held = _sized(docs, key, text, source, preference, seed, F.struct("*").alias("doc"))
+    _, sources, n, repeated = plan(docs, key=key, text=text, source=source, preference=preference, most=most, seed=seed, **options)
+    held = _drawn(_sized(docs, key, text, source, preference, F.struct("*").alias("doc")), repeated, seed, Scratch(docs.sparkSession, "mixing"))
     out = _joined(held, sources, n).withColumn("copies", _copies(most)).where("copies > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")

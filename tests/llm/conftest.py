@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, text_ string, id long, hash long, copy boolean, doc string, keep int, source_ string, gone_ long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, text_ string, id long, hash long, copy boolean, doc string, keep int, source_ string, gone_ long, trusted_ long, key_ long, row_ long, own_ long, of_ long, path string, filter long, name string, component long, index long, row long, u double, preference long, name_ string, hash_ long, words long, size long, mark long, copies long, range long"
 
 WORDS = {"en": "the of and to in is that it was for on with as be by this from".split(), "fr": "le la les de des et une en que qui dans pour sur pas est".split(), "de": "der die das und ein eine ist nicht mit von zu den auf für sich".split()}
 ENDS = {"en": "ing tion ed ly er".split(), "fr": "eau eux ment que ée".split(), "de": "ung heit keit lich schaft".split()}
@@ -42,7 +42,7 @@ def rows():
 
 
 def frame(spark, rows):
-    extra = ("k", "t", 1, 2, True, "d", 3, "s", 4)
+    extra = ("k", "t", 1, 2, True, "d", 3, "s", 4, 5, 6, 7, 8, 9, "p", 10, "n", 11, 12, 13, 0.5, 14, "m", 15, 16, 17, 18, 19, 20)
     return spark.createDataFrame([(d, t, la, s, None if t is None else len(t), *extra) for d, t, la, s in rows], SCHEMA)
 
 
