@@ -144,15 +144,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     component is the smallest key reachable over links between fingerprints of radius
     differing bits at most.  Null, empty and blank texts have fingerprint 0, which links as any
-    other does.  A null key is never a component's name; among null keys only, component is null.
+    other does, so texts of null key connect others.  A null key is never a component's name; among null keys only, component is null.
     Rows of equal key have each its own fingerprint.  Texts of any length are read whole.  An empty table gives none.  Keys must be whole
     numbers (TypeError).  Columns but the two named are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, key=key, text=text, shingle=shingle), "fingerprints")
     # Exact copies meet here, combined before the shuffle: one row for each fingerprint from now on.
-    classes = scratch.keep(rows.groupBy("fp").agg(F.min("key").alias("id")).where("id IS NOT NULL"), "classes")
-    edges = near_edges(classes.select("id", "fp"), radius, scratch)
-    linked = components(edges, scratch)
-    named = classes.join(linked, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "id").alias("component"))
+    classes = scratch.keep(rows.groupBy("fp").agg(F.min("key").alias("least")), "classes")
+    linked = components(near_edges(classes.select(F.col("fp").alias("id"), "fp"), radius, scratch), scratch)
+    # A component of fingerprints is named after the smallest key that any of them has.
+    held = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    names = held.groupBy("group").agg(F.min("least").alias("component"))
+    named = held.join(names, "group").select(F.col("fp").alias("fp_"), "component")
     return rows.join(named, F.col("fp") == F.col("fp_"), "left").select("key", "fp", "component")

@@ -43,20 +43,40 @@ def groups(pairs, nodes):
     return {n: root(n) for n in nodes}
 
 
+def named_components(rows, prints):
+    """The smallest key of each row's component, by its place; rows of null and equal keys are rows like any other."""
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    of = groups(links, range(len(rows)))
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[of[i]] = min(r[0], least.get(of[i], r[0]))
+    return [least.get(of[i]) for i in range(len(rows))]
+
+
 def test_simhash_equals_brute_force(docs, rows):
     got = simhash.near_duplicates(docs).collect()
-    assert len(got) == len(rows)
-    prints = {}
-    for d, t, *_ in rows:
-        prints.setdefault(d, fingerprint(t))
-    named = sorted(d for d in prints if d is not None)
-    links = [(a, b) for a in named for b in named if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    expected = groups(links, named)
-    for r in got:
-        if r.key is not None:
-            assert r.fp & (2**64 - 1) == prints[r.key] and r.component == expected[r.key]
-    assert {r.component for r in got if r.key is None} <= {75, None}
-    assert expected[76] == 75 and expected[77] == 75 and expected[80] == 79 and expected[81] == 79
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    want = named_components(rows, prints)
+    assert Counter((r.key, r.fp & (2**64 - 1), r.component) for r in got) == Counter((r[0], p, c) for r, p, c in zip(rows, prints, want, strict=True))
+
+
+def test_simhash_null_keys_connect_others(spark):
+    """A text of null key that is two bits from either of two others, four bits apart; and one among null keys only."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(24)]
+    base = " ".join(words)
+    near = {}
+    for _ in range(4000):
+        other = list(words)
+        for k in rng.integers(0, 24, 2):
+            other[k] = f"v{rng.integers(0, 500)}"
+        near.setdefault((fingerprint(base) ^ fingerprint(" ".join(other))).bit_count(), []).append(" ".join(other))
+    pairs = [(a, b) for a in near.get(2, []) + near.get(1, []) for b in near.get(2, []) if (fingerprint(a) ^ fingerprint(b)).bit_count() in (3, 4)]
+    a, b = pairs[0]
+    rows = [(3, b, "en", "s"), (None, base, "en", "s"), (1, a, "en", "s"), (None, "all other words here", "en", "s"), (None, base, "en", "s")]
+    got = sorted(((r.key, r.component) for r in simhash.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 1), (1, 1), (None, 1), (None, 1), (None, None)], key=str)
 
 
 def test_simhash_small_blocks_find_the_same(spark):
