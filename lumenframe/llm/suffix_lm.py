@@ -24,7 +24,6 @@ first, compressed; sorted hashes by their differences; an answer is a bit for ea
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_by_worker, slices
+from .common import Scratch, get_file, kept_by_worker, put_file, slices
 
 #: Occurrences in the training texts that make a context worth trying.
 FEWEST = 2
@@ -114,28 +113,14 @@ def _rows(chunks: list[int], buckets: list[int], keys: list[bytes], amounts: lis
 
 
 def _write(folder: str, chunk: int, parts: list[bytes]) -> None:
-    """A file of byte strings; it appears under its name when it is whole, in the place of an earlier run's."""
-    from pyarrow import fs
+    """A file of byte strings for a chunk; they are the same whenever the task runs."""
+    put_file(folder, str(chunk), _joined(parts))
 
-    system, at = fs.FileSystem.from_uri(folder)
-    system.create_dir(at, recursive=True)
-    hidden, name = f"{at}/.{uuid.uuid4().hex}", f"{at}/{chunk}"
-    with system.open_output_stream(hidden) as out:
-        out.write(_joined(parts))
-    if system.get_file_info(name).type != fs.FileType.NotFound:
-        system.delete_file(name)
-    system.move(hidden, name)
 
-
-def _read(folder: str, chunk: int) -> list[bytes]:
-    """The byte strings of a chunk's file; none if it has no file."""
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(folder)
-    if system.get_file_info(f"{at}/{chunk}").type == fs.FileType.NotFound:
-        return []
-    with system.open_input_stream(f"{at}/{chunk}") as file:
-        return _parted(file.read())
+def _read(folder: str, chunk: int, needed: bool = True) -> list[bytes]:
+    """The byte strings of a chunk's file; none if it has no file and needs none. FileNotFoundError if a file is missing."""
+    data = get_file(folder, str(chunk), needed=bool(needed))
+    return [] if data is None else _parted(data)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -377,8 +362,9 @@ def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, folder:
                 if depth == 0:
                     yield _asks(number, words, chunk.own_words(), buckets)
                     continue
-                answers = _read(f"{folder}/round{depth - 1}/answers", number)
+                before = f"{folder}/round{depth - 1}/answers"
                 if depth == 1:
+                    answers = _read(before, number, len(words))
                     totals = packed(_codes(words, chunk.own_words(), np.ones(len(words), bool), answers, buckets))
                     chunk.follow(totals, [])
                     _write(f"{folder}/round1/known", number, [totals])
@@ -386,6 +372,7 @@ def _chunk_round(known: Settings, buckets: int, depth: int, last: bool, folder:
                     held = Known.read(folder, number, depth - 1)
                     chunk.follow(held.totals, held.seen)
                     keys, own, asks, place = chunk.asked()
+                    answers = _read(before, number, asks.any())
                     seen = packed(_codes(keys, own, asks, answers, buckets)[place])
                     del keys, own, asks, place
                     chunk.follow(held.totals, [*held.seen, seen])
@@ -498,7 +485,8 @@ def score_texts(docs: DataFrame, *, learn_from: Column, key: str = "doc_id", tex
                 number, chunk = batch.column(0)[i].as_py(), Chunk(batch.column(3)[i].as_py(), known)
                 held = Known.read(folder, number, rounds)
                 chunk.follow(held.totals, held.seen)
-                last = _tells(_read(f"{folder}/round{rounds}/answers", number), buckets)
+                asked = chunk.levels and chunk.levels[-1][3].any()  # contexts of the last depth that others have, too
+                last = _tells(_read(f"{folder}/round{rounds}/answers", number, asked), buckets)
                 p, n = chunk.scores(held.own, [*held.tells, last], buckets), len(chunk.sizes)
                 base = np.bincount(chunk.text, np.log10(chunk.root()), n)
                 columns = [batch.column(1)[i].values, batch.column(2)[i].values, pa.array(chunk.sizes), pa.array(np.bincount(chunk.text, chunk.count > 0, n).astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(np.bincount(chunk.text, np.log10(p), n))]

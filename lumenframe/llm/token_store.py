@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, integral_key, slices
+from .common import Scratch, integral_key, put_file, slices
 from .piece_encoder import PieceEncoder
 
 MAGIC = b"LFDAC\x01\0\0"
@@ -125,19 +125,18 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Encode every whole text, append end_id, and write the ids in ascending key order; returns (part, n_tokens).
+    """Encode every whole text, append end_id, and write the ids in ascending key order; returns (part, file, n_tokens), a row for each file.
 
     The order is made by ranges of the key, which must be a whole number (TypeError), as many as there are shuffle partitions; rows of
     equal key, or of none, follow in the order of a hash of their text, so a task that runs again
-    writes the same bytes, in the place of those of the lost one.  A file appears under its name only when it is complete.
+    writes the same bytes; a file that is there already stays.  A file appears under its name only when it is complete.
     Null and empty texts: the end id alone.  Texts of any length are encoded whole.  Null keys come first.  Equal rows are written each.
     An empty table writes no file.  Other columns are not read.  The folder's file system must be one that pyarrow opens by URI.
     """
 
-    def write(batches):
-        from pyarrow import fs
+    run = uuid.uuid4().hex  # a folder may hold the files of other runs
 
-        system, at = fs.FileSystem.from_uri(folder)
+    def write(batches):
         part = TaskContext.get().partitionId()
         encoder = PieceEncoder.shared(vocabulary_path)
         keys: list[int | None] = []
@@ -147,15 +146,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
 
         def flush():
             nonlocal keys, ids, held, before, files
-            name = f"{at}/part-{part:06d}-{files:06d}.dac"
-            hidden = f"{at}/.{uuid.uuid4().hex}"
-            system.create_dir(at, recursive=True)
-            with system.open_output_stream(hidden) as out:
-                out.write(pack(keys, ids, before))
-            if system.get_file_info(name).type != fs.FileType.NotFound:
-                system.delete_file(name)  # of a task that was lost after it had written; not every file system moves onto a file
-            system.move(hidden, name)
+            name = f"part-{part:06d}-{files:06d}-{run}.dac"
+            put_file(folder, name, pack(keys, ids, before))
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([held], pa.int64())], names=["part", "file", "n_tokens"])
             keys, ids, held, before, files = [], [], 0, before + held, files + 1
+            return row
 
         for batch in slices(batches, 256):
             for name, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -163,16 +158,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, *, end
                 ids.append(np.frombuffer(got + end, "<u4"))
                 held += len(ids[-1])
                 if held >= file_tokens:
-                    flush()
+                    yield flush()
         if keys:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64())], names=["part", "n_tokens"])
+            yield flush()
 
     rows = docs.select(integral_key(docs, key).alias("key"), F.col(text).alias("text"))
     rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionById(parts, _part(_bounds(rows, parts))).sortWithinPartitions("key", "order").select("key", "text")
-    return ordered.mapInArrow(write, "part int, n_tokens long")
+    return ordered.mapInArrow(write, "part int, file string, n_tokens long")
 
 
 def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
@@ -210,11 +204,19 @@ def _part(bounds: list[tuple[int, int, int]]) -> Column:
     return before + not_before(F.slice(literal(bounds), before + 1, F.lit(run)))
 
 
-def read_token_files(spark: SparkSession, folder: str, part_tokens: dict[int, int]) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document in the files; part_tokens as written says what each partition holds."""
+def read_token_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of each document in the files that written names (part, file, n_tokens). FileNotFoundError if one is missing."""
+    # One number for each partition, so what comes to the driver is bounded by the number of partitions.
     bases, total = {}, 0
-    for part in sorted(part_tokens):
-        bases[part], total = total, total + part_tokens[part]
+    for r in sorted(written.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).collect(), key=lambda r: r.part):
+        bases[r.part], total = total, total + r.n_tokens
+    if not bases:
+        return spark.createDataFrame([], "key long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).withColumn("file_", F.regexp_extract("path", "[^/]+$", 0))
+    missing = written.join(files.select("file_"), F.col("file") == F.col("file_"), "left_anti").first()
+    if missing is not None:
+        raise FileNotFoundError(f"{folder}/{missing.file}")
+    files = files.join(written.select("file"), F.col("file_") == F.col("file"), "left_semi")
 
     def decode(batches):
         for batch in batches:
@@ -227,7 +229,6 @@ def read_token_files(spark: SparkSession, folder: str, part_tokens: dict[int, in
                 sizes = np.diff(file.offsets.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(file.keys, pa.int64()), pa.array(file.offsets[:-1].astype(np.int64) + first), pa.array(sizes), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
     return files.select("path", "content").mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -237,11 +238,8 @@ def store_and_read(docs: DataFrame, vocabulary_path: str, *, end_id: int, key: s
     Rows and their order are those of write_token_files(): null keys first, equal rows each, null and empty texts as the end id alone.  An
     empty table gives none.
     """
-    spark = docs.sparkSession
-    folder = folder or Scratch(spark, "tokens").path("files")
-    written = write_token_files(docs, folder, vocabulary_path, end_id=end_id, key=key, text=text)
-    # One number for each partition, so what comes to the driver is bounded by the number of partitions.
-    parts = {r.part: r.n_tokens for r in written.groupBy("part").agg(F.max("n_tokens").alias("n_tokens")).collect()}
-    if not sum(parts.values()):
-        return spark.createDataFrame([], "key long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(spark, folder, parts)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "tokens")
+    folder = folder or scratch.path("files")
+    # What the committed tasks have written.
+    written = scratch.keep(write_token_files(docs, folder, vocabulary_path, end_id=end_id, key=key, text=text), "written")
+    return read_token_files(spark, folder, written)

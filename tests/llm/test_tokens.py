@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lumenframe.llm import token_counts, token_store, word_bpe
+from lumenframe.llm.common import get_file, put_file
 from lumenframe.llm.piece_encoder import PieceEncoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -99,8 +101,8 @@ def test_token_file_over_many_blocks():
 def test_token_store_reads_back(docs, rows, tmp_path, file_tokens):
     folder = f"file://{tmp_path}/t{file_tokens}"
     written = token_store.write_token_files(docs, folder, BYTES, end_id=2, file_tokens=file_tokens)
-    parts = {r.part: r.n_tokens for r in written.collect()}
-    got = token_store.read_token_files(docs.sparkSession, folder, parts).collect()
+    written = docs.sparkSession.createDataFrame(written.collect(), written.schema)
+    got = token_store.read_token_files(docs.sparkSession, folder, written).collect()
     encoded = {}
     for d, t, *_ in rows:
         ids = [*BYTE_LIBRARY.encode(t or "", add_special_tokens=False).ids, 2]
@@ -117,10 +119,27 @@ def test_token_store_splits_hot_keys_and_writes_again(spark, tmp_path):
     rows = [(None, f"none {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"t {i}") for i in range(-150, 150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     folder = f"file://{tmp_path}/files"
-    parts = [{r.part: r.n_tokens for r in token_store.write_token_files(docs, folder, BYTES, end_id=2).collect()} for _ in range(2)]
+    written = [token_store.write_token_files(docs, folder, BYTES, end_id=2).collect() for _ in range(2)]
+    parts = [{r.part: r.n_tokens for r in x} for x in written]
     assert parts[0] == parts[1] and len(parts[0]) == 4 and max(parts[0].values()) < 0.5 * sum(parts[0].values())
-    got = sorted(token_store.read_token_files(spark, folder, parts[0]).collect(), key=lambda r: r.start)
+    named = spark.createDataFrame(written[0], "part int, file string, n_tokens long")
+    got = sorted(token_store.read_token_files(spark, folder, named).collect(), key=lambda r: r.start)
     assert [r.key for r in got] == sorted([k for k, _ in rows], key=lambda k: (k is not None, k or 0))
+    (tmp_path / "files" / written[0][0].file).unlink()
+    with pytest.raises(FileNotFoundError, match=written[0][0].file):
+        token_store.read_token_files(spark, folder, named)
+
+
+def test_two_attempts_at_a_file_leave_it_whole(tmp_path):
+    """Attempts that overlap, one of them stopped on its way: the file is there, whole, once any has ended, and no later one takes it away."""
+    folder, data = f"file://{tmp_path}/f", b"x" * 100_000
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: put_file(folder, f"n{k % 3}", data), range(48)))
+    put_file(folder, "n0", b"another attempt's")
+    assert sorted(p.name for p in (tmp_path / "f").iterdir() if not p.name.startswith(".")) == ["n0", "n1", "n2"]
+    assert all(get_file(folder, f"n{k}") == data for k in range(3)) and get_file(folder, "none", needed=False) is None
+    with pytest.raises(FileNotFoundError):
+        get_file(folder, "none")
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 50])
