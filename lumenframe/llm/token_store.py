@@ -212,11 +212,12 @@ def read_token_files(spark: SparkSession, folder: str, written: DataFrame) -> Da
         bases[r.part], total = total, total + r.n_tokens
     if not bases:
         return spark.createDataFrame([], "key long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).withColumn("file_", F.regexp_extract("path", "[^/]+$", 0))
+    # All names of a run end alike, and whenever a task runs it writes the same ones, so the run's files are those named; contents are not joined.
+    names = "*-" + written.first().file.rsplit("-", 1)[-1]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).withColumn("file_", F.regexp_extract("path", "[^/]+$", 0))
     missing = written.join(files.select("file_"), F.col("file") == F.col("file_"), "left_anti").first()
     if missing is not None:
         raise FileNotFoundError(f"{folder}/{missing.file}")
-    files = files.join(written.select("file"), F.col("file_") == F.col("file"), "left_semi")
 
     def decode(batches):
         for batch in batches:
