@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, integral_key, put_file, slices
+from .common import Scratch, get_file, integral_key, put_file, slices
 from .piece_encoder import PieceEncoder
 
 MAGIC = b"LFDAC\x01\0\0"
@@ -205,32 +205,28 @@ def _part(bounds: list[tuple[int, int, int]]) -> Column:
 
 
 def read_token_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document in the files that written names (part, file, n_tokens). FileNotFoundError if one is missing."""
+    """(key, start, n_tokens, ids_crc32) of each document in the files that written names (part, file, n_tokens). A missing file is an error, not fewer rows."""
     # One number for each partition, so what comes to the driver is bounded by the number of partitions.
     bases, total = {}, 0
     for r in sorted(written.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).collect(), key=lambda r: r.part):
         bases[r.part], total = total, total + r.n_tokens
     if not bases:
         return spark.createDataFrame([], "key long, start long, n_tokens long, ids_crc32 long")
-    # All names of a run end alike, and whenever a task runs it writes the same ones, so the run's files are those named; contents are not joined.
-    names = "*-" + written.first().file.rsplit("-", 1)[-1]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).withColumn("file_", F.regexp_extract("path", "[^/]+$", 0))
-    missing = written.join(files.select("file_"), F.col("file") == F.col("file_"), "left_anti").first()
-    if missing is not None:
-        raise FileNotFoundError(f"{folder}/{missing.file}")
 
     def decode(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                file = TokenFile(data.as_buffer())
+            for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = TokenFile(get_file(folder, name))
                 flat = memoryview(np.ascontiguousarray(file.ids(), "<u4")).cast("B")
                 cuts = [int(x) for x in file.offsets]
-                first = bases[int(path.rsplit("/", 1)[-1].split("-")[1])] + file.before
                 crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 sizes = np.diff(file.offsets.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(file.keys, pa.int64()), pa.array(file.offsets[:-1].astype(np.int64) + first), pa.array(sizes), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
+                starts = file.offsets[:-1].astype(np.int64) + (bases[part] + file.before)
+                yield pa.RecordBatch.from_arrays([pa.array(file.keys, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "content").mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
+    # Tasks open the files themselves, one at a time: only their names are dealt.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return written.select("part", "file").repartition(parts, "file").mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, vocabulary_path: str, *, end_id: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
