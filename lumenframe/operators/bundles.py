@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import classify, cluster, neighbors, sampling
+from . import classify, graph, nearest_index, neighbors, sampling
 
 
 def split_summary(predictions: DataFrame, splits: Mapping[str, Column], *, true: str, predicted: str, training: DataFrame | None = None, unknown: str = "Unknown", fewest: int = 30) -> DataFrame:
@@ -40,6 +40,11 @@ def _sampled(points: DataFrame, label: str, key: str, most: int, unknown: str, s
     return Scratch(points.sparkSession, "metrics").keep(sampling.proportional_sample(points.where(F.col(label) != unknown), label, key, most, seed), "sample")
 
 
+def _near(points: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """The k nearest of each point, written once: every metric on neighbours reads them."""
+    return Scratch(points.sparkSession, "metrics").keep(nearest_index.nearest_of_all(points, k, key=key, vector=vector), "near")
+
+
 def _one_row(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b)), tables)  # one row each
 
@@ -47,11 +52,11 @@ def _one_row(*tables: DataFrame) -> DataFrame:
 def integration_metrics(points: DataFrame, name: str, *, label: str, batch: str, key: str = "id", vector: str = "z", k: int = 30, resolution: float = 1.0, most: int = 50_000, unknown: str = "Unknown", seed: int = 0) -> DataFrame:
     """One row: silhouettes of labels and batches, connectivity, neighbour votes, and how communities agree with labels, on one sample. ilisi_batch is never measured."""
     p = _sampled(points, label, key, most, unknown, seed)
-    near = neighbors.nearest(p, k, key=key, vector=vector)
-    found = cluster.communities(near.select(F.col(key).alias("a"), F.col("neighbour").alias("b"), F.lit(1.0).alias("weight")), [resolution])
+    near = _near(p, k, key, vector)
+    found = graph.communities(graph.fuzzy_graph(near, k + 1, key=key), [resolution])
     agreed = classify.agreement(p.select(key, label).join(found.select(F.col("node").alias(key), "cluster"), key), label, "cluster")
     size = p.agg(F.count(F.lit(1)).alias("n_cells_metric"), F.count_distinct(batch).alias("n_batches_metric"))
-    out = _one_row(size, neighbors.label_asw(p, label, key=key, vector=vector), neighbors.batch_asw(p, label, batch, key=key, vector=vector), neighbors.graph_connectivity(p, k, label, key=key, vector=vector), neighbors.label_accuracy(p, k, label, key=key, vector=vector), agreed)
+    out = _one_row(size, neighbors.label_asw(p, label, key=key, vector=vector), neighbors.batch_asw(p, label, batch, key=key, vector=vector), neighbors.graph_connectivity(p, k, label, key=key, vector=vector, near=near), neighbors.label_accuracy(p, k, label, key=key, vector=vector, near=near), agreed)
     return out.select(F.lit(name).alias("strategy"), "n_cells_metric", "n_batches_metric", "label_asw", "batch_asw", "graph_connectivity", "knn_label_accuracy", "nmi", "ari", F.lit(None).cast("double").alias("ilisi_batch"))
 
 
@@ -59,7 +64,8 @@ def strategy_metrics(points: DataFrame, *, label: str, batches: Mapping[str, str
     """One row: of a latent space the sample's size, what tells its labels, and for each batch column (name: column) the number of batches, mixing, votes and their baseline."""
     p = _sampled(points, label, key, most, unknown, seed)
     parts = [p.agg(F.count(F.lit(1)).alias("n_cells_metric"), *[F.count_distinct(c).alias(f"n_{name}s_metric") for name, c in batches.items()])]
-    parts += [neighbors.label_asw(p, label, key=key, vector=vector), neighbors.graph_connectivity(p, k, label, key=key, vector=vector), neighbors.label_accuracy(p, k, label, key=key, vector=vector)]
+    near = _near(p, k, key, vector)
+    parts += [neighbors.label_asw(p, label, key=key, vector=vector), neighbors.graph_connectivity(p, k, label, key=key, vector=vector, near=near), neighbors.label_accuracy(p, k, label, key=key, vector=vector, near=near)]
     for name, c in batches.items():
         parts.append(neighbors.batch_asw(p, label, c, key=key, vector=vector).withColumnRenamed("batch_asw", f"{name}_asw_mixing"))
         parts.append(neighbors.within_label_batch_accuracy(p, k, label, c, key=key, vector=vector).withColumnRenamed("knn_batch_accuracy", f"{name}_knn_batch_acc"))

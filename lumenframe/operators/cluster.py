@@ -1,77 +1,10 @@
-"""Communities of a neighbour graph, and models that stand in for deep ones."""
+"""Models that stand in for deep ones."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most edges that a graph may have: it is clustered as a whole.
-MOST_EDGES = 5_000_000
-
-
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, passes: int = 10) -> np.ndarray:
-    """Communities by greedy modularity moves and aggregation (Blondel et al. 2008), in a fixed order; numbered by size."""
-    of = np.arange(n)
-    node = np.arange(n)
-    total = 2 * w.sum()
-    for _ in range(passes):
-        m = node.max() + 1
-        x, y = node[a], node[b]
-        loops = np.bincount(x[x == y], w[x == y], m)
-        x, y, v = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([w, w])
-        away = x != y
-        key, at = np.unique(x[away] * m + y[away], return_inverse=True)
-        weight = np.bincount(at, v[away])
-        src, dst = key // m, key % m
-        first = np.searchsorted(src, np.arange(m + 1))
-        degree = np.bincount(src, weight, m) + 2 * loops
-        group, held = np.arange(m), degree.copy()
-        moved, rounds = True, 0
-        while moved and rounds < 20:
-            moved, rounds = False, rounds + 1
-            for i in range(m):
-                near, ws = group[dst[first[i] : first[i + 1]]], weight[first[i] : first[i + 1]]
-                if not len(near):
-                    continue
-                held[group[i]] -= degree[i]
-                names, slot = np.unique(np.append(near, group[i]), return_inverse=True)
-                gain = np.bincount(slot, np.append(ws, 0.0)) - resolution * degree[i] * held[names] / total
-                best = names[gain.argmax()]
-                if gain.max() <= gain[np.searchsorted(names, group[i])] + 1e-12:
-                    best = group[i]
-                held[best] += degree[i]
-                moved |= bool(best != group[i])
-                group[i] = best
-        names, group = np.unique(group, return_inverse=True)
-        if len(names) == m:
-            break
-        node = group[node]
-    of = node
-    sizes = np.bincount(of)
-    place = np.empty(len(sizes), int)
-    place[np.lexsort((np.arange(len(sizes)), -sizes))] = np.arange(len(sizes))
-    return place[of]
-
-
-def communities(edges: DataFrame, resolutions: list[float]) -> DataFrame:
-    """(node, resolution, cluster) of a graph (a, b, weight). ValueError beyond MOST_EDGES: the graph is one task's for each resolution."""
-    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: take a sample first")
-
-    def one(table: pa.Table) -> pa.Table:
-        r = table["resolution"][0].as_py()
-        a, b, w = (table[c].to_numpy() for c in ("a", "b", "weight"))
-        order = np.lexsort((b, a))
-        names, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
-        found = louvain(len(names), at[: len(a)], at[len(a) :], w[order].astype(float), r)
-        return pa.table({"node": names, "resolution": np.full(len(names), r), "cluster": pa.array(found.astype(str))})
-
-    levels = F.explode(F.lit([float(r) for r in resolutions])).alias("resolution")
-    lines = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").cast("double").alias("weight")).where("a <> b")
-    return lines.select("a", "b", "weight", levels).groupBy("resolution").applyInArrow(one, "node long, resolution double, cluster string")
-
 
 def principal_components(points: DataFrame, k: int, *, key: str = "id", vector: str = "z") -> DataFrame:
     """(key, components): a linear stand-in for a learned latent space, or with k = 2 for its map."""

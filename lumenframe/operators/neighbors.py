@@ -69,17 +69,17 @@ def nearest(points: DataFrame, k: int, *, key: str = "id", vector: str = "z", wi
     return points.select(F.col(key).cast("long"), vector).mapInArrow(work, f"{key} long, neighbour long, rank long, distance double")
 
 
-def _voted(points: DataFrame, k: int, label: str, key: str, vector: str) -> DataFrame:
+def _voted(points: DataFrame, k: int, label: str, key: str, vector: str, near: DataFrame | None) -> DataFrame:
     """(key, label, vote): the most frequent label of the k nearest, of equals the smallest."""
-    near = nearest(points, k, key=key, vector=vector)
+    near = nearest(points, k, key=key, vector=vector) if near is None else near.where(F.col("rank") <= k)
     theirs = points.select(F.col(key).alias("neighbour"), F.col(label).alias("their"))
     votes = near.join(theirs, "neighbour").groupBy(key).agg(F.mode("their", True).alias("vote"))
     return points.select(key, label).join(votes, key)
 
 
-def label_accuracy(points: DataFrame, k: int, label: str, *, key: str = "id", vector: str = "z") -> DataFrame:
-    """One row: the share of points that the vote of their k nearest gets right; null below two labels or at k points or fewer."""
-    out = _voted(points, k, label, key, vector).agg(F.avg((F.col("vote") == F.col(label)).cast("double")).alias("acc"))
+def label_accuracy(points: DataFrame, k: int, label: str, *, key: str = "id", vector: str = "z", near: DataFrame | None = None) -> DataFrame:
+    """One row: the share of points that the vote of their k nearest gets right; null below two labels or at k points or fewer. near are neighbours found before."""
+    out = _voted(points, k, label, key, vector, near).agg(F.avg((F.col("vote") == F.col(label)).cast("double")).alias("acc"))
     size = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("labels"))
     return out.join(F.broadcast(size)).select(F.when((F.col("labels") >= 2) & (F.col("n") > k), F.col("acc")).alias("knn_label_accuracy"))
 
@@ -171,9 +171,9 @@ def graph_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def graph_connectivity(points: DataFrame, k: int, label: str, *, key: str = "id", vector: str = "z") -> DataFrame:
-    """One row: for each label of three points or more the share of its largest component in the graph of near neighbours, averaged; null below five points."""
-    near = nearest(points, k, key=key, vector=vector)
+def graph_connectivity(points: DataFrame, k: int, label: str, *, key: str = "id", vector: str = "z", near: DataFrame | None = None) -> DataFrame:
+    """One row: for each label of three points or more the share of its largest component in the graph of near neighbours, averaged; null below five points. near are neighbours found before."""
+    near = nearest(points, k, key=key, vector=vector) if near is None else near.where(F.col("rank") <= k)
     l1, l2 = (points.select(F.col(key).alias(c), F.col(label).alias(f"l_{c}")) for c in ("a", "b"))
     inside = near.select(F.col(key).alias("a"), F.col("neighbour").alias("b")).join(l1, "a").join(l2, "b").where("l_a = l_b")
     found = graph_components(inside.select("a", "b"))

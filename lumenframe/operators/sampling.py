@@ -45,18 +45,30 @@ def cap_classes(df: DataFrame, label: str, key: str, caps: Mapping[str, int], se
 
 
 def major_ratio(df: DataFrame, label: str, key: str, major: str, ratio: float = 0.5, seed: int = 0) -> DataFrame:
-    """The major class is cut to ratio times all other rows, if that is above 0 and below its size."""
-    counts = df.agg(F.count_if(F.col(label) == major).alias("n_major"), F.count_if(F.col(label) != major).alias("n_other"))
+    """The major class is cut to ratio times all other rows, null labels among them, if that is above 0 and below its size."""
+    is_major = F.col(label).eqNullSafe(F.lit(major))
+    counts = df.agg(F.count_if(is_major).alias("n_major"), F.count_if(~is_major).alias("n_other"))
     target = F.floor(F.lit(ratio) * F.col("n_other"))
     limit = counts.select(F.when((target > 0) & (F.col("n_major") > target), target).alias("limit_"))  # one row
     mine = hash_ranked(df.where(F.col(label) == major), [], key, seed, "n_").join(F.broadcast(limit))
-    return df.where(F.col(label) != major).unionByName(mine.where(F.col("limit_").isNull() | (F.col("n_") <= F.col("limit_"))).drop("n_", "limit_"))
+    return df.where(~is_major).unionByName(mine.where(F.col("limit_").isNull() | (F.col("n_") <= F.col("limit_"))).drop("n_", "limit_"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, held_out: Column, *, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """df with split: Held-out rows; of the rest, share of each label (half to even) is Val and the others are Train."""
+    """df with split: Held-out rows (a null mark is none); of the rest, share in all (rounded up) is Val and the others are Train.
+
+    Each label has its part of the Train rows, rounded down, and the labels with the largest remainders (of equals the smaller label, null last) have one more
+    until the number is reached. A null label is one of its own.
+    """
+    held_out = F.coalesce(held_out, F.lit(False))
     rest = df.where(~held_out)
-    sizes = rest.groupBy(F.col(label).alias("l_")).agg(F.bround(share * F.count(F.lit(1))).alias("val_"))
+    every = Window.partitionBy(F.lit(1))  # a row for each label
+    sizes = rest.groupBy(F.col(label).alias("l_")).agg(F.count(F.lit(1)).alias("c_"))
+    sizes = sizes.withColumn("n_", F.sum("c_").over(every)).withColumn("train_", F.col("n_") - F.ceil(F.round(F.lit(share) * F.col("n_"), 9)))
+    sizes = sizes.withColumns({"whole_": F.expr("(c_ * train_) div n_"), "left_": F.expr("(c_ * train_) % n_")})
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("left_"), F.col("l_").asc_nulls_last()))
+    more = (place <= F.col("train_") - F.sum("whole_").over(every)).cast("long")
+    sizes = sizes.select("l_", (F.col("c_") - F.col("whole_") - more).alias("val_"))
     ranked = hash_ranked(rest, [label], key, seed, "n_").join(sizes, F.col(label).eqNullSafe(F.col("l_")))
     tagged = ranked.withColumn("split", F.when(F.col("n_") <= F.col("val_"), F.lit("Val")).otherwise(F.lit("Train"))).drop("n_", "val_", "l_")
     return tagged.unionByName(df.where(held_out).withColumn("split", F.lit("Held-out")))

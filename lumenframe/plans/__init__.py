@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("composition", "expression_queries", "evaluation_queries", "review_queries", "table_queries", "report_queries")
+MODULES = ("composition", "expression_queries", "evaluation_queries", "graph_queries", "review_queries", "table_queries", "report_queries")
 
 
 def queries():

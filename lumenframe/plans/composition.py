@@ -141,7 +141,10 @@ def qc_balance(spark, d):
     return out.select("cell_id", "label", "dataset_id")
 
 
-SPLIT = OBS + """, split AS (SELECT *, CASE WHEN nation < 5 THEN 'Held-out' WHEN row_number() OVER (PARTITION BY nation < 5, label ORDER BY md5(cell_id || '|0'), cell_id) <= round_even(0.2 * count(*) OVER (PARTITION BY nation < 5, label), 0) THEN 'Val' ELSE 'Train' END AS split FROM obs)"""
+SPLIT = OBS + """, strata AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM obs WHERE NOT nation < 5 GROUP BY label), train AS (SELECT *, (n - ceil(0.2 * n))::HUGEINT AS t FROM strata),
+parts AS (SELECT *, c * t // n AS whole, row_number() OVER (ORDER BY c * t % n DESC, label NULLS LAST) AS place, t - sum(c * t // n) OVER () AS more FROM train),
+vals AS (SELECT label, c - whole - (place <= more)::INT AS val FROM parts),
+split AS (SELECT obs.*, CASE WHEN nation < 5 THEN 'Held-out' WHEN row_number() OVER (PARTITION BY nation < 5, obs.label ORDER BY md5(cell_id || '|0'), cell_id) <= val THEN 'Val' ELSE 'Train' END AS split FROM obs LEFT JOIN vals ON obs.label IS NOT DISTINCT FROM vals.label)"""
 
 
 def split(spark, d):

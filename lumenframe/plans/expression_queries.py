@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, expression, markers
+from ..operators import attribution, expression, latent, markers
 from .registry import query
 from .standins import COUNTS, EXPRESSED, OBS, counts, obs
 
@@ -18,6 +18,13 @@ def normalize_log1p(spark, d):
     return expressed(spark, d).select("cell_id", "gene", F.round("norm", 6).alias("norm"), F.round("x", 6).alias("x"))
 
 
+@query()
+def latent_space(spark, d):
+    """Ten columns of a latent space of all cells, from their centred log-normalised counts; tests hold it against the dense matrix."""
+    scores, _, _ = latent.singular_vectors(expressed(spark, d), 10, most=5)
+    return scores
+
+
 SIZES = "sizes AS (SELECT cluster, count(*) AS n FROM obs GROUP BY 1)"
 SUMS = "sums AS (SELECT cluster, gene, sum(x) AS s, count(*) AS nz FROM expressed JOIN obs USING (cell_id) GROUP BY 1, 2)"
 

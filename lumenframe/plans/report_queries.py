@@ -177,13 +177,13 @@ def split_evaluation(spark, d):
 
 @query()
 def integration_bundle(spark, d):
-    """Its parts have SQL of their own, but for communities and connectivity."""
+    """Its parts have SQL of their own, but for communities."""
     return bundles.integration_metrics(ev.sampled_points(spark, d), "latent", label="label", batch="batch", k=10)
 
 
 @query()
 def strategy_bundle(spark, d):
-    """Its parts have SQL of their own, but for connectivity."""
+    """Its parts have SQL of their own."""
     p = ev.sampled_points(spark, d).withColumn("assay", F.concat(F.lit("a"), (F.col("id") % 5).cast("string")))
     return bundles.strategy_metrics(p, label="label", batches={"dataset": "batch", "assay": "assay"}, k=10)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumenframe import schema
 from lumenframe.config import Settings
 from lumenframe.functions import numbers, text
-from lumenframe.operators import attribution, classify, cluster, compose, distance, evidence, expression, markers, neighbors, qc, recode, review, sampling, vocabulary
+from lumenframe.operators import attribution, classify, compose, distance, evidence, expression, graph, markers, neighbors, qc, recode, review, sampling, vocabulary
 from lumenframe.sources import readers, sinks
 
 
@@ -182,7 +182,7 @@ def test_islands_lower_connectivity(spark):
 def test_communities_of_two_cliques(spark):
     edges = [(a, b, 1.0) for s in (0, 10) for a in range(s, s + 5) for b in range(a + 1, s + 5)] + [(0, 10, 1.0)]
     for df in (spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(edges[::-1], "a long, b long, weight double").repartition(3)):
-        got = {r.node: r.cluster for r in cluster.communities(df, [1.0]).collect()}
+        got = {r.node: r.cluster for r in graph.communities(df, [1.0]).collect()}
         assert len(set(got.values())) == 2 and len({got[i] for i in range(5)}) == 1
 
 
