@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, expression, latent, markers
+from ..operators import attribution, dendrogram, expression, latent, markers
 from .registry import query
 from .standins import COUNTS, EXPRESSED, OBS, counts, obs
 
@@ -227,6 +227,27 @@ def relative_to_top(spark, d):
     return out.select("state", "gene", "rank", F.col("n_selected").cast("long").alias("n_selected"), F.round("cumulative_share", 6).alias("cumulative_share"))
 
 
+def heatmap(spark, d):
+    """The genes that a heat map shows: the first twenty of each state, with their mean attribution in every state."""
+    every = attributed(spark, d)
+    return every.join(every.where("rank <= 20").select("gene").distinct(), "gene", "left_semi")
+
+
+_TOPS = ", ".join(f"{{'size': -abs(coalesce(max(mean_attr) FILTER (state = '{s}'), 0)), 'state': {k}, 'signed': -coalesce(max(mean_attr) FILTER (state = '{s}'), 0)}}" for k, s in enumerate(STATES))
+
+
+@query(f"""{ATTR}, tops AS (SELECT gene, list_min([{_TOPS}]) AS t FROM ranked WHERE gene IN (SELECT gene FROM ranked WHERE rank <= 20) GROUP BY 1)
+SELECT gene, row_number() OVER (ORDER BY t.state, t.size, t.signed, gene) AS place FROM tops""")
+def heatmap_columns_by_state(spark, d):
+    return dendrogram.ordered_columns(heatmap(spark, d), STATES, mode="max_state", value="mean_attr")
+
+
+@query()
+def heatmap_columns_clustered(spark, d):
+    """In the order of Ward's tree; tests hold that against all pairs."""
+    return dendrogram.ordered_columns(heatmap(spark, d), STATES, value="mean_attr")
+
+
 @query(f"{ATTR} SELECT gene, arg_min(state, (-mean_abs_attr, state)) AS state, max(mean_abs_attr) AS value FROM ranked GROUP BY 1")
 def strongest_state(spark, d):
     return attribution.strongest_state(attributed(spark, d))
