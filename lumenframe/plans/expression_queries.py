@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, dendrogram, expression, latent, markers
+from ..operators import attribution, dendrogram, evidence, expression, latent, markers
 from .registry import query
 from .standins import COUNTS, EXPRESSED, OBS, counts, obs
 
@@ -34,6 +34,20 @@ def cluster_means(spark, d):
     return expression.group_means(expressed(spark, d), obs(spark, d), "cluster").select("cluster", "gene", F.round("mean", 6).alias("mean"), F.round("pct", 6).alias("pct"))
 
 
+#: The stand-in for curated sets: genes by the length of their name.
+CURATED = "length({}) % 3 = 0"
+
+
+@query(f"""WITH {OBS}, {EXPRESSED}, {SIZES}, {SUMS}, m AS (SELECT cluster, gene, round(s / n, 6) AS mean FROM sums JOIN sizes USING (cluster) WHERE {CURATED.format('gene')}), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean DESC, gene) AS k FROM m)
+SELECT cluster, string_agg(gene || '=' || format('{{:.6f}}', mean), ';' ORDER BY k) AS means, count(*) AS n FROM r WHERE k <= 30 GROUP BY 1""")
+def curated_expression_means(spark, d):
+    """The thirty largest means of curated genes' expression in each cluster, as a map that is shown in its order."""
+    m = expression.group_means(expressed(spark, d), obs(spark, d), "cluster").where(CURATED.format("gene")).withColumn("mean", F.round("mean", 6))
+    maps = evidence.top_numbers(m, "cluster", "gene", "mean", 30)
+    shown_ = F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
+    return maps.select("cluster", F.array_join(shown_, ";").alias("means"), F.size("values").cast("long").alias("n"))
+
+
 GRID = f"""WITH {OBS}, {EXPRESSED}, {SIZES}, {SUMS}, tot AS (SELECT sum(n) AS t FROM sizes), g AS (SELECT gene, sum(s) AS sa, sum(nz) AS nza FROM sums GROUP BY 1),
 f AS (SELECT cluster, gene, coalesce(s, 0) AS s, coalesce(nz, 0) AS nz, sa, nza, n, t FROM g CROSS JOIN sizes CROSS JOIN tot LEFT JOIN sums USING (cluster, gene))"""
 
@@ -122,6 +136,15 @@ def significant_up(spark, d):
     return markers.significant_up(shown(marker_table_rows(spark, d)), most=0.9).select("label", "gene", "z", "logfc")
 
 
+@query(f"""{MARKERS}, ups AS (SELECT label, gene, z FROM table_ WHERE round(p_adj, 9) < 0.9 AND logfc > 0), placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY z DESC, gene) AS k FROM ups)
+SELECT gene, min(label) AS first_label FROM placed WHERE k <= 5 GROUP BY 1""")
+def plot_markers(spark, d):
+    """Genes for a plot: the first five of each label among those significantly up, each once, with the label that has it first. The bound is loose, as in significant_up."""
+    ups = markers.significant_up(shown(marker_table_rows(spark, d)), most=0.9)
+    top = markers.top_markers(ups, "label", 5, [F.desc("z"), F.col("gene")])
+    return evidence.ordered_union(top, "gene", F.col("label")).withColumnRenamed("place", "first_label")
+
+
 @query(f"{MARKERS}, placed AS (SELECT label, gene, z, logfc, row_number() OVER (PARTITION BY label ORDER BY z DESC NULLS LAST, gene) AS rank FROM table_ WHERE logfc > 0) SELECT * FROM placed WHERE rank <= 10")
 def top_up_markers(spark, d):
     top = markers.top_markers(marker_table_rows(spark, d), "label", 10, [F.desc_nulls_last("z"), F.col("gene")], only_up="logfc")

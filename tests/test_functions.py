@@ -95,6 +95,24 @@ def test_sampling_is_exact_whatever_the_partitioning(spark):
     assert sampling.proportional_sample(df, "l", "k", 50).count() == 50
 
 
+def test_null_labels_and_marks_are_rows_like_any_other(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, "b").otherwise("a").alias("l"))
+    cut = sampling.major_ratio(df, "l", "k", "a", 0.5)
+    assert {r.l: r["count"] for r in cut.groupBy("l").count().collect()} == {None: 50, "b": 50, "a": 50}
+    held_out = F.when(F.col("k") < 13, F.col("k") < 3)  # null from 13 on
+    split = sampling.stratified_split(df, "l", "k", held_out)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"Held-out": 3, "Val": 40, "Train": 157}
+
+
+@pytest.mark.parametrize("sizes", [[1, 1, 1], [7, 5, 3, 1, 1, 1], [3, 3, 3, 3, 3, 2], [50]])
+def test_validation_part_is_exact(spark, sizes):
+    """As many rows in all as are asked for, each label within one of its share."""
+    rows = [(i, f"l{k}") for k, n in enumerate(sizes) for i in range(1000 * k, 1000 * k + n)]
+    split = sampling.stratified_split(spark.createDataFrame(rows, "k long, l string"), "l", "k", F.lit(False))
+    found = {r.l: r.n for r in split.groupBy("l").agg(F.count_if(F.col("split") == "Val").alias("n")).collect()}
+    assert sum(found.values()) == -(-len(rows) // 5) and all(abs(found[f"l{k}"] - n / 5) <= 1 for k, n in enumerate(sizes))
+
+
 def test_balance_of_a_balanced_table_changes_nothing(spark):
     rows = [(i, "AAAB"[i % 4], f"b{i % 3}", 50.0 + i % 200, i % 29 == 0) for i in range(600)]
     cells = spark.createDataFrame(rows, "cell_id long, label string, batch string, library double, safe boolean")
