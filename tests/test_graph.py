@@ -65,6 +65,23 @@ def test_probing_finds_nine_tenths(spark):
     assert nearest_index.recall(found, true).first()[0] > 0.9 and listed(true) == by_comparison(x, np.arange(len(x)), 10)
 
 
+def test_what_is_written_does_not_grow_with_the_cells(spark, monkeypatch):
+    """Vectors of which the triangle inequality rules out next to none: each is written a fixed number of times, whatever the number of cells."""
+    written = []
+
+    class Weighed(nearest_index.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            written.append(out.count() if "vector" in out.columns else 0)
+            return out
+
+    monkeypatch.setattr(nearest_index, "Scratch", Weighed)
+    x = np.random.default_rng(7).normal(size=(1600, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    assert listed(nearest_index.nearest_of_all(table(spark, x), 10)) == by_comparison(x, np.arange(len(x)), 10)
+    assert max(written) == len(x) and sum(written) <= 3 * len(x)
+
+
 def test_neighbours_of_few_points(spark):
     none = spark.createDataFrame([], "id long, z array<double>")
     assert nearest_index.nearest_of_all(none, 3).collect() == []
