@@ -143,6 +143,29 @@ def test_communities_are_connected_and_as_good_as_in_one_task(spark, blobs, weig
     assert graph.communities(weighted[1].where("a < 0"), [1.0]).collect() == []
 
 
+def test_merged_graphs_of_bounded_size_are_searched_by_a_task(spark, weighted, monkeypatch):
+    """The rounds of joins end with the first level where what it merges to is small; by joins alone, or in a task from the start, communities are as good."""
+    a, b, w = arrays(weighted[1])
+    names = []
+
+    class Named(graph.Scratch):
+        def keep(self, df, name):
+            names.append(name)
+            return super().keep(df, name)
+
+    monkeypatch.setattr(graph, "Scratch", Named)
+    found = graph.communities(weighted[1], [1.0]).collect()
+    assert names.count("belongs") == 1 and names.count("searched") == 1
+    of = np.zeros(360, int)
+    for r in found:
+        of[r.node] = int(r.cluster)
+    best = value(a, b, w, louvain(360, a, b, w, 1.0), 1.0)
+    assert value(a, b, w, of, 1.0) >= 0.99 * best
+    k = np.bincount(a, w, 360) + np.bincount(b, w, 360)
+    of = graph.searched(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), k, np.arange(360), 1.0, k.sum())
+    assert value(a, b, w, of, 1.0) >= 0.99 * best
+
+
 def test_labels_spread(spark, blobs, weighted):
     known = {i: f"g{blobs[1][i]}" for i in range(0, 360, 20)}
     labels = spark.createDataFrame([*known.items(), (7, None)], "node long, label string")
