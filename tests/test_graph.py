@@ -207,6 +207,21 @@ def test_map_is_made_of_eigenvectors(spark, weighted):
         assert np.linalg.norm(s @ x[:, j] - value_ * x[:, j]) < 1e-5 and value_ == pytest.approx(top[j + 1], abs=1e-6)
 
 
+def test_a_step_of_the_map_reads_its_state_once(spark, weighted, monkeypatch):
+    """A round of eight steps has eight joins: before, each step had its state twice, and a round some hundreds."""
+    plans = []
+
+    class Planned(graph.Scratch):
+        def keep(self, df, name):
+            if name == "filtered":
+                plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+            return super().keep(df, name)
+
+    monkeypatch.setattr(graph, "Scratch", Planned)
+    graph.spectral_map(weighted[1], 1, most=1)
+    assert plans == [8]
+
+
 def test_map_separates_two_groups(spark):
     edges = [(i, j, 1.0) for s in (0, 8) for i in range(s, s + 8) for j in range(i + 1, s + 8)] + [(0, 8, 0.1)]
     got = {r.node: r.x1 for r in graph.spectral_map(spark.createDataFrame(edges, "a long, b long, weight double"), 1).collect()}
