@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 BUCKETS = 8192
-#: The target multinomial is fitted on this many labelled documents at most, by a hash of their key; so their keys can be sent to every task.
-TRUSTED_DOCUMENTS = 20_000
+#: Keys of labelled documents that are sent to every task at most; more are joined. All of them count, whatever their number.
+TRUSTED_SENT = 500_000
 #: n-grams of ratio 1 that each document has besides its own.
 PRIOR_GRAMS = 32
 #: The threshold is the score that this share of the trusted documents, at most, is below.
@@ -50,26 +50,26 @@ def _buckets(buckets: int) -> Column:
     return F.concat(ones, twos)
 
 
-def _trusted_ids(trusted: DataFrame, key: str, most: int) -> DataFrame | None:
-    """Distinct keys, about so many at most, by their hash; None without any."""
+def _trusted_ids(trusted: DataFrame, key: str, most_sent: int) -> DataFrame | None:
+    """Distinct keys, all of them, to be sent to every task if there are no more than so many; None without any."""
     ids = trusted.select(F.col(key).alias("trusted_")).where("trusted_ IS NOT NULL").distinct()
     n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("trusted_"), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
-    return ids if n else None
+    if not n:
+        return None
+    return F.broadcast(ids) if n <= most_sent else ids
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, trusted_documents: int = TRUSTED_DOCUMENTS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most_sent: int = TRUSTED_SENT) -> list[float]:
     """log(target / raw) of each bucket, with one added to every count. All zero without trusted documents.
 
     Null and empty texts have no n-grams; rows of equal key count each; null and repeated keys of trusted, and those of no document, change nothing. An
     empty table leaves all counts at one. Texts of any length are read whole; columns but the two named are not read.
     """
-    ids = _trusted_ids(trusted, key, trusted_documents)
+    ids = _trusted_ids(trusted, key, most_sent)
     if ids is None:
         return [0.0] * buckets
-    rows = docs.select(F.col(key).alias("key_"), F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)).alias("hashes"))
-    rows = rows.join(F.broadcast(ids), F.col("key_") == F.col("trusted_"), "left")
+    rows = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(ids, F.col("key_") == F.col("trusted_"), "left")
+    rows = rows.select("trusted_", F.transform(_words(F.col("text_")), lambda w: F.xxhash64(w)).alias("hashes"))
     grams = rows.select(F.explode(_buckets(buckets)).alias("bucket"), F.col("trusted_").isNotNull().cast("long").alias("in_target"))
     # One row for each bucket, a fixed number of rows, comes to the driver.
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("in_target").alias("target"))
@@ -127,15 +127,15 @@ def _scored(docs: DataFrame, ratios: list[float], *, key: str, text: str, keep:
     return rows.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")
 
 
-def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[float], *, key: str = "doc_id", text: str = "text", prior: int = PRIOR_GRAMS, buckets: int = BUCKETS, trusted_documents: int = TRUSTED_DOCUMENTS, lost: float = TRUSTED_LOST) -> float:
+def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[float], *, key: str = "doc_id", text: str = "text", prior: int = PRIOR_GRAMS, buckets: int = BUCKETS, most_sent: int = TRUSTED_SENT, lost: float = TRUSTED_LOST) -> float:
     """The score at share lost of the trusted documents that pass the base rules, rounded; without any, what every score is above.
 
     Nulls, repeats, long texts and other columns as in log_ratios(); each row of a trusted key counts. Of equal scores any is the threshold.
     """
-    ids = _trusted_ids(trusted, key, trusted_documents)
+    ids = _trusted_ids(trusted, key, most_sent)
     if ids is None:
         return float("-inf")
-    mine = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(F.broadcast(ids), F.col("key_") == F.col("trusted_"), "left_semi")
+    mine = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(ids, F.col("key_") == F.col("trusted_"), "left_semi")
     scores = _scored(mine, ratios, key="key_", text="text_", keep=None, prior=prior, buckets=buckets).where(~F.col("base_failed"))
     found = scores.agg(F.expr(f"percentile_disc({lost}) WITHIN GROUP (ORDER BY round(score, 9))").alias("t")).first().t
     return float("-inf") if found is None else found
