@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import graph, nearest_index
+from lumenframe.operators import graph, nearest_index, neighbors
 
 from .one_task import louvain
 
@@ -222,6 +222,10 @@ def test_a_step_of_the_map_reads_its_state_once(spark, weighted, monkeypatch):
     assert plans == [8]
 
 
+def test_distances_held_by_a_task_are_bounded():
+    assert all(neighbors._rows(n) * n <= neighbors.HELD for n in (1, 5_000, 50_000)) and neighbors._rows(0) == neighbors._rows(1) == neighbors.BLOCK
+
+
 def test_map_separates_two_groups(spark):
     edges = [(i, j, 1.0) for s in (0, 8) for i in range(s, s + 8) for j in range(i + 1, s + 8)] + [(0, 8, 0.1)]
     got = {r.node: r.x1 for r in graph.spectral_map(spark.createDataFrame(edges, "a long, b long, weight double"), 1).collect()}
