@@ -191,6 +191,24 @@ def test_labels_spread(spark, blobs, weighted):
     assert np.abs(got - f).max() < 1e-9
 
 
+def test_a_nodes_shares_travel_in_a_row(spark, blobs, weighted, monkeypatch):
+    """A round has a row for each node, not for each node and label, and the graph is made once; shares do not depend on the labels of a row, nor on how state reaches the steps."""
+    kept = {}
+
+    class Counted(graph.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            kept.setdefault(name, []).append(out.count())
+            return out
+
+    labels = spark.createDataFrame([(i, f"g{blobs[1][i]}") for i in range(0, 360, 20)], "node long, label string")
+    monkeypatch.setattr(graph, "Scratch", Counted)
+    found = [{(r.node, r.label): r.share for r in graph.spread_labels(weighted[1], labels, rounds=6, **more).collect()} for more in ({}, {"wide": 4, "sent": 0})]
+    assert kept["edges"] == [2 * weighted[1].count()] * 2 and kept["shares"][0] <= 360 and found[0].keys() == found[1].keys()
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-12
+    assert graph.spread_labels(weighted[1], labels.where("node < 0")).collect() == []
+
+
 def test_map_is_made_of_eigenvectors(spark, weighted):
     a, b, w = arrays(weighted[1])
     s = np.zeros((360, 360))
