@@ -31,6 +31,29 @@ def test_singular_vectors_are_those_of_the_dense_matrix(spark):
     assert len(got) == 60 and np.abs(got[7] - (-x.mean(0)) @ turned).max() < 1e-3
 
 
+def test_a_round_writes_nothing_for_the_cells(spark, monkeypatch):
+    """What is written are the cells' rows, once, and the genes' means; sent or joined, the columns are the same."""
+    kept = []
+
+    class Counted(latent.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            kept.append(out.count())
+            return out
+
+    monkeypatch.setattr(latent, "Scratch", Counted)
+    monkeypatch.setattr(latent, "ENTRIES", 32)
+    x, cells = matrix(), spark.range(60).withColumnRenamed("id", "cell_id")
+    odd = spark.createDataFrame([(3, None, 5.0), (None, "g01", 5.0), (7, "g01", None)], "cell_id long, gene string, x double")
+    both = []
+    for more in ({}, {"sent": 0}):
+        scores, loadings, values = latent.singular_vectors(entries(spark, x).unionByName(odd), 3, cells=cells, most=4, **more)
+        both.append((np.array([list(r)[1:] for r in sorted(scores.collect())]), np.array([list(r)[1:] for r in sorted(loadings.collect())]), values))
+        if not more:
+            assert kept == [60, 25]
+    assert len(both[0][0]) == 60 and all(np.abs(np.array(a) - np.array(b)).max() < 1e-8 for a, b in zip(*both, strict=True))
+
+
 def test_rank_below_the_columns_asked_for_and_empty_tables(spark):
     x = np.outer([0.0, 1.0, 2.0, 3.0], [1.0, 2.0])
     scores, loadings, values = latent.singular_vectors(entries(spark, x), 5, cells=spark.range(4).withColumnRenamed("id", "cell_id"))
