@@ -1,8 +1,10 @@
 """Neighbours of whole tables, the weighted graph, communities, spread labels, the map."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,31 @@ def test_distances_held_by_a_task_are_bounded():
     assert all(neighbors._rows(n) * n <= neighbors.HELD for n in (1, 5_000, 50_000)) and neighbors._rows(0) == neighbors._rows(1) == neighbors.BLOCK
 
 
+def test_points_are_compared_within_their_group_only(monkeypatch):
+    """Neighbours and silhouettes within the values of a column: the distances made are those within, and the results are those of all comparisons."""
+    rng = np.random.default_rng(4)
+    x, of, batch, ids = rng.normal(size=(90, 3)), np.repeat([0, 1, 2], 30), np.tile([0, 1, 1], 30), 2 * np.arange(90)
+    made, work = [], []
+    rough = neighbors._squared
+    monkeypatch.setattr(neighbors, "_squared", lambda q, *rest: made.append(len(q) * len(rest[0])) or rough(q, *rest))
+    shared = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    points = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=shared), schema={"l": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))})
+    points.select = lambda *_: SimpleNamespace(mapInArrow=lambda f, _: work.append(f))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist()), pa.array(batch)], names=["id", "z", "l"])
+    monkeypatch.setattr(neighbors.F, "col", lambda _: SimpleNamespace(cast=lambda _: None))
+    monkeypatch.setattr(neighbors, "_sample", lambda *_: (ids, x, of) if len(_) == 4 else (ids, x, batch, of))
+    neighbors.nearest(points, 4, within="of")
+    neighbors.silhouettes(points, "l", within="of")
+    near, told = ([r for out in f([rows]) for r in out.to_pylist()] for f in work)
+    assert sum(made) == 2 * 3 * 30 * 30
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(90):
+        mates = [j for j in range(90) if of[j] == of[i] and j != i]
+        assert [r["neighbour"] for r in near if r["id"] == ids[i]] == [ids[j] for j in sorted(mates, key=lambda j: d[i, j])[:4]]
+        a, b = (np.mean([d[i, j] for j in mates if (batch[j] == batch[i]) == same]) for same in (True, False))
+        assert next(r["s"] for r in told if r["id"] == ids[i]) == pytest.approx((b - a) / max(a, b))
+
+
 def test_map_separates_two_groups(spark):
     edges = [(i, j, 1.0) for s in (0, 8) for i in range(s, s + 8) for j in range(i + 1, s + 8)] + [(0, 8, 0.1)]
     got = {r.node: r.x1 for r in graph.spectral_map(spark.createDataFrame(edges, "a long, b long, weight double"), 1).collect()}
