@@ -275,3 +275,45 @@ def test_map_separates_two_groups(spark):
     edges = [(i, j, 1.0) for s in (0, 8) for i in range(s, s + 8) for j in range(i + 1, s + 8)] + [(0, 8, 0.1)]
     got = {r.node: r.x1 for r in graph.spectral_map(spark.createDataFrame(edges, "a long, b long, weight double"), 1).collect()}
     assert len({got[i] > 0 for i in range(8)}) == 1 and (got[0] > 0) != (got[8] > 0)
+
+
+def test_moves_by_a_sent_state_are_those_of_the_joins(spark, weighted, monkeypatch):
+    """With the nodes' state sent, a level's moves and parts are each written once (before, round by round), and what is found is the same."""
+    names = []
+
+    class Named(graph.Scratch):
+        def keep(self, df, name):
+            names.append(name)
+            return super().keep(df, name)
+
+    rows = lambda df: sorted(df.collect())
+    want = rows(graph.communities(weighted[1], [0.5, 4.0], sent=0))
+    monkeypatch.setattr(graph, "Scratch", Named)
+    monkeypatch.setattr(graph, "PACKED", 500)  # several blocks
+    assert rows(graph.communities(weighted[1], [0.5, 4.0])) == want and len(want) == 720
+    assert names.count("moved") == names.count("parts") == names.count("belongs") == 1
+
+
+def test_nodes_go_where_they_gain_most():
+    """Against all gains one by one: links less what is expected, of equal gains to the smallest group, and only where a rule lets them."""
+    rng = np.random.default_rng(6)
+    x = np.triu(rng.integers(0, 3, (30, 30)) * (rng.random((30, 30)) < 0.3), 1).astype(float)
+    x += x.T
+    a, b = np.nonzero(x)
+    k, of, total = x.sum(1), rng.integers(0, 8, 30), x.sum()
+    gives, takes = rng.integers(0, 4, 8), rng.integers(0, 4, 8)
+    want = {}
+    for i in range(30):
+        gain = {g: round(x[i, of == g].sum() - 0.7 * k[i] * (k[of == g].sum() - (g == of[i]) * k[i]) / total, 9) for g in range(8)}
+        may = [g for g in range(8) if g != of[i] and x[i, of == g].sum() > 0 and takes[g] > gives[of[i]] and gain[g] > gain[of[i]]]
+        if may:
+            want[i] = max(may, key=lambda g: (gain[g], -g))
+    node, to = graph.goes(a, b, x[a, b], k, of, 0.7, total, gives, takes)
+    assert want and dict(zip(node.tolist(), to.tolist(), strict=True)) == want
+    none = np.zeros(0, np.int64)
+    assert not len(graph.goes(none, none, np.zeros(0), k, of, 0.7, total, gives, takes)[0])
+
+
+def test_what_falls_apart_is_split():
+    a, b = np.array([0, 1, 2, 3, 1, 4]), np.array([1, 0, 3, 2, 4, 1])
+    assert graph._split(a, b, np.array([0, 0, 0, 0, 5, 5])).tolist() == [0, 0, 2, 2, 4, 5]
